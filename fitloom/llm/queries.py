@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fitloom.llm.common import table
+from fitloom.llm import bpe, tokenfile
+from fitloom.llm.common import Scratch, table
 from fitloom.llm.minhash import near_duplicates
 
+#: Where the public vocabulary files lie.
+TOKENIZERS = os.environ.get("FITLOOM_TOKENIZERS", "/opt/tokenizers")
+
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Scratch(spark, "tokens").path("shards")
+    tokenfile.write_tokens(table(spark, sf_dir, "documents"), folder, f"{TOKENIZERS}/word_bpe_49k.json", end_id=1)
+    return tokenfile.read_tokens(spark, folder).drop("ids")
+
+
+def op9_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    ids = bpe.encode(table(spark, sf_dir, "documents"), ranks, bpe.PATTERN)
+    return bpe.decode(ids, ranks).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op8_token_id_output": op8_token_id_output,
+    "op9_byte_bpe_round_trip": op9_byte_bpe_round_trip,
 }
 
 ORACLE = {
