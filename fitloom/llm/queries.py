@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitloom.llm import bpe, quality, secrets, tokenfile, toxicity
+from fitloom.llm import bpe, language, quality, secrets, tokenfile, toxicity
 from fitloom.llm.common import Scratch, table
 from fitloom.llm.minhash import near_duplicates
 
@@ -26,6 +26,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ def op9_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
+    "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_token_id_output": op8_token_id_output,
