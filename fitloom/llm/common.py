@@ -116,10 +116,20 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of each white-space word, A-Z lower-cased, and the row it lies in."""
+#: Letters and digits, and every byte beyond ASCII; capitals fold to small letters.
+WORDLIKE = np.zeros(256, bool)
+WORDLIKE[48:58] = WORDLIKE[65:91] = WORDLIKE[97:123] = WORDLIKE[128:] = True
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ~SPACE, accents: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each run of `inside` bytes, A-Z lower-cased, and the row it lies in.
+
+    By default runs are white-space words; accents lower-cases U+00C0 to U+00DE, too.
+    """
     low = LOWER[raw]
-    solid = ~SPACE[raw]
+    if accents and len(raw):
+        low[1:][(raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)] += 32
+    solid = inside[raw]
     start = solid.copy()
     start[1:] &= ~solid[:-1]
     heads = offsets[:-1][offsets[:-1] < len(raw)]

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitloom.llm import bpe, language, quality, secrets, tokenfile, toxicity
+from fitloom.llm import bpe, decontaminate, language, quality, secrets, tokenfile, toxicity
 from fitloom.llm.common import Scratch, table
 from fitloom.llm.minhash import near_duplicates
 
@@ -34,6 +34,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_token_id_output": op8_token_id_output,
     "op9_byte_bpe_round_trip": op9_byte_bpe_round_trip,
