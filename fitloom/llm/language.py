@@ -142,11 +142,13 @@ def _vectors(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "x"])
 
 
-def _predict(model):
+def _verdicts(model, text_at: int):
+    """(batch, languages, scores) of every batch."""
+
     def run(batches):
         tree = model.value
         for batch in batches:
-            texts = batch.column(2)
+            texts = batch.column(text_at)
             raw, offsets = byte_view(texts)
             names: list[str] = []
             scores: list[np.ndarray] = []
@@ -163,7 +165,15 @@ def _predict(model):
                     got, score = tree.predict(ngrams(part, at))
                 names += [g if ok else "und" for g, ok in zip(got, plain, strict=True)]
                 scores.append(np.where(plain, score, 0.0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield batch, names, np.concatenate(scores) if scores else np.zeros(0)
+
+    return run
+
+
+def _predict(model):
+    def run(batches):
+        for batch, names, scores in _verdicts(model, 2)(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
@@ -199,3 +209,21 @@ def identify(docs: DataFrame, modulus: int = 3, held: int = 1, bound: int = FIT_
     held_out = F.coalesce(remainder("doc_id", modulus) == held, F.lit(False)).alias("held_out")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out, F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def recognised(docs: DataFrame, least: float = 0.26, modulus: int = 3, held: int = 1, bound: int = FIT_ROWS) -> DataFrame:
+    """docs with all columns, without rows that are `und` or scored below `least`; nothing is shuffled.
+
+    Two machines that are wholly undecided give 0.25.  With no labelled row to learn
+    from, texts that have a letter stay.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, modulus, held, bound))
+    unlearned = model.value is None
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        for batch, names, scores in _verdicts(model, at)(batches):
+            good = [any(c.isalpha() for c in t.as_py() or "") for t in batch.column(at)] if unlearned else [n != "und" and s >= least for n, s in zip(names, scores.tolist(), strict=True)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

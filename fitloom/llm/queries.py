@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitloom.llm import bpe, decontaminate, language, quality, secrets, tokenfile, topk, toxicity
+from fitloom.llm import bpe, decontaminate, language, quality, repeats, secrets, tokenfile, topk, toxicity
 from fitloom.llm.common import Scratch, table
 from fitloom.llm.minhash import near_duplicates
 
@@ -16,7 +16,7 @@ TOKENIZERS = os.environ.get("FITLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4).drop("text_hash")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op9_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(ids, ranks).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "runs")
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -68,6 +72,7 @@ QUERIES = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_token_id_output": op8_token_id_output,
     "op9_byte_bpe_round_trip": op9_byte_bpe_round_trip,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLE = {

@@ -84,13 +84,13 @@ def ratio(token: Column, model: list[int]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0), step)
 
 
-def scan(docs: DataFrame, model: list[int], text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, model: list[int], text_col: str = "text", base_col: str = "base", spans_col: str = "spans") -> DataFrame:
     """docs with `base` and `spans`: arrays of (start, kind, end), kind an index into KINDS.
 
     base has the spans of the three patterns; spans adds tokens judged random
     that overlap none of them.  Both are in order of start, then kind.  Cases: a
     null or empty text has none; texts of any length are scanned whole; other
-    columns are passed on, but a column named base or spans is replaced.
+    columns are passed on, but columns named as base_col and spans_col are replaced.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
@@ -103,9 +103,9 @@ def scan(docs: DataFrame, model: list[int], text_col: str = "text") -> DataFrame
     base = F.array_sort(F.concat(assign, access, hex_))
     judged = lambda m, n: (ratio(m, model) >= LEAST_TOTAL) & (ratio(m, model) >= LEAST_EACH * F.length(m))
     tokens = F.when(long_run, _spans(text, TOKEN, 3, judged)).otherwise(none)
-    found = docs.withColumn("base", base).withColumn("_tokens", tokens)
-    free = F.filter("_tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
-    return found.withColumn("spans", F.when(F.size("_tokens") > 0, F.array_sort(F.concat("base", free))).otherwise(F.col("base"))).drop("_tokens")
+    found = docs.withColumn(base_col, base).withColumn(spans_col, tokens)
+    free = F.filter(spans_col, lambda t: ~F.exists(base_col, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
+    return found.withColumn(spans_col, F.when(F.size(spans_col) > 0, F.array_sort(F.concat(base_col, free))).otherwise(F.col(base_col)))
 
 
 def _spans(text: Column, pattern: str, order: int, keep) -> Column:
@@ -134,7 +134,7 @@ def as_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(scanned: DataFrame, mark: str = "[secret]", text_col: str = "text") -> DataFrame:
+def redact(scanned: DataFrame, mark: str = "[secret]", text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """The text with each run of spans replaced by mark; overlapping spans are one run."""
     text = F.col(text_col)
 
@@ -144,5 +144,5 @@ def redact(scanned: DataFrame, mark: str = "[secret]", text_col: str = "text") -
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(new).alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return scanned.withColumn(text_col, F.when(F.size("spans") > 0, done).otherwise(text))
+    done = F.aggregate(spans_col, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return scanned.withColumn(text_col, F.when(F.size(spans_col) > 0, done).otherwise(text))
