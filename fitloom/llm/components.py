@@ -20,13 +20,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     a node, so a node of very high degree is never gathered in one task
     (AQE splits the join).  No edge gives no row.
     """
-    now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
     before = None
     while True:
         # Large star: every larger neighbour of u links to u's smallest neighbour or u.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # Small star: u and its smaller neighbours link to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(least, "a")

@@ -92,77 +92,95 @@ def _confirm(percent: int):
     return run
 
 
+def _listed(batches):
+    """One row for each shingle of each set."""
+    for batch in batches:
+        raw, offsets = byte_view(batch.column(1))
+        sizes = np.diff(offsets) // 8
+        nodes = np.repeat(np.asarray(batch.column(0), np.int64), sizes)
+        n = np.repeat(sizes, sizes)
+        values = raw.copy().view(np.int64)
+        for k in range(0, len(nodes), 1 << 16):
+            c = slice(k, k + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[c]), pa.array(n[c]), pa.array(values[c])], names=["node", "n", "shingle"])
+
+
+def _fits(x, y, percent: int):
+    """False for sizes too unequal to reach the threshold."""
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate groups: (doc_id, n_shingles, component_id, kept), one row per input row.
 
     Documents whose shingle sets have 100 * intersection >= percent * union
     are linked; a component is all that links reach.  Documents of equal sets
     are first taken as one node.  Nodes sharing a band's bucket are candidates:
-    in round 1 the bucket's smallest node is its hub and is confirmed against
-    each other member (star edges).  Where a bucket's members still lie in
-    several components, later rounds take further members as hubs, two, four
-    and so on, only against members of other components that no hub has met,
-    until none is left.  So no link that banding can see is lost, and a pure
-    bucket of any size costs its size.
+    the bucket's smallest node is its hub and is confirmed against each other
+    member (star edges), so a bucket costs its size.  Where members of a bucket
+    still lie in several components, links between two non-hub members may be
+    missing; `_between` finds those exactly without forming the pairs of the bucket.
 
     Cases: a null or wordless text has n_shingles 0, is linked with nothing and
     is its own component; a null id stays unlinked, with null component and
-    kept true; rows repeating an id share one node (they are linked as copies
-    of one document) and each gives a row; an empty table gives no row.  Other
-    columns are not read.
+    kept true; rows repeating an id are linked each by its own text; an empty
+    table gives no row.  Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = scratch.keep(docs.mapInArrow(_describe(shingle, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signatures")
-    classes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("r.doc_id", "r.n_shingles", "r.bands")
-    rows_ = classes.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"))
-    shared = rows_.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1")
-    members = scratch.keep(rows_.join(shared.select("bucket", "hub"), "bucket"), "members")
-
-    fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))  # noqa: E731  a pair of too unequal sizes can't reach the threshold
-    hubs = members.where("node = hub").select("bucket", F.col("n").alias("hub_n"))
-    pairs = members.where("node <> hub").join(hubs, "bucket").where(fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    tried = scratch.keep(pairs, "pairs")
-    # Rows repeating an id are one node: their links hold for both texts.
-    again = signed.where("set_key is not null and doc_id is not null").join(classes_keys(signed), "set_key").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).join(signed.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("a")), "a", "left_semi")
-    wanted = members.select("node").distinct()
-    sets = docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(shingle), "node long, shingles binary")
-    sets = scratch.keep(sets, "sets")
+    named = signed.where("set_key is not null and doc_id is not null")
+    classes = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("r.doc_id", "r.n_shingles", "r.bands")
+    slots = classes.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"))
+    shared = slots.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("hub")).where("size > 1").select("bucket", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+    members = scratch.keep(slots.join(shared, "bucket"), "members")
+    pairs = members.where("node <> hub").where(_fits(F.col("n"), F.col("hub_n"), percent)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+
+    wanted = members.select(F.col("node").alias("doc_id")).distinct()
+    sets = scratch.keep(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "node long, shingles binary"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
 
-    links = scratch.keep(confirmed(tried).unionByName(again), "links")
-    labels = scratch.keep(components(links, scratch), "labels")
-    first, last = 2, 3
-    while True:
-        named = members.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where(f"lo <> hi and size >= {first + 1}").select("bucket")
-        ranked = named.join(mixed, "bucket").withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("node")))
-        ranked = scratch.keep(ranked, "ranked")
-        hub = ranked.where(F.col("rank").between(first, last)).select("bucket", F.col("node").alias("a"), F.col("n").alias("hub_n"), F.col("component").alias("hub_c"), F.col("rank").alias("hub_rank"))
-        more = hub.join(ranked, "bucket").where("rank > hub_rank and component <> hub_c").where(fits(F.col("n"), F.col("hub_n"))).select("a", F.col("node").alias("b")).distinct()
-        more = scratch.keep(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            if ranked.where(f"rank > {last}").isEmpty():
-                break
-        else:
-            new = scratch.keep(confirmed(more), "links")
-            tried = tried.unionByName(more)
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                labels = scratch.keep(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new), scratch), "labels")
-        first, last = last + 1, 2 * last + 1
-
-    reps = classes_keys(signed)
+    labels = scratch.keep(components(confirmed(pairs), scratch), "labels")
+    more = confirmed(_between(members, sets, labels, percent))
+    at = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    bridges = scratch.keep(more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct(), "bridges")
+    if not bridges.isEmpty():
+        joined = components(bridges, scratch).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        lone = bridges.select(F.col("a").alias("node")).unionByName(bridges.select(F.col("b").alias("node"))).distinct().withColumn("component", F.col("node"))
+        parts = labels.unionByName(lone).distinct()
+        labels = scratch.keep(parts.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component")), "labels")
+
+    reps = named.groupBy("set_key").agg(F.min("doc_id").alias("node"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left").join(labels, "node", "left")
-    component = F.coalesce("component", "node", "doc_id")
-    component = F.when(F.col("doc_id").isNotNull(), component)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def classes_keys(signed: DataFrame) -> DataFrame:
-    """(set_key, node): the smallest id of each class of equal sets."""
-    return signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"))
+def _between(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of different components that share a bucket, by an exact prefix filter.
+
+    If two sets reach the threshold, then among the `n - ceil(percent * n) + 1`
+    rarest shingles of each there is one in common, in any fixed order of all
+    shingles.  Members of mixed buckets that hold many shingles of their own
+    (edited copies) so drop out unpaired, and only nodes with a rare shingle in
+    common meet.
+    """
+    named = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    nodes = named.join(mixed, "bucket").select("node", "component").distinct()
+    listed = sets.join(nodes, "node", "left_semi").mapInArrow(_listed, "node long, n long, shingle long").distinct()
+    often = listed.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    # A shingle of one node alone takes a place in the prefix but joins nothing:
+    # it is counted, not kept.
+    common = listed.join(often, "shingle")
+    place = F.row_number().over(W.partitionBy("node").orderBy("often", "shingle"))
+    least = F.ceil(F.col("n") * percent / 100)
+    ranked = common.withColumn("place", place).withColumn("alone", F.col("n") - F.count("*").over(W.partitionBy("node")))
+    prefix = ranked.where(F.col("alone") + F.col("place") <= F.col("n") - least + 1).select("shingle", "node", "n").join(nodes, "node")
+    other = prefix.select("shingle", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
+    met = prefix.join(other, "shingle").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("bc")) & _fits(F.col("n"), F.col("bn"), percent))
+    return met.select(F.col("node").alias("a"), "b").distinct()
