@@ -61,8 +61,8 @@ def _describe(size: int, bands: int, rows: int):
                     lens.append(lens[-1] + bands * bool(len(got)))
             values = np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(values))],
-                names=["doc_id", "n_shingles", "set_key", "bands"],
+                [batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(values))],
+                names=["doc_id", "text_hash", "n_shingles", "set_key", "bands"],
             )
 
     return run
@@ -111,7 +111,7 @@ def _fits(x, y, percent: int):
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Near-duplicate groups: (doc_id, n_shingles, component_id, kept), one row per input row.
+    """Near-duplicate groups: (doc_id, n_shingles, component_id, kept, text_hash), one row per input row.
 
     Documents whose shingle sets have 100 * intersection >= percent * union
     are linked; a component is all that links reach.  Documents of equal sets
@@ -129,7 +129,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, bands:
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = scratch.keep(docs.mapInArrow(_describe(shingle, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signatures")
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    signed = scratch.keep(hashed.mapInArrow(_describe(shingle, bands, rows), "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>"), "signatures")
     named = signed.where("set_key is not null and doc_id is not null")
     classes = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("r.doc_id", "r.n_shingles", "r.bands")
     slots = classes.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"))
@@ -155,9 +156,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, bands:
         labels = scratch.keep(parts.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component")), "labels")
 
     reps = named.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left").join(labels, "node", "left")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "set_key").join(reps, "set_key", "left").join(labels, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
 
 
 def _between(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -184,3 +185,26 @@ def _between(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: in
     other = prefix.select("shingle", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
     met = prefix.join(other, "shingle").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("bc")) & _fits(F.col("n"), F.col("bn"), percent))
     return met.select(F.col("node").alias("a"), "b").distinct()
+
+
+def without_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """docs with all columns, but of each near-duplicate group only the document of the smallest id.
+
+    Of rows that repeat an id and a text one stays; rows of a null id all stay.
+    Ids meet texts in one join on (id, text hash), which also serves the
+    choice among repeated rows.
+    """
+    groups = near_duplicates(docs, shingle, percent)
+    stay = groups.where("kept and doc_id is not null").select("doc_id", "text_hash").distinct()
+    mark, turn = _free("text_hash", docs), _free("turn", docs)
+    named = docs.withColumn(mark, F.xxhash64(F.col("text").cast("string")))
+    known = named.join(stay.select(F.col("doc_id").alias("doc_id"), F.col("text_hash").alias(mark)), ["doc_id", mark], "left_semi")
+    first = known.withColumn(turn, F.row_number().over(W.partitionBy("doc_id", mark).orderBy(F.lit(1)))).where(F.col(turn) == 1).drop(turn, mark)
+    return first.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name that docs does not use."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
