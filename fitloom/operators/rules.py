@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ PLATFORM_SUFFIX = "case|insert|crystal|chapter-ring|crown|bezel|bracelet"
 @dataclass(frozen=True)
 class Rule:
     key: str
-    findings: Callable[[], list[Column]]
+    findings: Callable[[], list[Finding]]
     family_decides: tuple[str, ...] = ()
 
 
@@ -43,11 +44,21 @@ def is_(column: Column, value: bool) -> Column:
     return column.eqNullSafe(F.lit(value))
 
 
-def finding(when: Column, severity: str | Column, slots: list[str], text: Column | str, fix: str | None = None, key: Column | None = None) -> Column:
-    level = F.lit(severity) if isinstance(severity, str) else severity
-    message = F.lit(text) if isinstance(text, str) else text
-    row = F.struct((key if key is not None else F.lit(None).cast("string")).alias("own_key"), level.alias("severity"), F.array(*[F.lit(s) for s in slots]).cast("array<string>").alias("slots"), message.alias("message"), F.lit(fix).cast("string").alias("fix"))
-    return F.when(when, row)
+class Finding(NamedTuple):
+    when: Column
+    severity: str | Column
+    slots: list[str]
+    text: Column | str
+    fix: str | None = None
+
+    def row(self) -> Column:
+        """A struct, null where the finding does not hold."""
+        level = F.lit(self.severity) if isinstance(self.severity, str) else self.severity
+        message = F.lit(self.text) if isinstance(self.text, str) else self.text
+        return F.when(self.when, F.struct(F.lit(None).cast("string").alias("own_key"), level.alias("severity"), F.array(*map(F.lit, self.slots)).cast("array<string>").alias("slots"), message.alias("message"), F.lit(self.fix).cast("string").alias("fix")))
+
+
+finding = Finding
 
 
 def platform(family: Column) -> Column:

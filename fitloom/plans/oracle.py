@@ -17,8 +17,9 @@ def wide_sql() -> str:
     return f"""WITH listing AS ({LISTING_SQL}), slot_rows AS ({BUILD_SLOT_SQL}), exc AS ({EXCEPTION_SQL}),
 offers AS (SELECT part_id, count(*) AS n_offers, arg_min(vendor_id, (price_minor, vendor_id)) AS cheapest_vendor, arg_min(in_stock, (price_minor, vendor_id)) AS cheapest_in_stock, list(DISTINCT vendor_id) AS vendors FROM listing GROUP BY part_id),
 parts AS (SELECT c.*, coalesce(o.n_offers, 0) AS n_offers, o.cheapest_vendor, o.cheapest_in_stock, o.vendors, nullif(regexp_extract(c.family, '^(.*)-(case|insert|crystal|chapter-ring|crown|bezel|bracelet)$', 1), '') AS plat FROM ({CATALOG_SQL}) c LEFT JOIN offers o USING (part_id)),
-b AS (SELECT build_id, {pivot} FROM slot_rows GROUP BY build_id)
-""", f"FROM b {joins}"
+b AS (SELECT build_id, {pivot} FROM slot_rows GROUP BY build_id),
+w AS MATERIALIZED (SELECT b.build_id, {', '.join(A[s] for s in SLOTS)} FROM b {joins})
+""", "FROM w b"
 
 
 def _on(*slots: str) -> str:
