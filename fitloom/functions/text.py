@@ -112,13 +112,13 @@ def dimensions(text: Column) -> Column:
     """outer, inner, crown diameter and hand lengths that the text states and that hold together."""
     flat = strip_html(text)
     get = lambda p, k=1: F.regexp_extract(flat, p, k)
-    outer, inner = _bounded("outer", get(r"(?i)outer\s*diameter:?\s*(\d{1,2}(?:\.\d{1,2})?)\s*mm")), _bounded("inner", get(r"(?i)inner\s*diameter:?\s*(\d{1,2}(?:\.\d{1,2})?)\s*mm"))
+    outer, inner = _bounded("outer", get(r"(?i)outer\s*diameter\s*:?\s*(\d{1,2}(?:\.\d{1,2})?)\s*mm")), _bounded("inner", get(r"(?i)inner\s*diameter\s*:?\s*(\d{1,2}(?:\.\d{1,2})?)\s*mm"))
     clash = F.coalesce(inner >= outer, F.lit(False))
     hands = r"(?i)H\s*/\s*M\s*/\s*S:?\s*(\d{1,2}(?:\.\d{1,2})?)\s*mm\s*/\s*(\d{1,2}(?:\.\d{1,2})?)\s*mm\s*/\s*(\d{1,2}(?:\.\d{1,2})?)\s*mm"
     hour, minute = _bounded("hour", get(hands, 1)), _bounded("minute", get(hands, 2))
     good = F.coalesce(minute > hour, F.lit(False))
     return F.struct(
-        F.when(~clash, outer).alias("outer"), F.when(~clash, inner).alias("inner"), _bounded("diameter", get(r"(?i)crown\s*diameter:?\s*(\d{1,2}(?:\.\d{1,2})?)\s*mm")).alias("diameter"),
+        F.when(~clash, outer).alias("outer"), F.when(~clash, inner).alias("inner"), _bounded("diameter", get(r"(?i)crown\s*diameter\s*:?\s*(\d{1,2}(?:\.\d{1,2})?)\s*mm")).alias("diameter"),
         F.when(good, hour).alias("hour"), F.when(good, minute).alias("minute"), F.when(good, _bounded("second", get(hands, 3))).alias("second"),
     )
 

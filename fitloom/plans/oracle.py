@@ -11,10 +11,10 @@ from fitloom.plans.mapping import BUILD_SLOT_SQL, CATALOG_SQL, EXCEPTION_SQL, LI
 A = {"movement": "mv", "case": "cs", "dial": "dl", "hands": "hd", "bezelInsert": "bi", "crystal": "cr", "chapterRing": "rg", "crown": "cw", "bezel": "bz", "strap": "st"}
 
 
-def wide_sql() -> str:
+def wide_sql(slots_sql: str = BUILD_SLOT_SQL) -> tuple[str, str]:
     joins = " ".join(f"LEFT JOIN parts {A[s]} ON {A[s]}.part_id = b.\"{s}\"" for s in SLOTS)
     pivot = ", ".join(f"min(CASE WHEN slot = '{s}' THEN part_id END) AS \"{s}\"" for s in SLOTS)
-    return f"""WITH listing AS ({LISTING_SQL}), slot_rows AS ({BUILD_SLOT_SQL}), exc AS ({EXCEPTION_SQL}),
+    return f"""WITH listing AS ({LISTING_SQL}), slot_rows AS ({slots_sql}), exc AS ({EXCEPTION_SQL}),
 offers AS (SELECT part_id, count(*) AS n_offers, arg_min(vendor_id, (price_minor, vendor_id)) AS cheapest_vendor, arg_min(in_stock, (price_minor, vendor_id)) AS cheapest_in_stock, list(DISTINCT vendor_id) AS vendors FROM listing GROUP BY part_id),
 parts AS (SELECT c.*, coalesce(o.n_offers, 0) AS n_offers, o.cheapest_vendor, o.cheapest_in_stock, o.vendors, nullif(regexp_extract(c.family, '^(.*)-(case|insert|crystal|chapter-ring|crown|bezel|bracelet)$', 1), '') AS plat FROM ({CATALOG_SQL}) c LEFT JOIN offers o USING (part_id)),
 b AS (SELECT build_id, {pivot} FROM slot_rows GROUP BY build_id),
@@ -113,9 +113,9 @@ def _weak(slots, decides) -> str:
     return "(" + " OR ".join(tests or ["false"]) + ")"
 
 
-def findings_sql(keys: list[str] | None = None) -> tuple[str, str]:
+def findings_sql(keys: list[str] | None = None, slots_sql: str = BUILD_SLOT_SQL) -> tuple[str, str]:
     """(WITH clause, SELECT of build_id, rule_key, severity, raw_severity, tier, slots)."""
-    head, source = wide_sql()
+    head, source = wide_sql(slots_sql)
     rows = []
     for key, (found, decides) in conditions().items():
         if keys is None or key in keys:
