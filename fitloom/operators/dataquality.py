@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 PRICE_RANGE = {"movement": (2_000, 20_000), "case": (1_000, 60_000), "dial": (500, 20_000), "hands": (200, 10_000), "strap": (300, 20_000)}
 
 #: Words in a name that speak for a family other than the one it is filed under.
-MARKERS = (("blush", "skx007"), ("lace", "skx013"), ("navy", "srpe"), ("linen", "ssk-gmt"))
+MARKERS = (("small", "skx007"), ("large", "skx013"), ("red", "srpe"), ("old", "ssk-gmt"))
 
 
 def unknown_family(parts: DataFrame, families: DataFrame) -> DataFrame:

@@ -510,14 +510,14 @@ def dq_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataquality.summary({"family": dq_unknown_family(spark, sf_dir), "names": dq_name_conflicts(spark, sf_dir), "prices": dq_price_range(spark, sf_dir)})
 
 
-_CLASS = "CASE WHEN p_type = 'PROMO' AND contains(p_name, 'a') THEN 'tagged' WHEN p_type = 'PROMO' THEN NULL WHEN p_type IN ('SMALL', 'MEDIUM') THEN 'tagged' WHEN contains(p_name, 'linen') THEN 'rejected' ELSE 'unmatched' END"
+_CLASS = "CASE WHEN p_type = 'PROMO' AND contains(p_name, 'a') THEN 'tagged' WHEN p_type = 'PROMO' THEN NULL WHEN p_type IN ('SMALL', 'MEDIUM') THEN 'tagged' WHEN contains(p_name, 'bolt') THEN 'rejected' ELSE 'unmatched' END"
 
 
 @query(f"SELECT p_partkey, {_CLASS} AS outcome FROM part")
 def tag_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered branches; a branch may take a row and give it no outcome."""
     kind, name = F.col("p_type"), F.col("p_name")
-    outcome = F.when((kind == "PROMO") & name.contains("a"), "tagged").when(kind == "PROMO", None).when(kind.isin("SMALL", "MEDIUM"), "tagged").when(name.contains("linen"), "rejected").otherwise("unmatched")
+    outcome = F.when((kind == "PROMO") & name.contains("a"), "tagged").when(kind == "PROMO", None).when(kind.isin("SMALL", "MEDIUM"), "tagged").when(name.contains("bolt"), "rejected").otherwise("unmatched")
     return table(spark, sf_dir, "part").select("p_partkey", outcome.alias("outcome"))
 
 
