@@ -17,7 +17,7 @@ BASIS = np.cos(np.pi * (2 * _N[None, :] + 1) * np.arange(KEPT)[:, None] / (2 * S
 
 def phash(pixels: np.ndarray) -> str:
     """256 bits in hexadecimal: low cosine coefficients of a 64 by 64 grey raster against their median."""
-    low = (BASIS @ pixels.reshape(SIDE, SIDE) @ BASIS.T).reshape(-1)
+    low = np.round(BASIS @ pixels.reshape(SIDE, SIDE) @ BASIS.T, 6).reshape(-1)  # coefficients that are nothing stay so
     return np.packbits(low > np.median(low)).tobytes().hex()
 
 
