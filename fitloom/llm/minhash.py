@@ -119,7 +119,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, bands:
     the bucket's smallest node is its hub and is confirmed against each other
     member (star edges), so a bucket costs its size.  Where members of a bucket
     still lie in several components, links between two non-hub members may be
-    missing; `_between` finds those exactly without forming the pairs of the bucket.
+    missing; `_between` finds those exactly without forming the bucket's pairs.
 
     Cases: a null or wordless text has n_shingles 0, is linked with nothing and
     is its own component; a null id stays unlinked, with null component and
@@ -146,9 +146,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, bands:
         return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
 
     labels = scratch.keep(components(confirmed(pairs), scratch), "labels")
-    more = confirmed(_between(members, sets, labels, percent))
+    sure, maybe = _between(members, sets, labels, percent, scratch)
+    more = confirmed(maybe).unionByName(sure)
     at = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    bridges = scratch.keep(more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct(), "bridges")
+    bridges = scratch.keep(more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct(), "bridges")
     if not bridges.isEmpty():
         joined = components(bridges, scratch).select(F.col("node").alias("component"), F.col("component").alias("whole"))
         lone = bridges.select(F.col("a").alias("node")).unionByName(bridges.select(F.col("b").alias("node"))).distinct().withColumn("component", F.col("node"))
@@ -161,30 +162,61 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, bands:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
 
 
-def _between(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components that share a bucket, by an exact prefix filter.
+def _between(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(sure links, candidate pairs) between nodes of different components that share a bucket; exact.
 
-    If two sets reach the threshold, then among the `n - ceil(percent * n) + 1`
-    rarest shingles of each there is one in common, in any fixed order of all
-    shingles.  Members of mixed buckets that hold many shingles of their own
-    (edited copies) so drop out unpaired, and only nodes with a rare shingle in
-    common meet.
+    A group is a component of hubs with all nodes that meet one of them in a
+    bucket; two nodes of one bucket are in one group.  In a group each node x is told
+    by its difference D(x) from the shingles that more than half of the group
+    hold.  With n shingles and p percent let
+        A(x) = (100 + p) |D(x)| - (100 - p) n(x);
+    x and y reach the threshold just when D(x) and D(y) have at least
+    (A(x) + A(y)) / (2 (100 + p)) elements in common.  So
+
+    * if A(x) + A(y) <= 0 they surely do, and a star around the node m of least A joins all such;
+    * any other pair of two components has a member x with A(x) > -A(m), a far one, and must share so many
+      elements that a prefix of each D, rare shingles first, has one in
+      common.  Edits that no two copies share keep such prefixes apart, so that copies
+      around one text do not meet in pairs.
     """
-    named = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    nodes = named.join(mixed, "bucket").select("node", "component").distinct()
-    listed = sets.join(nodes, "node", "left_semi").mapInArrow(_listed, "node long, n long, shingle long").distinct()
-    often = listed.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
-    # A shingle of one node alone takes a place in the prefix but joins nothing:
-    # it is counted, not kept.
-    common = listed.join(often, "shingle")
-    place = F.row_number().over(W.partitionBy("node").orderBy("often", "shingle"))
-    least = F.ceil(F.col("n") * percent / 100)
-    ranked = common.withColumn("place", place).withColumn("alone", F.col("n") - F.count("*").over(W.partitionBy("node")))
-    prefix = ranked.where(F.col("alone") + F.col("place") <= F.col("n") - least + 1).select("shingle", "node", "n").join(nodes, "node")
-    other = prefix.select("shingle", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-    met = prefix.join(other, "shingle").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("bc")) & _fits(F.col("n"), F.col("bn"), percent))
-    return met.select(F.col("node").alias("a"), "b").distinct()
+    full, gap = 100 + percent, 100 - percent
+    tag = labels.select(F.col("node").alias("hub"), F.col("component").alias("group"))
+    star = members.select("hub", "node").distinct().join(tag, "hub", "left").select(F.coalesce("group", "hub").alias("group"), "node").distinct()
+    named = star.join(labels, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component"))
+    # A hub and one other node have met already.
+    mixed = named.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("group", "size")
+    nodes = scratch.keep(named.join(mixed, "group"), "groups")
+    listed = sets.join(nodes.select("node").distinct(), "node", "left_semi").mapInArrow(_listed, "node long, n long, shingle long").join(nodes, "node")
+    listed = scratch.keep(listed.select("group", "size", "node", "n", "component", "shingle"), "listed")
+    often = listed.groupBy("group", "shingle").agg(F.count("*").alias("often"))
+    # A shingle of one node alone: rare, and in no other's prefix, so it takes a place but is not joined.
+    counted = listed.join(often, ["group", "shingle"])
+    held = F.col("often") * 2 > F.col("size")
+    own = counted.groupBy("group", "node", "component").agg(
+        F.max("n").alias("n"), F.array_sort(F.collect_list(F.when(~held & (F.col("often") > 1), F.struct("often", "shingle")))).alias("extra"), F.count_if(F.col("often") == 1).alias("alone"), F.collect_list(F.when(held, F.col("shingle"))).alias("kept")
+    )
+    center = often.join(mixed, "group").where(held).groupBy("group").agg(F.array_sort(F.collect_list("shingle")).alias("center"))
+    told = own.join(center, "group", "left").withColumn("center", F.coalesce("center", F.array().cast("array<long>"))).withColumn("missing", F.array_sort(F.array_except("center", "kept")))
+    told = told.withColumn("d", (F.size("extra") + F.col("alone") + F.size("missing")).cast("long")).withColumn("far", F.lit(full) * F.col("d") - F.lit(gap) * F.col("n"))
+    elements = F.concat(F.transform("extra", lambda e: F.struct(F.lit(1).alias("sign"), e["shingle"].alias("shingle"))), F.transform("missing", lambda e: F.struct(F.lit(-1).alias("sign"), e.alias("shingle"))))
+    told = scratch.keep(told.select("group", "node", "component", "n", "d", "far", "alone", F.size("center").cast("long").alias("c"), elements.alias("elements")), "told")
+
+    least = told.groupBy("group").agg(F.min(F.struct("far", "node", "component")).alias("m"))
+    near = told.join(least, "group").withColumn("outer", F.col("far") + F.col("m.far") > 0)
+    sure = near.where(~F.col("outer") & (F.col("component") != F.col("m.component"))).select(F.col("m.node").alias("a"), F.col("node").alias("b"))
+    # What A is at least for any partner of a fitting size.
+    size = F.least(F.greatest("c", F.ceil(F.col("n") * percent / 100)), F.floor(F.col("n") * 100 / percent))
+    of_size = F.lit(full) * F.abs(size - F.col("c")) - F.lit(gap) * size
+    shared = lambda least_far: F.greatest(F.lit(1), F.ceil((F.col("far") + least_far) / (2 * full)))
+    prefix = lambda least_far: F.greatest(F.lit(0), F.col("d") - shared(least_far) + 1 - F.col("alone")).cast("int")
+    short, long_ = prefix(F.greatest("m.far", 1 - F.col("m.far"), of_size)), prefix(F.greatest("m.far", of_size))
+    row = lambda n: near.select("group", "node", "n", "component", "outer", F.explode(F.slice("elements", F.lit(1), n)).alias("e"))
+    brief = row(short)
+    other = brief.select("group", "e", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"), F.col("outer").alias("bo"))
+    apart = (F.col("component") != F.col("bc")) & _fits(F.col("n"), F.col("bn"), percent)
+    both = brief.where("outer").join(other.where("bo"), ["group", "e"]).where(apart & (F.col("node") < F.col("b")))
+    one = row(long_).where("outer").join(other.where("not bo"), ["group", "e"]).where(apart)
+    return sure, both.unionByName(one).select(F.col("node").alias("a"), "b").distinct()
 
 
 def without_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
