@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fitloom.functions import codecs, text
+from fitloom.functions import codecs, links, text
 from fitloom.operators import dataquality, evaluate, matching, offers, pricing, raster, recommend, upsert
 from fitloom.operators.rules import RULES
 from fitloom.plans import mapping, oracle
@@ -593,3 +593,84 @@ def phash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raster_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subjects in those rasters: count, largest area, fill and aspect."""
     return raster.subjects(raster.drawn(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
+# ---- links, saved builds, vocabularies, samples -----------------------------------------
+
+
+@query(f"WITH s AS ({mapping.BUILD_SLOT_SQL}) SELECT build_id, string_agg(slot || '=' || part_id, '&' ORDER BY slot) AS link FROM s GROUP BY build_id")
+def build_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A build as a query string, slots in order."""
+    return links.encode(mapping.build_slots(spark, sf_dir))
+
+
+@query(f"WITH s AS ({mapping.BUILD_SLOT_SQL}) SELECT build_id, slot, part_id, 'ok' AS verdict FROM s UNION ALL SELECT build_id, 'junk', NULL, 'unknown slot' FROM (SELECT DISTINCT build_id FROM s) x UNION ALL SELECT build_id, 'dial', NULL, 'malformed' FROM (SELECT DISTINCT build_id FROM s) x UNION ALL SELECT build_id, 'case', 999999999, 'unknown part' FROM (SELECT DISTINCT build_id FROM s) x")
+def link_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links with junk added, read back: what is malformed or unknown is reported, the rest is the build."""
+    made = build_links(spark, sf_dir).withColumn("link", F.concat("link", F.lit("&junk=1&dial=x&case=999999999")))
+    return links.decode(made, mapping.catalog(spark, sf_dir))
+
+
+@query(_HEAD + f"""SELECT substr(sha256(concat('build-', build_id)), 1, 8) AS id, build_id FROM (SELECT b.build_id, count(*) FILTER (WHERE severity = 'error') AS e FROM b LEFT JOIN ({_ALL}) f USING (build_id) GROUP BY b.build_id) x WHERE e = 0""")
+def saved_builds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Builds that may be saved, under ids that follow from their content; blocked ones are refused."""
+    good = evaluate.evaluate(wide(spark, sf_dir)).where("status <> 'blocked'")
+    return good.select(F.substring(F.sha2(F.concat(F.lit("build-"), F.col("build_id").cast("string")), 256), 1, 8).alias("id"), "build_id")
+
+
+_TAGGED = f"SELECT p_partkey, unnest(string_split({_tag_sql('p_name', 'category')}, ',')) AS tag FROM (SELECT *, CASE p_partkey % 5 WHEN 0 THEN 'dial' WHEN 1 THEN 'hands' WHEN 2 THEN 'bezel_insert' WHEN 3 THEN 'strap' ELSE 'crown' END AS category FROM part) p"
+
+
+@query(f"SELECT tag, count(*) AS n FROM ({_TAGGED}) t WHERE tag <> '' GROUP BY tag")
+def tag_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tags(spark, sf_dir).select(F.explode(F.split("tags", ",")).alias("tag")).where("tag <> ''").groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query("SELECT v.tag FROM (SELECT unnest([" + ", ".join(f"'{t}'" for t, _, _ in text.STYLE_TAGS) + f"]) AS tag) v WHERE v.tag NOT IN (SELECT tag FROM ({_TAGGED}) t)")
+def unused_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags that no part carries."""
+    vocabulary = spark.createDataFrame([(t,) for t, _, _ in text.STYLE_TAGS], "tag string")
+    return vocabulary.join(tag_frequency(spark, sf_dir), "tag", "left_anti")
+
+
+@query("SELECT p_type, p_size AS modal_size FROM (SELECT p_type, p_size, row_number() OVER (PARTITION BY p_type ORDER BY count(*) DESC, p_size) AS k FROM part GROUP BY p_type, p_size) x WHERE k = 1")
+def modal_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commonest size of each category, the smallest of equals; from counts, never from a list of all rows."""
+    counts = table(spark, sf_dir, "part").groupBy("p_type", "p_size").agg(F.count("*").alias("n"))
+    return counts.groupBy("p_type").agg(F.min_by("p_size", F.struct(-F.col("n"), "p_size")).alias("modal_size"))
+
+
+@query("SELECT p_partkey, p_brand, tag::INTEGER AS tag FROM (SELECT p_partkey, p_brand, k, row_number() OVER (ORDER BY p_brand, k) AS tag FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS k FROM part) x WHERE k <= CASE WHEN p_brand LIKE '%1' THEN 3 ELSE 2 END) y")
+def stratified_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quota of each class, the first by name, then numbered through."""
+    ranked = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_name", "p_partkey")).alias("k"))
+    chosen = ranked.where(F.col("k") <= F.when(F.col("p_brand").endswith("1"), 3).otherwise(2))
+    return chosen.select("p_partkey", "p_brand", F.row_number().over(Window.orderBy("p_brand", "k")).alias("tag"))
+
+
+@query("SELECT p_partkey, md5(p_partkey::VARCHAR) AS draw FROM part QUALIFY row_number() OVER (ORDER BY md5(p_partkey::VARCHAR)) <= ceil(0.1 * count(*) OVER ())")
+def spot_check_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the parts for review, drawn by a digest and so the same every time; a sampling operator."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.md5(F.col("p_partkey").cast("string")).alias("draw"))
+    return parts.orderBy("draw").limit(int(-(-parts.count() // 10)))
+
+
+@query("SELECT o_orderstatus AS state, count(*) AS n, count(*) FILTER (WHERE c_custkey IS NULL) AS orphans FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0 GROUP BY ROLLUP (o_orderstatus)")
+def states_sum_to_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by state with their total, and how many lack their partner."""
+    people = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("there"))
+    joined = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderstatus").alias("state")).join(people, "o_custkey", "left")
+    return joined.rollup("state").agg(F.count("*").alias("n"), F.count_if(F.col("there").isNull()).alias("orphans"))
+
+
+@query("SELECT lang, round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END), 6) AS good_share, count(*) FILTER (WHERE toxic = 1) AS breaches, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY lang")
+def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall-like shares and breach counts of a labelled evaluation set."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return rows.groupBy("lang").agg(F.round(F.avg((F.col("quality") == 1).cast("int")), 6).alias("good_share"), F.count_if(F.col("toxic") == 1).alias("breaches"), F.count("*").alias("n"))
+
+
+@query(r"SELECT page_id, coalesce(nullif(regexp_extract(url, '/([^/?#]+)/?(?:[?#].*)?$', 1), ''), '') AS handle, regexp_replace(url, '[?&]v=\d+', '') AS clean FROM pages")
+def url_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last segment of each link, and the link without its cache key."""
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"/([^/?#]+)/?(?:[?#].*)?$", 1).alias("handle"), F.regexp_replace("url", r"[?&]v=\d+", "").alias("clean"))
