@@ -87,8 +87,11 @@ def to_matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def training_rows(features: DataFrame, sample: DataFrame, label: str, counts: dict, width: int):
-    """(x, y, weight, doc ids) of the sampled rows; weights restore the classes' shares."""
-    rows = features.join(sample, "doc_id").select("doc_id", "x", F.col(label).cast("double").alias("y")).toArrow().combine_chunks()
+    """(x, y, weight, doc ids) of the sampled rows; weights restore the classes' shares.
+
+    The sample's bound (some ten thousand ids) is what lets it be broadcast.
+    """
+    rows = features.join(F.broadcast(sample), "doc_id").select("doc_id", "x", F.col(label).cast("double").alias("y")).toArrow().combine_chunks()
     x = np.asarray(rows["x"].combine_chunks().flatten(), np.float64).reshape(-1, width) if len(rows) else np.zeros((0, width))
     y, ids = np.asarray(rows["y"], float), np.asarray(rows["doc_id"], np.int64)
     order = np.lexsort((y, ids))  # the same model whatever order the rows come in

@@ -145,7 +145,7 @@ def learn_lexicon(docs: DataFrame, sample: DataFrame, label: str, size: int = LE
     Counts documents by term and label in Spark over the sampled rows; the
     driver gets the `size` terms of the highest log-likelihood ratio at most.
     """
-    texts = docs.join(sample, "doc_id").select("text", F.col(label).cast("double").alias("y"))
+    texts = docs.join(F.broadcast(sample), "doc_id").select("text", F.col(label).cast("double").alias("y"))
     totals = sample.agg(F.coalesce(F.sum(F.col(label).cast("double")), F.lit(0.0)), F.count("*")).first()
     pos, neg = float(totals[0]), float(totals[1] - totals[0])
     if not pos or not neg:
