@@ -41,17 +41,19 @@ def wide_builds(slots: DataFrame, catalog: DataFrame, listings: DataFrame, excep
     return joined.groupBy("build_id").agg(*[F.any_value(F.when(F.col("slot") == s, F.col("part")), F.lit(True)).alias(f"p_{s}") for s in SLOTS])
 
 
+def _source_is_weak(rule: Rule, slot: str) -> str:
+    """SQL text: it is one call for Spark's parser and not a dozen columns."""
+    sources = ["marketplace-stated", "user-entered", *(["family-inferred"] if slot in rule.family_decides else [])]
+    return f"p_{slot}.spec_source in ({', '.join(repr(x) for x in sources)})"
+
+
 def _tiered(rule: Rule, findings: Column) -> Column:
     """Findings with rule key, tier and the severity that the evidence allows."""
 
+    weak = F.expr("array_compact(array(" + ", ".join(f"case when {_source_is_weak(rule, s)} then '{s}' end" for s in SLOTS) + "))")
+
     def one(f):
-        outside = F.lit(False)
-        for s in SLOTS:
-            source = part(s, "spec_source")
-            weak = source.isin("marketplace-stated", "user-entered")
-            if s in rule.family_decides:
-                weak = weak | (source == "family-inferred")
-            outside = outside | (F.array_contains(f["slots"], s) & F.coalesce(weak, F.lit(False)))
+        outside = F.arrays_overlap(f["slots"], weak)
         tier = F.when(outside, "unconfirmed").otherwise("verified" if rule.key in VERIFIED else "checked")
         lowered = (f["severity"] == "error") & (tier != "verified")
         note = F.when(tier == "unconfirmed", UNCONFIRMED).otherwise(CHECKED)
@@ -93,12 +95,7 @@ def status(found: DataFrame, wide: DataFrame) -> DataFrame:
 
 def _weak(rule: Rule, slots: list[str]) -> Column:
     """Whether a finding over these slots rests on figures that no vendor published."""
-    out = F.lit(False)
-    for s in slots:
-        source = part(s, "spec_source")
-        weak = source.isin("marketplace-stated", "user-entered", *(["family-inferred"] if s in rule.family_decides else []))
-        out = out | F.coalesce(weak, F.lit(False))
-    return out
+    return F.expr(" or ".join(f"coalesce({_source_is_weak(rule, s)}, false)" for s in slots) or "false")
 
 
 def evaluate(wide: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
