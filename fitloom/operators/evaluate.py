@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import operator
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,8 +81,7 @@ def findings_of(rule: Rule) -> Column:
 
 def findings(wide: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(build_id, rule_key, severity, raw_severity, tier, slots, message, fix): a row for each finding."""
-    all_ = F.flatten(F.array(*[findings_of(r) for r in rules]))
-    return wide.select("build_id", F.explode(all_).alias("f")).select("build_id", "f.*")
+    return wide.select("build_id", F.explode(_all_findings(rules, id(wide.sparkSession))).alias("f")).select("build_id", "f.*")
 
 
 def status(found: DataFrame, wide: DataFrame) -> DataFrame:
@@ -98,8 +97,9 @@ def _weak(rule: Rule, slots: list[str]) -> Column:
     return F.expr(" or ".join(f"coalesce({_source_is_weak(rule, s)}, false)" for s in slots) or "false")
 
 
-def evaluate(wide: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """As `status`, but in one pass over the wide rows: findings are counted by scalar expressions and nothing is shuffled."""
+@lru_cache(maxsize=64)
+def _count_columns(rules: tuple[Rule, ...], session: int) -> tuple[Column, ...]:
+    """Counts of errors, warnings and notes; kept, since building them takes some thousand calls to the JVM."""
     counts = {"error": [], "warning": [], "info": []}
     yes = lambda c: F.when(c, 1).otherwise(0)
     for rule in rules:
@@ -116,7 +116,17 @@ def evaluate(wide: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 counts["error"].append(F.when(firm, of("error")).otherwise(0))
                 counts["warning"].append(of("warning") + F.when(firm, 0).otherwise(of("error")))
                 counts["info"].append(of("info"))
-    out = wide.select("build_id", *[reduce(operator.add, terms).cast("long").alias(f"n_{level}") for level, terms in counts.items()])
+    return tuple(reduce(operator.add, terms).cast("long").alias(f"n_{level}") for level, terms in counts.items())
+
+
+@lru_cache(maxsize=64)
+def _all_findings(rules: tuple[Rule, ...], session: int) -> Column:
+    return F.flatten(F.array(*[findings_of(r) for r in rules]))
+
+
+def evaluate(wide: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """As `status`, but in one pass over the wide rows: findings are counted by scalar expressions and nothing is shuffled."""
+    out = wide.select("build_id", *_count_columns(rules, id(wide.sparkSession)))
     return out.withColumn("status", F.when(F.col("n_error") > 0, "blocked").when(F.col("n_warning") > 0, "warnings").otherwise("ok"))
 
 
