@@ -28,14 +28,13 @@ HEAD = struct.Struct("<4sHHqqqq")  # magic, version, bytes an id, documents, nul
 #: A shard is closed at this many ids; one document is never split.
 SHARD_IDS = 4_000_000
 #: Words that a worker remembers; it forgets all beyond that, which costs time only.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 _WORKER: dict[int, tuple] = {}
-WHOLE_WORD = re.compile("[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+CUT = re.compile("^([a-z\xdf-\xf6\xf8-\xff]+)([.,;:!?]*)$|^(.+)$", re.M)
 
 
 CONTROL = re.compile("[\x1c-\x1f]").search
 SPACES = re.compile("[\t-\r ]+")
-TRAILING = frozenset([".", ",", ";", ":", "!", "?", "!!", "...", ").", "),", ")"])
 
 
 class EliasFano:
@@ -163,24 +162,22 @@ class WordCache:
             self.words.clear()
         if len(self.letters) > REMEMBERED:
             self.letters.clear()
-        new = {w for words in split for w in words}
+        new = set().union(*split)
         new.difference_update(self.words)
-        cut, odd = {}, []
-        for w in new:
-            m = WHOLE_WORD.match(w)
-            rest = w[m.end() :] if m else w
-            if m and (not rest or rest in TRAILING):
-                cut[w] = m.group().lower(), rest
-            else:
-                odd.append(w)
-        self._letters(list({c[0] for c in cut.values()} - self.letters.keys()))
-        odd += {c[1] for c in cut.values() if c[1] and c[1] not in self.words}
+        if "" in new:
+            new.remove("")
+            self.words[""] = b""
+        lines = list(new)
+        cut = CUT.findall("\n".join(lines).lower())  # (letters, marks, anything else) of each word
+        self._letters(list({c for c, _, _ in cut if c} - self.letters.keys()))
+        odd = [w for w, (c, _, _) in zip(lines, cut, strict=True) if not c] + list({r for c, r, _ in cut if c and r} - self.words.keys() - new)
         for w, got in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             self.words[w] = np.array(got.ids, self.dtype).tobytes()
-        for w, (run, rest) in cut.items():
-            self.words[w] = self.letters[run] + (self.words[rest] if rest else b"")
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        letters, words = self.letters, self.words
+        words.update([(w, letters[c]) for w, (c, r, _) in zip(lines, cut, strict=True) if c and not r])
+        words.update([(w, letters[c] + words[r]) for w, (c, r, _) in zip(lines, cut, strict=True) if c and r])
+        get = words.__getitem__
+        return [b"".join(map(get, ws)) for ws in split]
 
 
 def _write(blob, folder: str, end_id: int):
