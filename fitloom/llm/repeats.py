@@ -205,6 +205,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     parsed = scratch.keep(rows.mapInArrow(_parse(length, part), "doc long, mark long, core long, whole long, start long, n long"), "phrases")
     cores = parsed.groupBy("core").agg(F.count("*").alias("seen"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("seen > 1").select("core", (F.col("a") == F.col("b")).alias("alike"))
     alive = scratch.keep(parsed.join(cores, "core"), "alive")
+    scratch.drop(parsed)
     differ = alive.where(~F.col("alike"))
     wholes = scratch.keep(differ.groupBy("core", "whole").agg(F.count("*").alias("seen"), F.min(F.struct("doc", "mark", "start", "n")).alias("one")), "wholes")
     repeated = alive.where("alike").select("doc", "mark", "start", "n").unionByName(differ.join(wholes.where("seen > 1").select("core", "whole"), ["core", "whole"], "left_semi").select("doc", "mark", "start", "n"))
