@@ -29,6 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows and bytes that go to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = "1500", "8m"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are small: texts are long, and a worker holds a few copies of a batch.
+
+    Settings other than Spark's own are left as they are.
+    """
+    conf = df.sparkSession.conf
+    for key, plain, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20), BATCH_BYTES)):
+        if conf.get(key, None) in (plain, "64MB", "64m", None):
+            conf.set(key, ours)
+    return df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table this run wrote, on whatever file system it lies."""
     jvm = spark.sparkContext._jvm

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import byte_view, chunks
+from fitloom.llm.common import byte_view, chunks, small_batches
 from fitloom.llm.labelled import remainder
 
 #: Hashed n-gram dimensions, and labelled rows of each language to learn from, at most.
@@ -184,7 +184,7 @@ def learn(docs: DataFrame, modulus: int = 3, held: int = 1, bound: int = FIT_ROW
     At most about `bound` rows of each language are used, picked by a hash of the id.
     Returns None where there is no labelled row.
     """
-    rows = docs.where((remainder("doc_id", modulus) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = small_batches(docs).where((remainder("doc_id", modulus) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = rows.groupBy("lang").count()  # a row a language
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
     chosen = rows.join(F.broadcast(counts), "lang").where(draw < F.lit(float(bound)) / F.col("count")).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fitloom.llm.common import U64, Scratch, byte_view, chunks, mix, shingle_sets, stream
+from fitloom.llm.common import U64, Scratch, byte_view, chunks, mix, shingle_sets, small_batches, stream
 from fitloom.llm.components import components
 
 #: A pair of Jaccard 0.8 shares none of 40 bands of 5 rows with probability 1.3e-7.
@@ -128,7 +128,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, bands:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hashed = docs.withColumn("text_hash", F.xxhash64("text"))
     signed = scratch.keep(hashed.mapInArrow(_describe(shingle, bands, rows), "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>"), "signatures")
     named = signed.where("set_key is not null and doc_id is not null")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fitloom.llm import gbt
-from fitloom.llm.common import SPACE, Scratch, byte_view, chunks, word_hashes
+from fitloom.llm.common import SPACE, Scratch, byte_view, chunks, small_batches, word_hashes
 from fitloom.llm.labelled import remainder, sample_labels
 
 #: Labelled rows of each class that the trees are fitted on, at most.
@@ -125,7 +125,7 @@ def classify(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     features = scratch.keep(rows.mapInArrow(_features, "doc_id long, x array<float>"), "features")
     sample, counts = sample_labels(labels.where(remainder("doc_id", modulus) != held), label, bound)
     x, y, weight, _ = training_rows(features, sample, label, counts, len(NAMES))

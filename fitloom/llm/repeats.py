@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import BASE, BYTE_VALUE, U64, Scratch, byte_view, mix
+from fitloom.llm.common import BASE, BYTE_VALUE, U64, Scratch, byte_view, mix, small_batches
 
 #: Bytes of the rolling hash, and distances from a trigger that share a phrase.
 GRAM, STEP = 16, 128
@@ -201,7 +201,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     """
     scratch = Scratch(docs.sparkSession, "repeats")
     # A row is known by its id and a hash of its text; rows alike in both share their runs.
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(F.col(text_col).cast("string"), F.col(id_col).isNull()).alias("mark"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(F.col(text_col).cast("string"), F.col(id_col).isNull()).alias("mark"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     parsed = scratch.keep(rows.mapInArrow(_parse(length, part), "doc long, mark long, core long, whole long, start long, n long"), "phrases")
     cores = parsed.groupBy("core").agg(F.count("*").alias("seen"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("seen > 1").select("core", (F.col("a") == F.col("b")).alias("alike"))
     alive = scratch.keep(parsed.join(cores, "core"), "alive")

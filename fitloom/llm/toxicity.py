@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fitloom.llm import gbt
-from fitloom.llm.common import BASE, BYTE_VALUE, U64, Scratch, byte_view, chunks, mix
+from fitloom.llm.common import BASE, BYTE_VALUE, U64, Scratch, byte_view, chunks, mix, small_batches
 from fitloom.llm.labelled import remainder, sample_labels
 from fitloom.llm.quality import to_matrix, training_rows
 
@@ -197,7 +197,7 @@ def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     learn = labels.where(remainder("doc_id", modulus) != held)
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
     words, _ = sample_labels(learn.where(half == 0), label, lexicon_bound)
