@@ -20,10 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import byte_view, chunks, small_batches
+from fitloom.llm.common import byte_view, chunks, released, small_batches
 
 #: Pieces that a worker remembers; it forgets all beyond that, which costs time only.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 #: The pattern of the public rank files, and one that splits texts of plain
 #: characters alike but runs faster; texts with any other character take the first.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -32,7 +32,7 @@ UNUSUAL = re.compile("[^\t-\r\x20-\x7e\xc0-\u024f]").search
 #: What this worker process has built and encoded, by rank file.
 _WORKER: dict[int, tuple] = {}
 #: Text whose pieces are merged together.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def read_ranks(blob: bytes) -> list[bytes]:
@@ -212,9 +212,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     n log n; repeated rows give a row each; an empty table gives none; other
     columns are not read.
     """
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_encode(_blob(docs, ranks_path), pattern), "doc_id long, n_tokens long, ids binary")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(released(_encode(_blob(docs, ranks_path), pattern)), "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """Adds `decoded`, the bytes that the ids stand for; no ids give no bytes."""
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(_decode(_blob(encoded, ranks_path)), "doc_id long, n_tokens long, ids binary, decoded binary")
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(released(_decode(_blob(encoded, ranks_path))), "doc_id long, n_tokens long, ids binary, decoded binary")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import ctypes.util
 import tempfile
 import uuid
 
@@ -45,6 +47,22 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def released(run):
+    """run, whose worker gives unused memory back to the system when a task ends; workers live on between stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            name = ctypes.util.find_library("c")
+            trim = getattr(ctypes.CDLL(name), "malloc_trim", None) if name else None
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table this run wrote, on whatever file system it lies."""
     jvm = spark.sparkContext._jvm

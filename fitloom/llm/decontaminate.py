@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import U64, WORDLIKE, byte_view, chunks, mix, small_batches, stream, word_hashes
+from fitloom.llm.common import U64, WORDLIKE, byte_view, chunks, mix, released, small_batches, stream, word_hashes
 
 #: Tokens of the shortest tile, and the share of an item's tokens that tiles must cover.
 LEAST_TILE, COVERAGE = 5, 0.5
@@ -195,7 +195,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, coverage: float = COV
     source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
     for n, block in enumerate(_blocks(benchmark.withColumn("item_id", F.col("item_id").cast("long")))):
-        found = source.mapInArrow(rows(block), schema)
+        found = source.mapInArrow(released(rows(block)), schema)
         out = found if n == 0 else out.unionByName(found)
     return out
 
@@ -211,5 +211,5 @@ def without_items(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
         return run
 
     for block in _blocks(benchmark.withColumn("item_id", F.col("item_id").cast("long"))):
-        docs = small_batches(docs).mapInArrow(keep(block, docs.columns.index("text")), docs.schema)
+        docs = small_batches(docs).mapInArrow(released(keep(block, docs.columns.index("text"))), docs.schema)
     return docs

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import byte_view, chunks, small_batches
+from fitloom.llm.common import byte_view, chunks, released, small_batches
 from fitloom.llm.labelled import remainder
 
 #: Hashed n-gram dimensions, and labelled rows of each language to learn from, at most.
@@ -208,7 +208,7 @@ def identify(docs: DataFrame, modulus: int = 3, held: int = 1, bound: int = FIT_
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, modulus, held, bound))
     held_out = F.coalesce(remainder("doc_id", modulus) == held, F.lit(False)).alias("held_out")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out, F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(released(_predict(model)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def recognised(docs: DataFrame, least: float = 0.26, modulus: int = 3, held: int = 1, bound: int = FIT_ROWS) -> DataFrame:
@@ -226,4 +226,4 @@ def recognised(docs: DataFrame, least: float = 0.26, modulus: int = 3, held: int
             good = [any(c.isalpha() for c in t.as_py() or "") for t in batch.column(at)] if unlearned else [n != "und" and s >= least for n, s in zip(names, scores.tolist(), strict=True)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(released(keep), docs.schema)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fitloom.llm.common import U64, Scratch, byte_view, chunks, mix, shingle_sets, small_batches, stream
+from fitloom.llm.common import U64, Scratch, byte_view, chunks, mix, released, shingle_sets, small_batches, stream
 from fitloom.llm.components import components
 
 #: A pair of Jaccard 0.8 shares none of 40 bands of 5 rows with probability 1.3e-7.
@@ -130,7 +130,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, bands:
     scratch = Scratch(spark, "minhash")
     docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    signed = scratch.keep(hashed.mapInArrow(_describe(shingle, bands, rows), "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>"), "signatures")
+    signed = scratch.keep(hashed.mapInArrow(released(_describe(shingle, bands, rows)), "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>"), "signatures")
     named = signed.where("set_key is not null and doc_id is not null")
     classes = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("r.doc_id", "r.n_shingles", "r.bands")
     slots = classes.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"))
@@ -139,11 +139,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, bands:
     pairs = members.where("node <> hub").where(_fits(F.col("n"), F.col("hub_n"), percent)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = scratch.keep(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "node long, shingles binary"), "sets")
+    sets = scratch.keep(docs.join(wanted, "doc_id", "left_semi").mapInArrow(released(_sets(shingle)), "node long, shingles binary"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(released(_confirm(percent)), "a long, b long")
 
     labels = scratch.keep(components(confirmed(pairs), scratch), "labels")
     sure, maybe = _between(members, sets, labels, percent, scratch)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fitloom.llm.common import byte_view, chunks, small_batches
+from fitloom.llm.common import byte_view, chunks, released, small_batches
 
 MAGIC, VERSION = b"FLTK", 1
 HEAD = struct.Struct("<4sHHqqqq")  # magic, version, bytes an id, documents, null ids, smallest id, ids
@@ -256,7 +256,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     target = jvm.org.apache.hadoop.fs.Path(folder)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    made = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(_write(blob, folder, end_id), "name string, part int, number int, n_docs long, n_ids long")
+    made = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(released(_write(blob, folder, end_id)), "name string, part int, number int, n_docs long, n_ids long")
     made.write.parquet(f"{folder}/_manifest")
     return spark.read.parquet(f"{folder}/_manifest")
 
