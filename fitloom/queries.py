@@ -154,6 +154,30 @@ def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.insert_absent(old, new, ["k"])
 
 
+# The same two writers over whole tables: every line changes its supplier, a known key, and its part, a new one.
+_ALL_OLD = "SELECT 'supplier' AS kind, s_suppkey AS k, s_name AS name, CAST(s_nationkey AS BIGINT) AS n FROM supplier"
+_ALL_NEW = "SELECT 'supplier' AS kind, l_suppkey AS k, concat('v', l_linenumber) AS name, l_orderkey AS n FROM lineitem UNION ALL SELECT 'part', l_partkey, concat('v', l_linenumber), l_orderkey FROM lineitem"
+
+
+def _all_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    old = table(spark, sf_dir, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("long").alias("n"))
+    key = lambda kind, k: F.struct(F.lit(kind).alias("kind"), F.col(k).alias("k"))
+    lines = table(spark, sf_dir, "lineitem").select(F.explode(F.array(key("supplier", "l_suppkey"), key("part", "l_partkey"))).alias("key"), F.concat(F.lit("v"), F.col("l_linenumber").cast("string")).alias("name"), F.col("l_orderkey").alias("n"))
+    return old, lines.select("key.*", "name", "n")
+
+
+@query(f"WITH o AS ({_ALL_OLD}), c AS (SELECT kind, k, arg_max(name, (n, name)) AS name, max(n) AS n FROM ({_ALL_NEW}) GROUP BY kind, k) SELECT coalesce(o.kind, c.kind) AS kind, coalesce(o.k, c.k) AS k, CASE WHEN o.k IS NULL THEN c.name ELSE o.name END AS name, CASE WHEN c.k IS NULL THEN o.n ELSE c.n END AS n FROM o FULL JOIN c ON o.kind = c.kind AND o.k = c.k")
+def upsert_all_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As upsert_listed_columns, but each line is applied to all suppliers and, as new keys, to parts."""
+    return upsert.upsert(*_all_changes(spark, sf_dir), ["kind", "k"], ["n", "name"], ["n"])
+
+
+@query(f"WITH o AS ({_ALL_OLD}) SELECT * FROM o UNION ALL SELECT kind, k, min(struct_pack(name := name, n := n)).name, min(struct_pack(name := name, n := n)).n FROM ({_ALL_NEW}) c WHERE (kind, k) NOT IN (SELECT (kind, k) FROM o) GROUP BY kind, k")
+def insert_all_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As insert_if_absent, over all suppliers and all lines."""
+    return upsert.insert_absent(*_all_changes(spark, sf_dir), ["kind", "k"])
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND c.k IS NOT NULL THEN 'T' ELSE o_orderstatus END AS o_orderstatus FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R') c ON c.k = o_orderkey")
 def guarded_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only rows still in the guarded state change."""
