@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fitloom.functions.text import jaccard
+
 #: Bits of 256 that may differ for images to count as close, and the least overlap of names.
 CLOSE, OVERLAP = 40, 0.28
 
@@ -46,6 +50,95 @@ def suggestions(pairs: DataFrame, limit: int = 8) -> DataFrame:
     return pairs.where(near | (F.col("overlap") >= OVERLAP)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def _shared(words: pa.ListArray, other: pa.ListArray) -> np.ndarray:
+    """Overlap of each word set with each other one; 0 where either is empty."""
+    n, m = (np.diff(w.offsets.to_numpy()) for w in (words, other))
+    codes = pa.concat_arrays([words.flatten(), other.flatten()]).dictionary_encode()
+    held = np.zeros((len(n) + len(m), max(1, len(codes.dictionary))), np.float32)
+    held[np.repeat(np.arange(len(held)), np.concatenate([n, m])), codes.indices.to_numpy(zero_copy_only=False)] = 1
+    both = (held[: len(n)] @ held[len(n) :].T).astype(float)
+    return both / np.maximum(n[:, None] + m[None, :] - both, 1)
+
+
+def _best_of_blocks(limit: int, most: int, named: bool):
+    def run(table: pa.Table) -> pa.Table:
+        sides = []
+        for side in ("left", "right"):
+            ids, vendors, words, bits = table.column(side).combine_chunks()[0].values.flatten()
+            order = pa.array(np.argsort(ids.to_numpy(), kind="stable"))
+            sides.append((ids.take(order).to_numpy(), vendors.take(order), words.take(order), np.stack(bits.take(order).to_numpy(zero_copy_only=False)).view(np.uint64)))
+        (a, va, wa, x), (b, vb, wb, y) = sides
+        far = sum(np.bitwise_count(x[:, k, None] ^ y[None, :, k]).astype(np.int64) for k in range(x.shape[1]))
+        sellers = pa.concat_arrays([va, vb]).dictionary_encode().indices.fill_null(-1).to_numpy()
+        same = (sellers[: len(a), None] == sellers[None, len(a) :]) & (sellers[: len(a), None] >= 0)
+        overlap = _shared(wa, wb) if named else np.zeros(far.shape)
+        levels, level = np.unique(-overlap, return_inverse=True)
+        # Ids are in order, so a place stands for the smaller id.
+        key = (far * len(levels) + level.reshape(far.shape)) * len(b) + np.arange(len(b))
+        none = np.iinfo(np.int64).max
+        key[(far > most) | same | (a[:, None] == b[None, :])] = none
+        k = min(limit, len(b))
+        at = np.argpartition(key, k - 1, axis=1)[:, :k]
+        i, j = np.nonzero(np.take_along_axis(key, at, 1) < none)
+        j = at[i, j]
+        return pa.table({"seed": a[i], "part": b[j], "distance": far[i, j], "overlap": overlap[i, j]})
+
+    return run
+
+
+def closest(items: DataFrame, limit: int, most: int, block: int = 512, named: bool = True) -> DataFrame:
+    """(seed, part, distance, overlap): for every item its `limit` closest of the same category and another vendor; exact.
+
+    items: (id, category, vendor, words, bits), bits a hash as an array of longs.  Order is by distance, then
+    overlap, then the smaller id; distances above `most` don't count and neither do items without a hash.  Blocks of a
+    category's items meet in pairs, and only the best of each item leave a pair of blocks, so a group of like
+    items makes `limit` rows an item.
+    """
+    rows = items.where("category is not null and id is not null and bits is not null")
+    size = rows.groupBy("category").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    item = F.struct("id", "vendor", F.coalesce("words", F.array().cast("array<string>")).alias("words"), "bits")
+    blocks = rows.join(size, "category").groupBy("category", F.pmod(F.xxhash64("id"), "blocks").alias("x")).agg(F.collect_list(item).alias("left"))
+    other = blocks.select("category", F.col("x").alias("y"), F.col("left").alias("right"))
+    met = blocks.join(other, "category").groupBy("category", "x", "y").applyInArrow(_best_of_blocks(limit, most, named), "seed long, part long, distance long, overlap double")
+    order = W.partitionBy("seed").orderBy("distance", F.desc("overlap"), "part")
+    return met.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= limit).drop("turn")
+
+
+def alike(parts: DataFrame, limit: int = 8) -> DataFrame:
+    """(seed, part): for every part the `limit` of another vendor whose names overlap most, then of the smaller id; exact.
+
+    Word sets meet and not parts.  At most `limit` parts of a vendor and twice as many
+    of all vendors can matter to a word set, whichever vendor its seed has.
+    """
+    known = parts.where(F.size("words") > 0).withColumn("kind", F.array_join(F.array_sort("words"), " "))
+
+    def cut(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
+        for by, n in (([*keys, "vendor"], limit), (keys, 2 * limit)):
+            rows = rows.withColumn("turn", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("turn") <= n).drop("turn")
+        return rows
+
+    pairs = overlapping_names(parts).select("category", "a", "b", "overlap")
+    own = known.select("category", F.col("kind").alias("a"), F.col("kind").alias("b"), F.lit(1.0).alias("overlap")).distinct()
+    both = pairs.unionByName(pairs.select("category", F.col("b").alias("a"), F.col("a").alias("b"), "overlap")).unionByName(own)
+    first = cut(known.select("category", F.col("kind").alias("b"), "vendor", F.col("id").alias("part")), ["category", "b"], ["part"])
+    ranked = cut(both.join(first, ["category", "b"]).select("category", F.col("a").alias("kind"), "overlap", "vendor", "part"), ["category", "kind"], [F.desc("overlap"), "part"])
+    return known.select("category", "kind", F.col("id").alias("seed"), F.col("vendor").alias("own")).join(ranked, ["category", "kind"]).where(F.coalesce(F.col("vendor") != F.col("own"), F.lit(True)) & (F.col("part") != F.col("seed"))).select("seed", "part")
+
+
+def candidates(parts: DataFrame, limit: int = 8) -> DataFrame:
+    """(seed, part, overlap, distance) of every part: its best by image and its best by name, for `suggestions`."""
+    found = closest(parts, limit, CLOSE).select("seed", "part").join(alike(parts, limit), ["seed", "part"], "full_outer")
+    a, b = parts.select(F.col("id").alias("seed"), F.col("words").alias("w"), F.col("bits").alias("h")), parts.select(F.col("id").alias("part"), "words", "bits")
+    return found.join(a, "seed").join(b, "part").select("seed", "part", jaccard(F.col("w"), F.col("words")).alias("overlap"), hamming(F.col("h"), F.col("bits")).alias("distance"))
+
+
+def mutual(items: DataFrame) -> DataFrame:
+    """(a, b, score), a < b: pairs in which each item is the other's best of all items of the category."""
+    best = closest(items, 1, 64, block=2048, named=False).select(F.col("seed").alias("a"), F.col("part").alias("b"), (64 - F.col("distance")).alias("score"))
+    # Both directions, so that each side's best of all is among its pairs.
+    return mutual_best(best.unionByName(best.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).distinct()).where("a < b")
+
+
 def mutual_best(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b, score) in which each side is the other's best; ties go to the smaller id."""
     best = lambda x, y: pairs.groupBy(x).agg(F.min_by(y, F.struct(-F.col("score"), y)).alias(y))

@@ -458,6 +458,22 @@ def mutual_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.mutual_best(hash_hamming(spark, sf_dir).select(F.col("seed").alias("a"), F.col("part").alias("b"), (64 - F.col("distance")).alias("score")))
 
 
+@query()
+def suggest_all_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortlists of every part: others of its category and not of its brand, with a close 256-bit image or the same words."""
+    images = phash(spark, sf_dir).groupBy("id").agg(F.min("phash").alias("phash"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("category"), F.col("p_brand").alias("vendor"), text.keywords(F.col("p_name")).alias("words"))
+    found = matching.suggestions(matching.candidates(parts.join(images, "id", "left").withColumn("bits", matching.hash_words(F.col("phash"))).drop("phash")))
+    return found.select("seed", "part", "distance", F.round("overlap", 6).alias("overlap"), "rank")
+
+
+@query(f"WITH e AS ({_BITS}), d AS (SELECT q.vec_id AS a, c.vec_id AS b, bit_count(xor(q.h, c.h))::INTEGER AS distance FROM e q JOIN e c ON c.vec_id <> q.vec_id AND c.label = q.label), m AS (SELECT a, arg_min(b, (distance, b)) AS b, min(distance) AS distance FROM d GROUP BY a) SELECT x.a, x.b, (64 - x.distance)::BIGINT AS score FROM m x JOIN m y ON y.a = x.b AND y.b = x.a WHERE x.a < x.b")
+def mutual_best_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As mutual_best_match, but every vector is a seed and a side's best is its best of all."""
+    e = _hashes(spark, sf_dir)
+    return matching.mutual(e.select(F.col("vec_id").alias("id"), F.col("label").alias("category"), F.lit(None).cast("string").alias("vendor"), F.array().cast("array<string>").alias("words"), F.array("h").alias("bits")))
+
+
 @query(f"WITH d AS ({_DIST}), r AS (SELECT distance, row_number() OVER (ORDER BY distance) - 1 AS i, count(*) OVER () AS n FROM d) SELECT any_value(n) AS n, min(distance) AS least, max(distance) FILTER (WHERE i = floor(0.05 * n)) AS p05, max(distance) FILTER (WHERE i = floor(0.5 * n)) AS median, max(distance) AS most FROM r")
 def order_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order statistics at index floor(q * n), from counts of each distance rather than a sorted list."""

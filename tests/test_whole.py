@@ -4,7 +4,10 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from fitloom import queries
+from fitloom.operators import matching
 
 DATA = "/root/testdata/sf0.001"
 
@@ -21,3 +24,40 @@ def test_every_line_is_applied(spark):
     want = {k: (old[k][0] if k in old else last[k][1], last[k][0] if k in last else old[k][1]) for k in old.keys() | last.keys()}
     assert {(r.kind, r.k): (r.name, r.n) for r in queries.QUERIES["upsert_all_changes"](spark, DATA).collect()} == want
     assert {(r.kind, r.k): (r.name, r.n) for r in queries.QUERIES["insert_all_absent"](spark, DATA).collect()} == least | old
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_every_part_is_a_seed(spark):
+    """Against all pairs: names alone are enough, a brand's own parts don't count, close images come first."""
+    from fitloom.functions import text
+
+    words = {r.id: set(r.w) for r in spark.read.parquet(f"{DATA}/part.parquet").select(F.col("p_partkey").alias("id"), text.keywords(F.col("p_name")).alias("w")).collect()}
+    image = {r.id: int(r.phash, 16) for r in queries.QUERIES["phash"](spark, DATA).collect()}
+    parts = spark.read.parquet(f"{DATA}/part.parquet").collect()
+    want = set()
+    for s in parts:
+        found = []
+        for p in parts:
+            if p.p_type != s.p_type or p.p_brand == s.p_brand:
+                continue
+            a, b = words[s.p_partkey], words[p.p_partkey]
+            overlap = len(a & b) / len(a | b) if a and b else 0.0
+            distance = bin(image[s.p_partkey] ^ image[p.p_partkey]).count("1") if {s.p_partkey, p.p_partkey} <= image.keys() else None
+            near = distance is not None and distance <= 40
+            if near or overlap >= 0.28:
+                found.append((not near, distance if near else 0, -overlap, p.p_partkey, distance))
+        want |= {(s.p_partkey, k, d, round(-o, 6), rank) for rank, (_, _, o, k, d) in enumerate(sorted(found, key=lambda f: f[:4])[:8], 1)}
+    assert {tuple(r) for r in queries.QUERIES["suggest_all_matches"](spark, DATA).collect()} == want and len(want) > len(parts)
+
+
+def test_close_images_and_pairs_that_are_not_mutual(spark):
+    schema = "id long, category string, vendor string, words array<string>, bits array<long>"
+    rows = [(1, "c", "v", ["a"], [0, 0, 0, 0]), (2, "c", "w", ["b"], [0, 0, 0, 3]), (3, "c", "w", ["a"], [0, 0, 7, 0]), (4, "c", "v", ["x"], [0, 0, 0, 0]), (5, "c", "w", ["a"], [-1, 0, 0, 0]), (6, "d", "w", ["a"], [0, 0, 0, 0]), (7, "c", "u", ["a"], None)]
+    got = matching.suggestions(matching.candidates(spark.createDataFrame(rows, schema))).where("seed = 1").orderBy("rank").collect()
+    assert [(r.part, r.distance) for r in got] == [(2, 2), (3, 3), (5, 64), (7, None)]
+    line = [(1, "c", None, [], [0]), (2, "c", None, [], [7]), (3, "c", None, [], [15]), (4, "c", None, [], [15])]
+    assert [tuple(r) for r in matching.mutual(spark.createDataFrame(line, schema)).collect()] == [(3, 4, 64)]
+    many = [(k, "c", f"v{k % 3}", [], [k * 0x9E3779B97F4A7C15 % 2**63 >> 20 << 20]) for k in range(60)]
+    far = lambda a, b: bin(many[a][4][0] ^ many[b][4][0]).count("1")
+    want = {(a, *x[::-1]) for a in range(60) for x in sorted((far(a, b), b) for b in range(60) if a % 3 != b % 3)[:2]}
+    assert {(r.seed, r.part, r.distance) for r in matching.closest(spark.createDataFrame(many, schema), 2, 64, block=7).collect()} == want
