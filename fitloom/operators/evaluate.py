@@ -130,6 +130,11 @@ def evaluate(wide: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return out.withColumn("status", F.when(F.col("n_error") > 0, "blocked").when(F.col("n_warning") > 0, "warnings").otherwise("ok"))
 
 
+def counted(wide: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """wide with n_error, n_warning and n_info of each row."""
+    return wide.select("*", *_count_columns(rules, id(wide.sparkSession)))
+
+
 def required_additions(found: DataFrame, wide: DataFrame) -> DataFrame:
     """(build_id, slot, family) that a build lacks; a lowered severity does not cancel them."""
     need = found.where("rule_key = 'requires-chapter-ring'").select("build_id").distinct()

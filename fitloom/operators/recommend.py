@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fitloom.operators.rules import has, is_, part
+from fitloom.operators import evaluate
+from fitloom.operators.rules import has, is_, part, platform
+from fitloom.plans.mapping import PART_FIELDS, SLOTS
 
 CORE = ("movement", "case", "dial", "hands", "bezelInsert")
 #: Places of the ranked pools that a walk looks at, and suggestions for each wish.
 DEPTH, WANTED = 14, 3
+#: The steps of a first build, in order; the insert falls away on a case whose bezel is fixed.
+STEPS = ("case", "bezelInsert", "dial", "movement", "hands", "strap")
 
 
 def pools(catalog: DataFrame, prices: DataFrame, wishes: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -71,6 +75,66 @@ def greedy_first_build(catalog: DataFrame, prices: DataFrame, styles: DataFrame,
     return out
 
 
+def eligible(slot: str) -> Column:
+    """Whether a part, the struct p_<slot>, is one that a first build may be offered."""
+    name = part(slot, "name")
+    other = is_(part(slot, "gmt"), True) | is_(part(slot, "has_subdials"), True) | name.rlike(r"(?i)\bgmt\b|\bnh34\b|\bchrono|\bvk\d*\b")
+    if slot == "case":
+        component = name.rlike("(?i)caseback|case back|gasket|tube|bezel|insert|ring|spacer") & ~F.regexp_replace(name, r"(?i)\(with case ?back\)", "").rlike(r"(?i)\bcase\b(?!\s*back)")
+        return ~component & ~is_(part(slot, "requires_ring"), True)
+    if slot == "hands":
+        return ~(name.rlike(r"(?i)\bcap\b") | (name.rlike(r"(?i)\b(seconds?|gmt) hand\b(?!s)") & ~name.contains("+"))) & ~other
+    if slot == "dial":
+        return ~other
+    if slot == "movement":
+        return part(slot, "caliber").isin("NH35", "NH36") & part(slot, "crown_position").isNull()
+    return F.lit(True)
+
+
+def first_build_options(catalog: DataFrame, listings: DataFrame, exceptions: DataFrame, styles: DataFrame, limit: int = 6) -> DataFrame:
+    """(style_id, step, slot, rank, part_id, n_warning, price_minor): options of each step, of which rank 1 is taken.
+
+    Every eligible part in stock is tried with the build so far under all rules, and those
+    with an error drop out.  Options are ordered by score (10 for a bracelet of the case's
+    platform, 1 for the style's brand), warnings, lowest price in stock and key.  A style stops at the
+    first step without an option.  Parts that no rule and no score tells apart are cut to the `limit`
+    cheapest before they are tried.  The driver holds the options of the styles, and no more.
+    """
+    spark = catalog.sparkSession
+    stock = listings.where("in_stock").groupBy("part_id").agg(F.min("price_minor").alias("price_minor"))
+    alone = catalog.where(F.col("slot").isin(*STEPS)).select(F.col("part_id").alias("build_id"), "slot", "part_id")
+    single = evaluate.wide_builds(alone, catalog, listings, exceptions).withColumnRenamed("build_id", "part_id")
+    # Six steps read it; kept until the last, it makes their plans small as well.
+    priced = single.join(stock, "part_id").join(catalog.select("part_id", F.col("brand").alias("part_brand")), "part_id").persist()
+    fields = [f for f in PART_FIELDS if f not in ("part_id", "name")] + ["own_exceptions"]
+    kind = single.schema["p_case"].dataType.simpleString()
+    schema = "style_id int, brand string, " + ", ".join(f"p_{s} {kind}" for s in SLOTS)
+    builds = {r.style_id: (r.brand, {}) for r in styles.select("style_id", "brand").collect()}
+    going, out = set(builds), []
+    for step, slot in enumerate(STEPS, 1):
+        open_ = [i for i in sorted(going) if slot != "bezelInsert" or builds[i][1]["case"].integrated_bezel is not True]
+        if not open_:
+            continue
+        state = spark.createDataFrame([(i, builds[i][0], *[builds[i][1].get(s) for s in SLOTS]) for i in open_], schema).drop(f"p_{slot}")
+        # Only the sellers of the case count for a rule that warns or blocks.
+        told = [part(slot, f) for f in fields + ["vendors"] * (slot == "case")]
+        cheap = W.partitionBy("part_brand", *told).orderBy("price_minor", "part_id")
+        pool = priced.where(has(slot) & F.coalesce(eligible(slot), F.lit(False))).select(f"p_{slot}", "part_id", "part_brand", "price_minor")
+        pool = pool.withColumn("turn", F.row_number().over(cheap)).where(F.col("turn") <= limit).drop("turn")
+        tried = evaluate.counted(pool.crossJoin(F.broadcast(state))).where("n_error = 0")
+        score = F.when(F.col("part_brand") == F.col("brand"), 1).otherwise(0)
+        if slot == "strap":
+            score = score + F.when((part("strap", "family") != "generic-strap") & (platform(part("strap", "family")) == platform(part("case", "family"))), 10).otherwise(0)
+        best = picker(tried.select(F.col("style_id").alias("build_id"), "part_id", score.alias("score"), "n_warning", "price_minor", f"p_{slot}"), F.lit(True), limit).collect()
+        going = (going - set(open_)) | {r.build_id for r in best}
+        for r in best:
+            out.append((r.build_id, step, slot, r["rank"], r.part_id, r.n_warning, r.price_minor))
+            if r["rank"] == 1:
+                builds[r.build_id][1][slot] = r[f"p_{slot}"]
+    priced.unpersist()
+    return spark.createDataFrame(out, "style_id int, step int, slot string, rank int, part_id long, n_warning long, price_minor long")
+
+
 def assembly_plan(wide: DataFrame) -> DataFrame:
     """(build_id, n_steps, steps, difficulty): what to do in order; each hard step adds to the difficulty, up to 5."""
     step = lambda cond, name, hard: F.when(cond, F.struct(F.lit(name).alias("name"), F.lit(hard).alias("hard")))

@@ -410,6 +410,19 @@ def greedy_first_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.greedy_first_build(mapping.catalog(spark, sf_dir), _prices(spark, sf_dir), styles)
 
 
+@query()
+def first_build_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six best options of each step of each style's first build: every part in stock is tried under all rules."""
+    styles = _wishes(spark, sf_dir).select(F.col("wish_id").alias("style_id"), "brand")
+    return recommend.first_build_options(mapping.catalog(spark, sf_dir), mapping.listings(spark, sf_dir), mapping.exceptions(spark, sf_dir), styles)
+
+
+@query()
+def first_build_by_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As greedy_first_build, but of six steps, from parts in stock that no rule blocks."""
+    return first_build_options(spark, sf_dir).where("rank = 1").drop("rank")
+
+
 _STEPS = "list_filter(['prepare', CASE WHEN cr.part_id IS NOT NULL THEN 'press-crystal' END, CASE WHEN bi.part_id IS NOT NULL THEN 'seat-insert' END, CASE WHEN dl.part_id IS NOT NULL AND mv.part_id IS NOT NULL THEN 'fit-dial' END, CASE WHEN dl.has_feet = false THEN 'stick-dial' END, CASE WHEN hd.part_id IS NOT NULL THEN 'press-hands' END, CASE WHEN mv.part_id IS NOT NULL AND cs.part_id IS NOT NULL THEN 'case-movement' END, CASE WHEN cw.part_id IS NOT NULL THEN 'cut-stem' END, CASE WHEN st.part_id IS NOT NULL THEN 'fit-strap' END, 'test'], lambda x: x IS NOT NULL)"
 
 

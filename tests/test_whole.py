@@ -1,6 +1,7 @@
 """Queries that run over whole tables: every row of the input counts in the result."""
 
 import os
+import re
 
 import pytest
 
@@ -8,8 +9,9 @@ from pyspark.sql import functions as F
 
 from fitloom import queries
 from fitloom.operators import matching
+from fitloom.plans import mapping, oracle
 
-DATA = "/root/testdata/sf0.001"
+DATA, FIRST = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
@@ -61,3 +63,45 @@ def test_close_images_and_pairs_that_are_not_mutual(spark):
     far = lambda a, b: bin(many[a][4][0] ^ many[b][4][0]).count("1")
     want = {(a, *x[::-1]) for a in range(60) for x in sorted((far(a, b), b) for b in range(60) if a % 3 != b % 3)[:2]}
     assert {(r.seed, r.part, r.distance) for r in matching.closest(spark.createDataFrame(many, schema), 2, 64, block=7).collect()} == want
+
+
+@pytest.mark.skipif(not os.path.isdir(FIRST), reason="needs the test tables")
+def test_first_builds_meet_every_rule(spark):
+    """Each step against the rules' SQL over all eligible parts in stock, without any reduction."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("part", "lineitem", "supplier", "nation", "region"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FIRST}/{t}.parquet'")
+    price = dict(con.execute(f"SELECT part_id, min(price_minor) FROM ({mapping.LISTING_SQL}) l WHERE in_stock GROUP BY part_id").fetchall())
+    rows = con.execute(f"SELECT * FROM ({mapping.CATALOG_SQL}) c")
+    names = [d[0] for d in rows.description]
+    parts = {r["part_id"]: r for r in (dict(zip(names, x)) for x in rows.fetchall())}
+    brands = sorted({p["brand"] for p in parts.values()})
+    line = lambda f: next((f[: -len(x) - 1] for x in ("case", "bracelet") if f.endswith("-" + x)), None)
+    got = {}
+    for r in queries.QUERIES["first_build_options"](spark, FIRST).collect():
+        got.setdefault((r.style_id, r.slot), []).append((r["rank"], r.part_id, r.n_warning, r.price_minor))
+
+    def may(p):
+        other = p["gmt"] is True or p["has_subdials"] is True
+        return {"case": p["requires_ring"] is not True and not re.search("ring|bezel|tube|insert|gasket|spacer", p["name"]), "dial": not other, "hands": not other, "movement": p["caliber"] in ("NH35", "NH36") and p["crown_position"] is None}.get(p["slot"], True)
+
+    ends = set()
+    for style in (1, 2, 13):
+        build = {}
+        for slot in ("case", "bezelInsert", "dial", "movement", "hands", "strap"):
+            if slot == "bezelInsert" and parts[build["case"]]["integrated_bezel"]:
+                assert (style, slot) not in got
+                continue
+            tried = [k for k, p in parts.items() if p["slot"] == slot and k in price and may(p)]
+            values = [(k, s, q) for k in tried for s, q in (*build.items(), (slot, k))]
+            head, body = oracle.findings_sql(None, "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{s}', {q})" for k, s, q in values) + ") v(build_id, slot, part_id)")
+            count = {k: (e, w) for k, e, w in con.execute(head + f"SELECT build_id, count(*) FILTER (WHERE severity = 'error'), count(*) FILTER (WHERE severity = 'warning') FROM ({body}) f GROUP BY build_id").fetchall()}
+            fits = lambda p: slot == "strap" and line(p["family"]) is not None and line(p["family"]) == line(parts[build["case"]]["family"])  # noqa: B023, E731
+            order = sorted((-10 * fits(parts[k]) - (parts[k]["brand"] == brands[style - 1]), count.get(k, (0, 0))[1], price[k], k) for k in tried if count.get(k, (0, 0))[0] == 0)
+            assert sorted(got.get((style, slot), [])) == [(n, k, w, c) for n, (_, w, c, k) in enumerate(order[:6], 1)], (style, slot)
+            ends.add(slot)
+            if not order:
+                break
+            build[slot] = order[0][3]
+    assert {"case", "dial", "movement"} <= ends
