@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,6 +12,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fitloom.functions.text import jaccard
+from fitloom.operators import evaluate
+from fitloom.operators.offers import part_offers
+from fitloom.operators.rules import RULES
+from fitloom.plans.mapping import PART_FIELDS, SLOTS
 
 #: Bits of 256 that may differ for images to count as close, and the least overlap of names.
 CLOSE, OVERLAP = 40, 0.28
@@ -156,3 +163,57 @@ def pair_outcomes(catalog: DataFrame, anchor: str, slots: list[str]) -> DataFram
     b = keys.where(F.col("slot") != anchor).select(F.lit(1).alias("k"), "slot", "p", "n")
     outcome = F.when(F.col("p").isNull() | F.col("pa").isNull(), "unconfirmed").when(F.col("p") == F.col("pa"), "ok").otherwise("blocked")
     return a.join(b, "k").groupBy("slot", outcome.alias("outcome")).agg(F.sum(F.col("na") * F.col("n")).alias("pairs"))
+
+
+#: Slots that a rule applies to besides those its findings name, and texts of warnings that confirm nothing.
+ALSO = {"movement-case-fit": ("case",), "chapter-ring-fit": ("dial",), "hand-stack-clearance": ("dial",)}
+UNSURE = "not stated|not known|can't be (read|confirmed)"
+
+
+def rule_pairs() -> dict[tuple[str, str], list]:
+    """Slot pairs, each with the rules of fewer than ten slots that apply to both."""
+    found: dict[tuple[str, str], list] = {}
+    for rule in RULES:
+        slots = {s for f in rule.findings() for s in f.slots} | set(ALSO.get(rule.key, ()))
+        if len(slots) < len(SLOTS):
+            for pair in combinations(sorted(slots), 2):
+                found.setdefault(pair, []).append(rule)
+    return dict(sorted(found.items()))
+
+
+def judged_pairs(catalog: DataFrame, listings: DataFrame, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(slot_a, slot_b, rule_key, outcome, raw_error, pairs): every part of one slot with every part of another under their rules.
+
+    rule_key is null for all rules of the pair together.  An outcome is error, warning,
+    cant-confirm (only warnings that confirm nothing) or ok, after the evidence is weighed; raw_error tells
+    of errors before that.  Each side is cut to the columns that the pair's rules read, with counts, so equal keys meet once.
+    """
+    out = []
+    for (a, b), rules in rule_pairs().items():
+        if pairs is not None and (a, b) not in pairs:
+            continue
+        said = " ".join(str(x) for r in rules for f in r.findings() for x in (f.when, f.severity, f.text))
+        sides = []
+        for slot, n in ((a, "na"), (b, "nb")):
+            read = sorted({"spec_source"} | set(re.findall(rf"p_{slot}\['(\w+)'\]", said)))
+            parts = catalog.where(F.col("slot") == slot)
+            if "vendors" in read:
+                parts = parts.join(part_offers(listings).select("part_id", "vendors"), "part_id", "left")
+            sides.append(parts.groupBy(*read).agg(F.count("*").alias(n)).select(n, F.struct(*read).alias(f"p_{slot}")))
+        kind = "struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in catalog.schema if f.name in PART_FIELDS) + ",n_offers:bigint,vendors:array<bigint>>"
+        met = sides[0].crossJoin(sides[1]).select("*", *[F.lit(None).cast(kind).alias(f"p_{s}") for s in SLOTS if s not in (a, b)])
+        def seen(found: Column) -> Column:
+            """The worst finding: 3 error, 2 warning, 1 can't confirm; and whether any was an error at first."""
+            one = lambda f: F.when(f["severity"] == "error", 3).when(f["severity"] == "warning", F.when(f["message"].rlike(UNSURE), 1).otherwise(2)).otherwise(0)
+            start = F.struct(F.lit(0).alias("rank"), F.lit(False).alias("raw"))
+            return F.aggregate(found, start, lambda t, f: F.struct(F.greatest(t["rank"], one(f)).alias("rank"), (t["raw"] | (f["raw_severity"] == "error")).alias("raw")))
+
+        # Equal outcomes of all rules are counted together before they are listed by rule.
+        kinds = met.groupBy(F.array(*[seen(evaluate.findings_of(r)) for r in rules]).alias("each")).agg(F.sum(F.col("na") * F.col("nb")).alias("n"))
+        whole = F.struct(F.lit(None).cast("string").alias("rule_key"), F.array_max("each.rank").alias("rank"), F.exists("each.raw", lambda r: r).alias("raw_error"))
+        of = [F.struct(F.lit(r.key).alias("rule_key"), F.col("each")[k]["rank"].alias("rank"), F.col("each")[k]["raw"].alias("raw_error")) for k, r in enumerate(rules)]
+        name = F.element_at(F.array(*map(F.lit, ("ok", "cant-confirm", "warning", "error"))), F.col("o.rank") + 1)
+        rows = kinds.select("n", F.explode(F.array(whole, *of)).alias("o")).groupBy("o").agg(F.sum("n").alias("pairs"))
+        # A pair has some dozens of outcomes; one plan of all pairs would take the driver much more than they do.
+        out += map(tuple, rows.select(F.lit(a).alias("slot_a"), F.lit(b).alias("slot_b"), "o.rule_key", name.alias("outcome"), "o.raw_error", "pairs").collect())
+    return catalog.sparkSession.createDataFrame(out, "slot_a string, slot_b string, rule_key string, outcome string, raw_error boolean, pairs long")

@@ -314,6 +314,18 @@ def pair_rollup_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_matrix(spark, sf_dir).rollup("slot", "outcome").agg(F.sum("pairs").alias("pairs"))
 
 
+@query()
+def pair_matrix_by_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every slot pair that a rule joins, all parts with all parts: outcomes of all rules together and of each."""
+    return matching.judged_pairs(mapping.catalog(spark, sf_dir), mapping.listings(spark, sf_dir))
+
+
+@query()
+def pair_rollup_by_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those outcomes of all rules together, with totals of each slot pair and of all."""
+    return pair_matrix_by_rules(spark, sf_dir).where("rule_key is null").rollup("slot_a", "slot_b", "outcome").agg(F.sum("pairs").alias("pairs"))
+
+
 @query(f"WITH c AS ({mapping.CATALOG_SQL}) SELECT slot, count(*) AS n, round(count(diameter_mm) / count(*), 6) AS diameter_mm, round(count(caliber) / count(*), 6) AS caliber, round(count(profile) / count(*), 6) AS profile FROM c GROUP BY slot")
 def attribute_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = lambda c: F.round(F.count(c) / F.count("*"), 6).alias(c)

@@ -2,13 +2,14 @@
 
 import os
 import re
+from collections import Counter
 
 import pytest
 
 from pyspark.sql import functions as F
 
 from fitloom import queries
-from fitloom.operators import matching
+from fitloom.operators import evaluate, matching
 from fitloom.plans import mapping, oracle
 
 DATA, FIRST = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -105,3 +106,33 @@ def test_first_builds_meet_every_rule(spark):
                 break
             build[slot] = order[0][3]
     assert {"case", "dial", "movement"} <= ends
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_pairs_are_judged_by_their_rules(spark):
+    """Against a build for each two parts, and the rules' findings on it."""
+    catalog, listings = mapping.catalog(spark, DATA), mapping.listings(spark, DATA)
+    assert {("dial", "movement"), ("case", "dial"), ("dial", "hands"), ("bezelInsert", "crystal"), ("case", "strap"), ("case", "chapterRing")} <= matching.rule_pairs().keys()
+    pairs = [("bezelInsert", "case"), ("case", "strap"), ("dial", "movement")]
+    parts = catalog.select("slot", "part_id").collect()
+    slots, builds = [], {}
+    for a, b in pairs:
+        for x in parts:
+            for y in parts:
+                if (x.slot, y.slot) == (a, b):
+                    builds[len(builds)] = (a, b)
+                    slots += [(len(builds) - 1, a, x.part_id), (len(builds) - 1, b, y.part_id)]
+    wide = evaluate.wide_builds(spark.createDataFrame(slots, "build_id long, slot string, part_id long"), catalog, listings)
+    found = {}
+    for f in evaluate.findings(wide, tuple({r.key: r for p in pairs for r in matching.rule_pairs()[p]}.values())).collect():
+        found.setdefault(f.build_id, []).append(f)
+    want, joined = Counter(), matching.rule_pairs()
+    for k, pair in builds.items():
+        rules = [r.key for r in joined[pair]]
+        for of in (None, *rules):
+            mine = [f for f in found.get(k, []) if f.rule_key in (rules if of is None else [of])]
+            warn = [f for f in mine if f.severity == "warning"]
+            outcome = "error" if any(f.severity == "error" for f in mine) else "ok" if not warn else "cant-confirm" if all(re.search(matching.UNSURE, f.message) for f in warn) else "warning"
+            want[(*pair, of, outcome, any(f.raw_severity == "error" for f in mine))] += 1
+    got = matching.judged_pairs(catalog, listings, pairs).collect()
+    assert Counter({tuple(r)[:5]: r.pairs for r in got}) == want and len({k[3] for k in want}) == 4
