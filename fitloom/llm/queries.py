@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +9,12 @@ from fitloom.llm import bpe, decontaminate, language, quality, repeats, secrets,
 from fitloom.llm.common import Scratch, table
 from fitloom.llm.minhash import near_duplicates
 
-#: Where the public vocabulary files lie.
-TOKENIZERS = os.environ.get("FITLOOM_TOKENIZERS", "/opt/tokenizers")
+
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +28,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"))
 
 
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of op2's three patterns alone, which SQL can find, too."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), [0] * len(secrets.ALPHABET) ** 2)
+    return found.select("doc_id", secrets.as_text(F.col("base")).alias("base"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -48,12 +56,12 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Scratch(spark, "tokens").path("shards")
-    tokenfile.write_tokens(table(spark, sf_dir, "documents"), folder, f"{TOKENIZERS}/word_bpe_49k.json", end_id=1)
+    tokenfile.write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer_file("word_bpe_49k.json"), end_id=1)
     return tokenfile.read_tokens(spark, folder).drop("ids")
 
 
 def op9_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    ranks = tokenizer_file("byte_bpe_50k.tiktoken")
     ids = bpe.encode(table(spark, sf_dir, "documents"), ranks, bpe.PATTERN)
     return bpe.decode(ids, ranks).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -73,8 +81,24 @@ QUERIES = {
     "op8_token_id_output": op8_token_id_output,
     "op9_byte_bpe_round_trip": op9_byte_bpe_round_trip,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "secret_base_spans": secret_base_spans,
 }
 
+
+def _base_sql() -> str:
+    kinds = [
+        ("assign", r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", r"""len(regexp_extract(m, '(?i)^(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6"""),
+        ("access", "AKIA[A-Z0-9]+", "len(m) >= 20"), ("hex", "[0-9a-f]+", "len(m) >= 24"),
+    ]
+    parts = []
+    for order, (kind, pattern, good) in enumerate(kinds):
+        quoted = pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, '{kind}' AS kind, {order} AS o, m, sum(len(g) + coalesce(len(m), 0)) OVER (PARTITION BY doc_id ORDER BY i) AS stop, {good} AS good FROM (
+          SELECT doc_id, unnest(regexp_split_to_array(t, '{quoted}')) AS g, unnest(regexp_extract_all(t, '{quoted}')) AS m, generate_subscripts(regexp_split_to_array(t, '{quoted}'), 1) AS i FROM d) x""")
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({' UNION ALL '.join(parts)})
+SELECT d.doc_id, coalesce(string_agg(kind || ':' || (stop - len(m))::BIGINT || ':' || stop::BIGINT, ',' ORDER BY stop - len(m), o) FILTER (WHERE good), '') AS base FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id"""
+
+
 ORACLE = {
     "op1_minhash_near_dedup": r"""
 WITH RECURSIVE words AS (
@@ -101,4 +125,5 @@ s AS (
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+    "secret_base_spans": _base_sql(),
 }

@@ -8,8 +8,8 @@ in ascending doc_id order.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -21,32 +21,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fitloom.llm.common import byte_view, chunks, released, small_batches
+from fitloom.llm.common import BASE, BYTE_VALUE, LOWER, SPACE, U64, byte_view, mix, released, small_batches
 
-MAGIC, VERSION = b"FLTK", 1
+MAGIC, VERSION = b"FLTK", 2
 HEAD = struct.Struct("<4sHHqqqq")  # magic, version, bytes an id, documents, null ids, smallest id, ids
 #: A shard is closed at this many ids; one document is never split.
 SHARD_IDS = 4_000_000
-#: Words that a worker remembers; it forgets all beyond that, which costs time only.
-REMEMBERED = 400_000
+#: Bytes of text that are cut into words at once, and of the table of known words; a full table is emptied, which costs time only.
+PIECE_BYTES, TABLE_BYTES = 1 << 20, 48 << 20
 _WORKER: dict[int, tuple] = {}
-CUT = re.compile("^([a-z\xdf-\xf6\xf8-\xff]+)([.,;:!?]*)$|^(.+)$", re.M)
-
-
-CONTROL = re.compile("[\x1c-\x1f]").search
-SPACES = re.compile("[\t-\r ]+")
 
 
 class EliasFano:
-    """A non-decreasing sequence of n numbers below a bound in n * (2 + log2(bound / n)) bits or so."""
+    """A non-decreasing sequence of n numbers below a bound in n * (2 + log2(bound / n)) bits or so.
+
+    High parts are a bit string with a one for each number, low parts stand side by
+    side.  The directory has the place of every SAMPLE-th one in 32 bits (an
+    eighth of a bit a number); select starts there and passes SAMPLE ones at most.
+    """
 
     SAMPLE = 256
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        # Select directory: the bit position of every SAMPLE-th one.
-        ones = np.flatnonzero(np.unpackbits(high, bitorder="little"))
-        self.directory = ones[:: self.SAMPLE]
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, directory: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.directory = n, low_bits, low, high, directory
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -57,47 +54,41 @@ class EliasFano:
         high = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros((int(high[-1]) + 1 if n else 0) + 1, np.uint8)
         bits[high] = 1
-        low = np.zeros((n, 64), np.uint8)[:, :low_bits]
-        if low_bits:
-            low = ((values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-        return cls(n, low_bits, np.packbits(low.reshape(-1), bitorder="little"), np.packbits(bits, bitorder="little"))
+        low = np.zeros((n, low_bits), np.uint8)
+        for k in range(low_bits):
+            low[:, k] = (values >> np.uint64(k)) & np.uint64(1)
+        return cls(n, low_bits, np.packbits(low.reshape(-1), bitorder="little"), np.packbits(bits, bitorder="little"), high[:: cls.SAMPLE].astype("<u4"))
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<qqqq", self.n, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes()
+        return struct.pack("<qqqq", self.n, self.low_bits, len(self.low), len(self.high)) + self.directory.tobytes() + self.low.tobytes() + self.high.tobytes()
 
     @classmethod
     def read(cls, data: memoryview, at: int) -> tuple[EliasFano, int]:
         n, low_bits, nl, nh = struct.unpack_from("<qqqq", data, at)
         at += 32
+        nd = -(-n // cls.SAMPLE)
+        directory = np.frombuffer(data, "<u4", nd, at)
+        at += 4 * nd
         low, high = np.frombuffer(data, np.uint8, nl, at), np.frombuffer(data, np.uint8, nh, at + nl)
-        return cls(n, low_bits, low, high), at + nl + nh
-
-    def _low(self, i: int) -> int:
-        a, b = i * self.low_bits, (i + 1) * self.low_bits
-        bits = np.unpackbits(self.low[a // 8 : (b + 7) // 8], bitorder="little")[a % 8 : a % 8 + self.low_bits]
-        return sum(int(bit) << k for k, bit in enumerate(bits))
-
-    def select(self, i: int) -> int:
-        """The i-th number: the directory gives a start, from which at most SAMPLE ones are passed."""
-        at = int(self.directory[i // self.SAMPLE])
-        left, byte = i % self.SAMPLE, at // 8
-        bits = np.unpackbits(self.high[byte : byte + 1], bitorder="little")
-        bits[: at % 8] = 0
-        while int(bits.sum()) <= left:
-            left -= int(bits.sum())
-            byte += 1
-            bits = np.unpackbits(self.high[byte : byte + 1], bitorder="little")
-        position = byte * 8 + int(np.flatnonzero(bits)[left])
-        return (position - i) << self.low_bits | self._low(i)
-
-    def all(self) -> np.ndarray:
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
-        low = np.zeros(self.n, np.int64)
-        if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-            for k in range(self.low_bits):
-                low |= bits[:, k].astype(np.int64) << k
-        return (high << self.low_bits) | low
+        return cls(n, low_bits, low, high, directory), at + nl + nh
+
+    def select(self, first: int, count: int = 1) -> np.ndarray:
+        """The numbers first .. first + count - 1, all of which lie under one entry of the directory."""
+        k = first // self.SAMPLE
+        at, end = int(self.directory[k]), int(self.directory[k + 1]) if k + 1 < len(self.directory) else 8 * len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[at // 8 : (end + 7) // 8], bitorder="little")[at % 8 :])[first - k * self.SAMPLE :][:count]
+        high = ones + at - np.arange(first, first + count)
+        a, b = first * self.low_bits, (first + count) * self.low_bits
+        bits = np.unpackbits(self.low[a // 8 : (b + 7) // 8], bitorder="little")[a % 8 : a % 8 + b - a].reshape(count, self.low_bits)
+        low = np.zeros(count, np.int64)
+        for j in range(self.low_bits):
+            low |= bits[:, j].astype(np.int64) << j
+        return high << self.low_bits | low
+
+    def blocks(self):
+        """All numbers in order, as many at a time as lie under one entry of the directory."""
+        for a in range(0, self.n, self.SAMPLE):
+            yield self.select(a, min(self.SAMPLE, self.n - a))
 
 
 def pack_shard(doc_ids: list[int | None], lengths: list[int], ids: bytes, width: int) -> bytes:
@@ -110,74 +101,169 @@ def pack_shard(doc_ids: list[int | None], lengths: list[int], ids: bytes, width:
     return body + b"\0" * (-len(body) % 4) + ids
 
 
-def unpack_shard(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """(document ids, boundaries, ids); boundaries has one number more than documents."""
-    view = memoryview(data)
-    magic, version, width, docs, nulls, least, total = HEAD.unpack_from(view)
-    if magic != MAGIC or version != VERSION:
-        raise ValueError("not a shard of this format")
-    known, at = EliasFano.read(view, HEAD.size)
-    ends, at = EliasFano.read(view, at)
-    at += -at % 4
-    ids = np.frombuffer(view, "<u2" if width == 2 else "<u4", total, at)
-    return [None] * nulls + [int(x) + least for x in known.all()], np.concatenate([[0], ends.all()]), ids
-
-
-class WordCache:
-    """Whole texts through a tokenizer that drops white space, each different word once.
-
-    No token and no normalisation of such a tokenizer reaches across ASCII
-    white space, so a text's ids are those of its words.  Words of Latin
-    letters with their trailing punctuation are cut once more, as the
-    tokenizer's own split does.
+class Shard:
+    """An opened shard: any document's id, offsets and ids by select; nothing is expanded on opening."""
+
+    def __init__(self, data: bytes):
+        view = memoryview(data)
+        magic, version, width, self.n, self.nulls, self.least, total = HEAD.unpack_from(view)
+        if magic != MAGIC or version != VERSION:
+            raise ValueError("not a shard of this format")
+        self.known, at = EliasFano.read(view, HEAD.size)
+        self.ends, at = EliasFano.read(view, at)
+        self.ids = np.frombuffer(view, "<u2" if width == 2 else "<u4", total, at + -at % 4)
+
+    def document(self, i: int) -> tuple[int | None, int, int]:
+        """(id, start, end) of the i-th document; start and end count the shard's ids."""
+        start = int(self.ends.select(i - 1)[0]) if i else 0
+        return (None if i < self.nulls else int(self.known.select(i - self.nulls)[0]) % 2**64 + self.least), start, int(self.ends.select(i)[0])
+
+    def documents(self):
+        """(ids, starts, ends) of all documents in order, a block of the boundaries at a time."""
+        last, i = 0, 0
+        held, known = np.zeros(0, np.int64), self.known.blocks()
+        for ends in self.ends.blocks():
+            nulls = min(max(self.nulls - i, 0), len(ends))
+            while len(held) < len(ends) - nulls:
+                held = np.concatenate([held, next(known)])
+            yield [None] * nulls + [int(x) % 2**64 + self.least for x in held[: len(ends) - nulls]], np.concatenate([[last], ends[:-1]]), ends
+            held, last, i = held[len(ends) - nulls :], int(ends[-1]), i + len(ends)
+
+
+class WordTable:
+    """Whole texts through a tokenizer that lower-cases, drops white space and ends words at tokens in </w>; each different word is encoded once.
+
+    Such a tokenizer first splits text at ASCII white space and wherever a run of
+    letters begins or ends (but for letters after an apostrophe, 's, which are left
+    with it, and for signs that special tokens contain), so a text's ids are
+    those of its pieces between these.  Known pieces are a sorted array of 64-bit hashes beside the places of
+    their ids.  Runs of small Latin letters are what normalising and splitting
+    leave alone, so they go through the tokenizer's merges without those steps.
     """
 
     def __init__(self, blob: bytes, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.dtype = Tokenizer.from_str(blob.decode()), dtype
-        size = self.tokenizer.get_vocab_size()
-        self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.words: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
-
-    def _letters(self, runs: list[str]) -> None:
-        """Runs of lower-case Latin letters: one encoding of all; a run ends at a token that ends a word."""
-        if not runs:
-            return
-        ids = np.array(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, np.int64)
-        ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-        if len(ends) != len(runs):
-            raise AssertionError("the tokenizer did not keep words apart")
-        data, width = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
-        a = 0
-        for run, b in zip(runs, ends, strict=True):
-            self.letters[run] = data[a * width : b * width]
-            a = b
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() if t.isascii() and not CONTROL(t) else SPACES.split(t) for t in texts]
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if len(self.letters) > REMEMBERED:
-            self.letters.clear()
-        new = set().union(*split)
-        new.difference_update(self.words)
-        if "" in new:
-            new.remove("")
-            self.words[""] = b""
-        lines = list(new)
-        cut = CUT.findall("\n".join(lines).lower())  # (letters, marks, anything else) of each word
-        self._letters(list({c for c, _, _ in cut if c} - self.letters.keys()))
-        odd = [w for w, (c, _, _) in zip(lines, cut, strict=True) if not c] + list({r for c, r, _ in cut if c and r} - self.words.keys() - new)
-        for w, got in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            self.words[w] = np.array(got.ids, self.dtype).tobytes()
-        letters, words = self.letters, self.words
-        words.update([(w, letters[c]) for w, (c, r, _) in zip(lines, cut, strict=True) if c and not r])
-        words.update([(w, letters[c] + words[r]) for w, (c, r, _) in zip(lines, cut, strict=True) if c and r])
-        get = words.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        rules = json.loads(blob)
+        self.whole, self.dtype = Tokenizer.from_str(blob.decode()), dtype
+        # The merges alone: words come apart at spaces, bytes are spelled as the tokenizer spells them, and no word comes twice.
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in rules["model"]["merges"]]
+        self.merges = Tokenizer(models.BPE(vocab=rules["model"]["vocab"], merges=pairs, cache_capacity=0, end_of_word_suffix=rules["model"]["end_of_word_suffix"]))
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.spell = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain) if b >= 128}
+        self.last = np.array([(self.whole.id_to_token(i) or "").endswith("</w>") for i in range(self.whole.get_vocab_size())])
+        # Of each byte: 1 an ASCII letter, 2 any but white space, 4 a sign where a run of letters ends, 8 one after which a run begins.
+        signs = [b for b in range(33, 127) if not chr(b).isalpha() and not any(chr(b) in t["content"] for t in json.loads(blob).get("added_tokens", []))]
+        self.kind = np.where(SPACE, 0, 2).astype(np.uint8)
+        self.kind[[b for b in range(128) if chr(b).isalpha()]] |= 1
+        self.kind[signs] |= 4
+        self.kind[[b for b in signs if b != ord("'")]] |= 8
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys, self.at, self.count, self.ids = np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, self.dtype)
+
+    def _learn(self, low: np.ndarray, start: np.ndarray, stop: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, place of each piece's, how many) of the new pieces low[start:stop]; plain marks runs of small Latin letters."""
+        count, begin, ids, runs = np.zeros(len(start), np.int32), np.zeros(len(start), np.int32), [], np.flatnonzero(plain)
+        if len(runs):
+            size = stop[runs] - start[runs] + 1
+            upto = np.cumsum(size)
+            joined = low[np.minimum(np.repeat(start[runs] - upto + size, size) + np.arange(int(upto[-1])), len(low) - 1)]
+            joined[upto - 1] = 32
+            got = np.array(self.merges.encode_batch_fast([joined.tobytes().decode("latin-1").translate(self.spell)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.flatnonzero(self.last[got]) + 1
+            if len(ends) != len(runs):
+                raise AssertionError("the tokenizer did not keep words apart")
+            begin[runs] = np.concatenate([[0], ends[:-1]])
+            count[runs] = ends - begin[runs]
+            ids.append(got)
+        odd = np.flatnonzero(~plain)
+        words = [low[a:b].tobytes().decode() for a, b in zip(start[odd].tolist(), stop[odd].tolist(), strict=True)]
+        found = [x.ids for x in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+        count[odd] = [len(x) for x in found]
+        begin[odd] = int(count[runs].sum()) + np.cumsum(count[odd]) - count[odd]
+        ids.append(np.array([x for one in found for x in one], self.dtype))
+        return np.concatenate(ids), begin, count
+
+    def encode(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, place of each piece in raw, ids of each piece)."""
+        n = len(raw)
+        if not n:
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        low, kind = np.take(LOWER, raw), np.take(self.kind, raw)
+        solid, letter = kind != 0, kind & 1 != 0
+        if (raw == 0xC3).any():  # Latin letters of two bytes
+            lead = np.zeros(n, bool)
+            lead[:-1] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+            trail = np.concatenate([[False], lead[:-1]])
+            low[trail & (low >= 0x80) & (low <= 0x9E)] += 32
+            letter |= lead | trail
+        start = solid.copy()
+        start[1:] &= ~solid[:-1] | (kind[1:] & 4 != 0) & letter[:-1] | (kind[:-1] & 8 != 0) & letter[1:]
+        at = np.flatnonzero(start)
+        if not len(at):
+            return np.zeros(0, self.dtype), at, at
+        stop = solid.copy()
+        stop[:-1] &= ~solid[1:] | start[1:]
+        stop = np.flatnonzero(stop) + 1
+        plain = np.bitwise_and.reduceat(letter | ~solid, at)
+        # Only runs of letters are lower-cased here; special tokens, which the library finds in any word, have a case.
+        large = np.flatnonzero(low != raw)
+        large = large[~plain[np.searchsorted(at, large, "right") - 1]]
+        low[large] = raw[large]
+        place = np.arange(n, dtype=np.int32)
+        place[at[0] :] -= np.repeat(at.astype(np.int32), np.diff(np.append(at, n)))
+        value = np.take(BYTE_VALUE, low) * np.take(np.cumprod(np.concatenate([[U64(1)], np.full(int(place.max()), BASE, U64)])), place)
+        value[~solid] = 0
+        hashed = mix(np.add.reduceat(value, at))
+        keys, which = np.unique(hashed, return_inverse=True)
+        if self.ids.nbytes + 16 * len(self.keys) > TABLE_BYTES:
+            self._empty()
+        slot = np.searchsorted(self.keys, keys)
+        new = np.flatnonzero(self.keys[np.minimum(slot, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            first = np.zeros(len(keys), np.int64)
+            first[which[::-1]] = np.arange(len(at) - 1, -1, -1)
+            first = first[new]
+            got, begin, count = self._learn(low, at[first], stop[first], plain[first])
+            self.keys, self.at, self.count = (np.insert(old, slot[new], x) for old, x in ((self.keys, keys[new]), (self.at, begin + np.int32(len(self.ids))), (self.count, count)))
+            self.ids = np.concatenate([self.ids, got])
+            slot = np.searchsorted(self.keys, keys)
+        count = self.count[slot][which].astype(np.int64)
+        upto = np.cumsum(count)
+        return self.ids[np.repeat(self.at[slot][which].astype(np.int64) - upto + count, count) + np.arange(int(upto[-1]))], at, count
+
+    def documents(self, raw: np.ndarray, offsets: np.ndarray):
+        """(first row, lengths, ids) of neighbouring documents, a piece of the text at a time; a document of several pieces is put together."""
+        n, i = len(offsets) - 1, 0
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE_BYTES, "right")) - 1)
+            text = raw[offsets[i] : offsets[j]]
+            if j > i + 1 or len(text) <= PIECE_BYTES:
+                # A space between neighbours, so that no word goes on in the next text.
+                gaps = offsets[i + 1 : j] - offsets[i]
+                ids, at, count = self.encode(np.insert(text, gaps, 32))
+                upto = np.concatenate([[0], np.cumsum(count)])
+                yield i, np.diff(upto[np.searchsorted(at, np.append(offsets[i:j] - offsets[i] + np.arange(j - i), len(text) + j - i))]), ids
+            else:
+                parts, a = [], 0
+                while a < len(text):
+                    b = a + PIECE_BYTES
+                    if b < len(text):  # end at white space
+                        spaces = np.flatnonzero(SPACE[text[a:b]])
+                        if len(spaces):
+                            b = a + int(spaces[-1]) + 1
+                        else:
+                            later = np.flatnonzero(SPACE[text[b:]])
+                            b = b + int(later[0]) if len(later) else len(text)
+                    parts.append(self.encode(text[a:b])[0])
+                    a = b
+                ids = np.concatenate(parts)
+                yield i, np.array([len(ids)]), ids
+            i = j
 
 
 def _write(blob, folder: str, end_id: int):
@@ -191,9 +277,8 @@ def _write(blob, folder: str, end_id: int):
             from tokenizers import Tokenizer
 
             width = 2 if Tokenizer.from_str(blob.value.decode()).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-            _WORKER[key] = WordCache(blob.value, f"<u{width}"), width
+            _WORKER[key] = WordTable(blob.value, f"<u{width}"), width
         cache, width = _WORKER[key]
-        end = np.array([end_id], f"<u{width}").tobytes()
         docs, lengths, held, total, number, made = [], [], [], 0, 0, []
 
         def close():
@@ -207,14 +292,17 @@ def _write(blob, folder: str, end_id: int):
             docs, lengths, held, total, number = [], [], [], 0, number + 1
 
         for batch in batches:
-            _, offsets = byte_view(batch.column(1))
-            for a, b in chunks(offsets, 4 << 20):
-                texts = batch.column(1).slice(a, b - a).fill_null("").to_pylist()
-                for doc, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), cache.encode(texts), strict=True):
-                    docs.append(doc)
-                    held += (ids, end)
-                    lengths.append(len(ids) // width + 1)
-                    total += lengths[-1]
+            raw, offsets = byte_view(batch.column(1))
+            names = batch.column(0).to_pylist()
+            for i, sizes, ids in cache.documents(raw, offsets):
+                upto = np.cumsum(sizes)
+                data, known = np.insert(ids, upto, end_id).tobytes(), (upto + np.arange(1, len(upto) + 1)).tolist()
+                a = 0
+                for k, b in enumerate(known):
+                    docs.append(names[i + k])
+                    lengths.append(b - a)
+                    held.append(data[a * width : b * width])
+                    total, a = total + b - a, b
                     if total >= SHARD_IDS:
                         close()
         if docs:
@@ -227,16 +315,11 @@ def _write(blob, folder: str, end_id: int):
 def _read(batches):
     for batch in batches:
         content, offsets = byte_view(batch.column(0))
-        docs, starts, counts, ids = [], [], [], []
         for i, base in enumerate(batch.column(1).to_pylist()):
-            found, ends, all_ids = unpack_shard(content[offsets[i] : offsets[i + 1]].tobytes())
-            docs += found
-            starts += (ends[:-1] + base).tolist()
-            counts += np.diff(ends).tolist()
-            ids += [all_ids[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        for a in range(0, len(docs), 2000):
-            c = slice(a, a + 2000)
-            yield pa.RecordBatch.from_arrays([pa.array(docs[c], pa.int64()), pa.array(starts[c], pa.int64()), pa.array(counts[c], pa.int64()), pa.array([zlib.crc32(x) for x in ids[c]], pa.int64()), pa.array(ids[c], pa.binary())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+            shard = Shard(content[offsets[i] : offsets[i + 1]].tobytes())
+            for docs, starts, ends in shard.documents():
+                ids = [shard.ids[a:b].astype("<u4").tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts + base), pa.array(ends - starts), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,11 +348,13 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of every document in folder, from its shards.
 
     start counts the ids of all documents before it: those in earlier shards,
-    from the list of shards (a row a shard), and those before it in its own, by the
-    shard's boundaries.
+    from the list of shards, and those before it in its own, by select on the
+    shard's boundaries.  Running sums go over the shards of a part and over
+    parts, so no task sees more rows than there are of either.
     """
     manifest = spark.read.parquet(f"{folder}/_manifest")
-    before = F.coalesce(F.sum("n_ids").over(W.orderBy("part", "number").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    bases = manifest.select("name", before.alias("base"))
+    earlier = lambda by, *order: F.coalesce(F.sum("n_ids").over((W.partitionBy(*by) if by else W).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", earlier((), "part").alias("before"))
+    bases = manifest.withColumn("inner", earlier(("part",), "number")).join(parts, "part").select("name", (F.col("before") + F.col("inner")).alias("base"))
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.tok").load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").join(bases, "name").select("content", "base").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").join(bases, "name").select("content", "base").mapInArrow(released(_read), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from fitloom.llm import bpe, tokenfile
-from fitloom.llm.queries import TOKENIZERS
+from fitloom.llm.queries import tokenizer_file
 
 TEXTS = ["", None, "a", "The theatre's  THEME\n\n is 42,000 (forty-two)!! don't", "aaaaaaaaaaaaaaaaa abababababab", "naïve Ärger ß ½ ²x ٣ 漢字かな é İ ΣΑΣ.  x y\x1cz\x85q", "<|endoftext|> <|startoftext|>x", "x" * 5000, "word, word. Word! WORD? it's 'sting", "the ́x", "\U0001f600 emoji‍"]
 
@@ -22,7 +23,7 @@ def docs(spark):
 def test_bpe_equals_the_library(spark, docs):
     import tiktoken
 
-    path = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    path = tokenizer_file("byte_bpe_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     lib = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
     got = bpe.decode(bpe.encode(docs, path, bpe.PATTERN), path).collect()
@@ -39,7 +40,7 @@ def test_bpe_equals_the_library(spark, docs):
 def test_merge_replay_on_small_alphabets(texts):
     import tiktoken
 
-    blob = open(f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "rb").read()
+    blob = open(tokenizer_file("byte_bpe_50k.tiktoken"), "rb").read()
     tokens = bpe.read_ranks(blob)
     replay = _cached(tokens)
     lib = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
@@ -81,15 +82,50 @@ def _cached(tokens):
 def test_elias_fano_round_trip(steps, wide):
     values = np.cumsum(np.array(steps, np.int64) * (1_000_000_007 if wide else 1))
     code, _ = tokenfile.EliasFano.read(memoryview(tokenfile.EliasFano.of(values).to_bytes()), 0)
-    assert code.all().tolist() == values.tolist()
+    assert [int(x) for block in code.blocks() for x in block] == values.tolist()
     for i in {0, len(values) // 2, len(values) - 1} if len(values) else ():
-        assert code.select(i) == values[i]
+        assert code.select(i)[0] == values[i]
+    assert code.directory.nbytes <= 4 * (len(values) // code.SAMPLE + 1)
+
+
+def test_a_shard_is_read_by_select(monkeypatch):
+    turn = np.random.default_rng(5)
+    ids = [None, None, *sorted(turn.integers(-(2**63), 2**63 - 1, 3000).tolist())]
+    lengths = turn.integers(1, 9, len(ids)).tolist()
+    body = turn.integers(0, 60_000, sum(lengths)).astype("<u2")
+    shard = tokenfile.Shard(tokenfile.pack_shard(ids, lengths, body.tobytes(), 2))
+    ends = np.cumsum(lengths)
+    for i in (0, 1, 2, 255, 256, 257, len(ids) - 1):
+        assert shard.document(i) == (ids[i], ends[i] - lengths[i], ends[i])
+    calls, plain = [], tokenfile.EliasFano.select
+    monkeypatch.setattr(tokenfile.EliasFano, "select", lambda self, first, count=1: calls.append(count) or plain(self, first, count))
+    got = [(d, int(a), int(b)) for docs, starts, stops in shard.documents() for d, a, b in zip(docs, starts, stops, strict=True)]
+    assert got == [(d, b - n, b) for d, n, b in zip(ids, lengths, ends.tolist(), strict=True)]
+    assert sum(calls) == len(ids) + len(ids) - 2 and max(calls) <= tokenfile.EliasFano.SAMPLE  # no boundary comes from elsewhere
+
+
+WORDS = ["the", "Word,", "naïve", "ÀÉ", "don't", "x" * 50, "<|endoftext|>", "<|ENDOFTEXT|>", "a<|startoftext|>b", "42", "foo,bar;", "e\u0301.", "ΑΣ", "İ.", "…,", "×÷", "漢字", "K", "s", "''re", "**bold**", "x's", "'twas", "a1b2", "£5", "\u00a0", "\x1c", "straße!", "ÿ?", "A.B.C."]
+
+
+def test_word_table_equals_the_library(monkeypatch):
+    table = tokenfile.WordTable(open(tokenizer_file("word_bpe_49k.json"), "rb").read(), "<u2")
+    turn = random.Random(6)
+    for piece in [7, 40, 1 << 20] * 60:
+        texts = ["".join(turn.choice(WORDS) + turn.choice([" ", "\n", "\t ", "", "", ".", "'", "1"]) for _ in range(turn.randrange(14))) for _ in range(turn.randrange(7))]
+        data = [t.encode() for t in texts]
+        monkeypatch.setattr(tokenfile, "PIECE_BYTES", piece)
+        got = []
+        for _, sizes, ids in table.documents(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)):
+            assert sum(sizes) == len(ids)
+            got += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert got == [table.whole.encode(t, add_special_tokens=False).ids for t in texts]
+
 
 
 def test_shards_hold_the_library_ids(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    path = tokenizer_file("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
     tokenfile.write_tokens(docs, f"file://{tmp_path}/t", path)
     got = sorted(tokenfile.read_tokens(spark, f"file://{tmp_path}/t").collect(), key=lambda r: r.start)
@@ -107,6 +143,6 @@ def test_shards_hold_the_library_ids(spark, docs, tmp_path):
 
 
 def test_digests_of_query_nine(spark, docs):
-    path = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    path = tokenizer_file("byte_bpe_50k.tiktoken")
     empty = [r for r in bpe.encode(docs, path, bpe.PATTERN).collect() if r.doc_id == 0][0]
     assert hashlib.sha256(bytes(empty.ids)).hexdigest() == hashlib.sha256(b"").hexdigest()
