@@ -23,7 +23,7 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 TOKEN, LEAST_TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}", 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 #: A token is a secret above this log-likelihood ratio in all (thousandths of a nat) and a character.
-LEAST_TOTAL, LEAST_EACH = 12_000, 500
+LEAST_TOTAL, LEAST_EACH = 12_000, 900
 
 # Everyday and programming words of the corpus' languages, from
 # which ordinary identifiers are put together.
@@ -77,11 +77,13 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[int]:
 
 
 def ratio(token: Column, model: list[int]) -> Column:
-    """Sum of the model over the token's pairs of characters."""
+    """Sum of the model over the token's pairs of characters; each character is looked up once."""
     table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<int>")
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1)))
-    step = lambda total, i: total + F.element_at(table, (at(i) - 1) * len(ALPHABET) + at(i + 1))
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0), step)
+    places = F.transform(F.filter(F.split(token, "", -1), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    step = lambda acc, at: F.struct(
+        at.alias("last"), (acc["total"] + F.when(acc["last"] > 0, F.element_at(table, (acc["last"] - 1) * len(ALPHABET) + at)).otherwise(0)).alias("total")
+    )
+    return F.aggregate(places, F.struct(F.lit(0).alias("last"), F.lit(0).cast("long").alias("total")), step, lambda acc: acc["total"])
 
 
 def scan(docs: DataFrame, model: list[int], text_col: str = "text", base_col: str = "base", spans_col: str = "spans") -> DataFrame:
@@ -89,43 +91,60 @@ def scan(docs: DataFrame, model: list[int], text_col: str = "text", base_col: st
 
     base has the spans of the three patterns; spans adds tokens judged random
     that overlap none of them.  Both are in order of start, then kind.  Cases: a
-    null or empty text has none; texts of any length are scanned whole; other
+    null or empty text has none; texts and tokens of any length are scanned whole, in
+    time that grows as their length; repeated rows and rows of a null id are rows
+    like any other, as no id is read; an empty table gives an empty one; other
     columns are passed on, but columns named as base_col and spans_col are replaced.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
     values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
-    assign = F.when(text.rlike(ASSIGN), _spans(text, ASSIGN, 0, lambda m, n: F.length(F.element_at(values, n)) >= LEAST_ASSIGN)).otherwise(none)
+    assign = F.when(text.rlike(ASSIGN), _spans(text, ASSIGN, 0, F.transform(values, lambda v: F.length(v) >= LEAST_ASSIGN))).otherwise(none)
     long_run = text.rlike("[A-Za-z0-9+/_-]{20}")
-    access = F.when(text.contains("AKIA"), _spans(text, ACCESS, 1, lambda m, n: F.length(m) >= LEAST_ACCESS)).otherwise(none)
+    access = F.when(text.contains("AKIA"), _spans(text, ACCESS, 1, F.transform(_matches(text, ACCESS), lambda m: F.length(m) >= LEAST_ACCESS))).otherwise(none)
     # A run of 24 hexadecimal digits or more; shorter ones are dropped anyway and touch no other.
-    hex_ = F.when(long_run & text.rlike("[0-9a-f]{24}"), _spans(text, "[0-9a-f]{24,}", 2, lambda m, n: F.length(m) >= LEAST_HEX)).otherwise(none)
+    hex_ = F.when(long_run & text.rlike("[0-9a-f]{24}"), _spans(text, f"[0-9a-f]{{{LEAST_HEX},}}", 2)).otherwise(none)
     base = F.array_sort(F.concat(assign, access, hex_))
-    judged = lambda m, n: (ratio(m, model) >= LEAST_TOTAL) & (ratio(m, model) >= LEAST_EACH * F.length(m))
-    tokens = F.when(long_run, _spans(text, TOKEN, 3, judged)).otherwise(none)
+    judged = lambda m: ratio(m, model) >= F.greatest(F.lit(LEAST_TOTAL).cast("long"), LEAST_EACH * F.length(m).cast("long"))
+    tokens = F.when(long_run, _spans(text, TOKEN, 3, F.transform(_matches(text, TOKEN), judged))).otherwise(none)
     found = docs.withColumn(base_col, base).withColumn(spans_col, tokens)
     free = F.filter(spans_col, lambda t: ~F.exists(base_col, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
     return found.withColumn(spans_col, F.when(F.size(spans_col) > 0, F.array_sort(F.concat(base_col, free))).otherwise(F.col(base_col)))
 
 
-def _spans(text: Column, pattern: str, order: int, keep) -> Column:
-    """Spans (start, order, end) of the leftmost non-overlapping matches that `keep` accepts.
+def _matches(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    keep gets a match and its number from 1; start and end count code points.
+
+def _spans(text: Column, pattern: str, order: int, good: Column | None = None) -> Column:
+    """Spans (start, order, end) of the leftmost non-overlapping matches, of those that `good` marks if it is given.
+
+    start and end count code points.
     """
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.zip_with(F.transform(gaps, F.length), F.transform(found, lambda m: F.length(m)), lambda g, m: F.struct(g.alias("gap"), m.alias("size")))
-
-    def step(acc, piece):
-        start = acc["at"] + piece["gap"]
-        end = start + F.coalesce(piece["size"], F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(piece["size"].isNotNull(), F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)").alias("out"))
-    all_ = F.aggregate(pieces, zero, step, lambda acc: acc["out"])
-    kept = F.zip_with(all_, F.transform(found, lambda m, i: keep(m, i + 1)), lambda span, good: F.when(good, span))
-    return F.array_compact(kept)
+    found = F.transform(_matches(text, pattern), lambda m: F.length(m))
+    # One gap more than matches; the last one is followed by none.
+    steps = F.zip_with(F.transform(F.split(text, pattern, -1), F.length), found, lambda g, m: g + F.coalesce(m, F.lit(0)))
+    spans = F.zip_with(_running(steps), found, lambda end, m: F.when(m.isNotNull(), F.struct((end - m).alias("start"), F.lit(order).alias("kind"), end.alias("end"))))
+    return F.array_compact(spans if good is None else F.zip_with(spans, good, lambda span, g: F.when(g, span)))
+
+
+#: Numbers of a block in a running sum, which appends to short arrays only.
+BLOCK = 128
+
+
+def _running(steps: Column) -> Column:
+    """Running sums of an array, in blocks: within each, and over the blocks' sums."""
+    none = F.expr("cast(array() as array<int>)")
+    total = lambda block: F.aggregate(block, F.lit(0), lambda acc, x: acc + x)
+    scan = lambda values, first: F.aggregate(values, F.struct(first.alias("at"), none.alias("out")), lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"] + x).alias("out")), lambda acc: acc["out"])
+    cut = lambda values: F.transform(F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(BLOCK)), lambda a: F.slice(values, a, F.lit(BLOCK)))
+    joined = lambda blocks: F.flatten(F.zip_with(blocks, scan(F.transform(blocks, total), F.lit(0)), lambda block, end: scan(block, end - total(block))))
+    return _once(_once(steps, cut), joined)
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), with value worked out once however often a lambda in it asks."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def as_text(spans: Column) -> Column:

@@ -1,5 +1,9 @@
 import hashlib
+import random
 import re
+import string
+import time
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,3 +65,32 @@ def test_redaction_and_digest(spark, model):
     got = {r.doc_id: r for r in secrets.redact(secrets.scan(docs, model)).withColumn("sha", F.sha2(secrets.as_text(F.col("base")), 256)).collect()}
     assert got[0].text == "é [secret]\" x" and got[1].text == "none" and got[2].text is None
     assert got[0].sha == hashlib.sha256(b"assign:2:43,hex:11:43").hexdigest() and got[1].sha == hashlib.sha256(b"").hexdigest()
+
+
+def test_long_tokens_and_many_matches_take_linear_time(spark, model):
+    """A token of a million characters, and 20,000 matches in a text, in seconds."""
+    turn = random.Random(3)
+    token = "".join(turn.choices(string.ascii_letters + string.digits + "+/", k=1_000_000))
+    many = " ".join(f"token={turn.randrange(10**7, 10**8)}" for _ in range(20_000))
+    docs = spark.createDataFrame([(None, f"x {token} y"), (1, many), (1, many)], "doc_id long, text string")
+    began = time.time()
+    got = secrets.scan(docs, model).select("text", "base", "spans").collect()
+    assert time.time() - began < 60
+    for r in got:
+        base = brute(r.text)
+        assert [tuple(s) for s in r.base] == base and [tuple(s) for s in r.spans] == added(r.text, base, model)
+
+
+def test_recall_of_added_spans_on_tokens_of_other_generators(spark, model):
+    """Keys drawn by other means than the training strings', and identifiers of other words, in running text."""
+    turn = random.Random(8)
+    kinds = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "_-"]
+    keys = [("".join(turn.choices(kinds[i % 5], k=turn.randint(28, 64))) if i % 6 else str(uuid.UUID(int=turn.getrandbits(128), version=4)).upper()) for i in range(600)]
+    other = "river mountain kitchen window garden silver planet basket harbour lantern velvet copper meadow thunder ribbon castle orchard pepper saddle timber".split()
+    plain = [turn.choice(["_", "-", "/", ""]).join(turn.choices(other, k=turn.randint(4, 6))) for _ in range(600)]
+    plain = [p.title().replace("_", "") if i % 4 == 0 else p.upper() if i % 4 == 1 else p for i, p in enumerate(plain)]
+    docs = spark.createDataFrame([(i, f"see {k} there") for i, k in enumerate(keys)] + [(10_000 + i, f"see {p} there") for i, p in enumerate(plain) if len(p) >= secrets.LEAST_TOKEN], "doc_id long, text string")
+    rows = secrets.scan(docs, model).select("doc_id", F.size("spans").alias("n")).collect()
+    recall = sum(r.n > 0 for r in rows if r.doc_id < 10_000) / len(keys)
+    false = sum(r.n > 0 for r in rows if r.doc_id >= 10_000) / sum(r.doc_id >= 10_000 for r in rows)
+    assert recall >= 0.9 and false <= 0.02, (recall, false)
