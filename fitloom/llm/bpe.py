@@ -218,3 +218,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """Adds `decoded`, the bytes that the ids stand for; no ids give no bytes."""
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(released(_decode(_blob(encoded, ranks_path))), "doc_id long, n_tokens long, ids binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What decode(encode(docs)) gives, by one worker a task rather than two."""
+    blob = _blob(docs, ranks_path)
+    to_ids, to_bytes = _encode(blob, pattern), _decode(blob)
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(released(lambda batches: to_bytes(to_ids(batches))), "doc_id long, n_tokens long, ids binary, decoded binary")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import ctypes.util
+import re
 import tempfile
 import uuid
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 #: Bytes of text that numpy kernels take at once; a longer document is taken alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,14 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where it is unset, one of our own."""
+    """The folder named by spark.checkpoint.dir; only where it is unset and all runs in one process, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fitloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def free_name(name: str, docs: DataFrame) -> str:
+    """A column name that docs does not use."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
+
+
 #: Rows and bytes that go to a Python worker at once.
 BATCH_ROWS, BATCH_BYTES = "1500", "8m"
 
@@ -47,18 +57,23 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return this process's unused memory to the system."""
+    pa.default_memory_pool().release_unused()
+    name = ctypes.util.find_library("c")
+    trim = getattr(ctypes.CDLL(name), "malloc_trim", None) if name else None
+    if trim is not None:
+        trim(0)
+
+
 def released(run):
-    """run, whose worker gives unused memory back to the system when a task ends; workers live on between stages."""
+    """run, whose worker gives unused memory back when a task ends; workers live on between stages."""
 
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            name = ctypes.util.find_library("c")
-            trim = getattr(ctypes.CDLL(name), "malloc_trim", None) if name else None
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return wrapped
 

@@ -7,14 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import byte_view, chunks, released, small_batches
+from fitloom.llm.common import byte_view, chunks, give_back, released, small_batches
 from fitloom.llm.labelled import remainder
 
-#: Hashed n-gram dimensions, and labelled rows of each language to learn from, at most.
-DIMENSIONS, FIT_ROWS = 4096, 500
+#: Hashed n-gram dimensions; labelled rows of each language to learn from, and languages to learn, at most.
+DIMENSIONS, FIT_ROWS, FIT_LANGUAGES = 4096, 500, 64
 #: Documents whose counts are held at once.
 BLOCK = 256
 
@@ -60,18 +61,44 @@ def ngrams(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Linear machine (weights, bias) of labels -1 and 1 by dual coordinate descent on the hinge loss."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    alpha, w, norm = np.zeros(len(x)), np.zeros(x.shape[1]), (x * x).sum(1)
+class Rows:
+    """Sparse vectors: of row i the dimensions at[ends[i]:ends[i + 1]] and what stands there."""
+
+    def __init__(self, ends: np.ndarray, at: np.ndarray, value: np.ndarray):
+        self.ends, self.at, self.value = ends, at, value
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.ends[i], self.ends[i + 1]
+        return self.at[a:b], self.value[a:b]
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Rows:
+        row, at = np.nonzero(x)
+        return cls(np.searchsorted(row, np.arange(len(x) + 1)), at, x[row, at])
+
+
+def fit_svm(x: Rows, which: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """Linear machine (weights, bias) of the rows `which`, labelled -1 and 1, by dual coordinate descent on the hinge loss."""
+    rows = [x.row(int(i)) for i in which]
+    alpha, w, bias = np.zeros(len(rows)), np.zeros(DIMENSIONS), 0.0
+    norm = [float(v @ v) + 1.0 for _, v in rows]
     turn = np.random.default_rng(7)
     for _ in range(rounds):
-        for i in turn.permutation(len(x)):
-            new = min(max(alpha[i] - (y[i] * (w @ x[i]) - 1) / norm[i], 0), cost)
+        moved = False
+        for i in turn.permutation(len(rows)):
+            at, value = rows[i]
+            new = min(max(alpha[i] - (y[i] * (w[at] @ value + bias) - 1) / norm[i], 0), cost)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
-                alpha[i] = new
-    return w[:-1], float(w[-1])
+                step = (new - alpha[i]) * y[i]
+                w[at] += step * value
+                bias += step
+                alpha[i], moved = new, True
+        if not moved:
+            break
+    return w, float(bias)
 
 
 @dataclass
@@ -85,7 +112,7 @@ class Hierarchy:
     pairs: dict[str, list[tuple[int, int, int]]]  # level ('' or a family): class, class, machine
 
     @classmethod
-    def fit(cls, x: np.ndarray, languages: list[str]) -> Hierarchy:
+    def fit(cls, x: Rows, languages: list[str]) -> Hierarchy:
         of = np.array([family_of(c) for c in languages], object)
         lang = np.array(languages, object)
         families = sorted(set(of))
@@ -95,12 +122,12 @@ class Hierarchy:
             pairs[level] = []
             for i, a in enumerate(names):
                 for j in range(i + 1, len(names)):
-                    here = (target == a) | (target == names[j])
-                    w, b = fit_svm(x[here], np.where(target[here] == a, 1.0, -1.0))
+                    here = np.flatnonzero((target == a) | (target == names[j]))
+                    w, b = fit_svm(x, here, np.where(target[here] == a, 1.0, -1.0))
                     pairs[level].append((i, j, len(weights)))
                     weights.append(w)
                     bias.append(b)
-        return cls(families, members, np.array(weights).reshape(len(weights), DIMENSIONS), np.array(bias), pairs)
+        return cls(families, members, np.array(weights, np.float32).reshape(len(weights), DIMENSIONS), np.array(bias, np.float32), pairs)
 
     def _decide(self, margins: np.ndarray, level: str, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Class of most wins (then of the largest margins), and how sure its closest duel is."""
@@ -117,7 +144,7 @@ class Hierarchy:
         return best, 1 / (1 + np.exp(-3 * least[np.arange(len(margins)), best]))
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
-        margins = x @ self.weights.T + self.bias
+        margins = (x.astype(np.float32) @ self.weights.T + self.bias).astype(float)
         family, sure = self._decide(margins, "", len(self.families))
         out, score = np.empty(len(x), object), sure.copy()
         for f, name in enumerate(self.families):
@@ -138,8 +165,10 @@ def _vectors(batches):
     for batch in batches:
         raw, offsets = byte_view(batch.column(1))
         for a, b in _blocks(offsets):
-            x = ngrams(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "x"])
+            x = Rows.of(ngrams(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+            ends = pa.array(x.ends, pa.int32())
+            columns = [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.ListArray.from_arrays(ends, pa.array(x.at, pa.int16())), pa.ListArray.from_arrays(ends, pa.array(x.value, pa.float32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "at", "value"])
 
 
 def _verdicts(model, text_at: int):
@@ -178,23 +207,29 @@ def _predict(model):
     return run
 
 
-def learn(docs: DataFrame, modulus: int = 3, held: int = 1, bound: int = FIT_ROWS):
+def learn(docs: DataFrame, modulus: int = 3, held: int = 1, bound: int = FIT_ROWS, languages: int = FIT_LANGUAGES):
     """A Hierarchy from text and non-null lang of documents whose crc32(doc_id) mod `modulus` is not `held`.
 
-    At most about `bound` rows of each language are used, picked by a hash of the id.
-    Returns None where there is no labelled row.
+    About `bound` labelled rows of each language at most, picked by a hash of the
+    id, and the `languages` commonest values of lang (the smallest of equals) are
+    learned from, so that a few ten thousand sparse rows reach the driver however many
+    labels there are.  Returns None where there is no labelled row.
     """
-    rows = small_batches(docs).where((remainder("doc_id", modulus) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count()  # a row a language
+    plain = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = plain.where((remainder("doc_id", modulus) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = rows.join(F.broadcast(counts), "lang").where(draw < F.lit(float(bound)) / F.col("count")).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    got = chosen.select("doc_id", "text", "lang").mapInArrow(_vectors, "doc_id long, lang string, x binary").toArrow()
+    chosen = rows.join(F.broadcast(counts), "lang").where(draw < F.lit(float(bound)) / F.col("n")).select("doc_id", "text", "lang")
+    got = chosen.mapInArrow(_vectors, "doc_id long, lang string, at array<smallint>, value array<float>").toArrow()
     if not len(got):
         return None
-    ids, langs = got["doc_id"].to_pylist(), got["lang"].to_pylist()
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, DIMENSIONS).astype(float)
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], langs[i]))  # the same model whatever order the rows come in
-    return Hierarchy.fit(x[order], [langs[i] for i in order])
+    got = got.sort_by([("doc_id", "ascending"), ("lang", "ascending")]).combine_chunks()  # the same model whatever order the rows come in
+    at, value = got["at"].combine_chunks(), got["value"].combine_chunks()
+    x = Rows(np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(at), np.int64))]), np.asarray(at.flatten(), np.int64), np.asarray(value.flatten(), float))
+    model = Hierarchy.fit(x, got["lang"].to_pylist())
+    del got, at, value, x
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, modulus: int = 3, held: int = 1, bound: int = FIT_ROWS) -> DataFrame:

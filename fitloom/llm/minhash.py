@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fitloom.llm.common import U64, Scratch, byte_view, chunks, mix, released, shingle_sets, small_batches, stream
+from fitloom.llm.common import U64, Scratch, byte_view, chunks, free_name, mix, released, shingle_sets, small_batches, stream
 from fitloom.llm.components import components
 
 #: A pair of Jaccard 0.8 shares none of 40 bands of 5 rows with probability 1.3e-7.
@@ -228,15 +228,8 @@ def without_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     """
     groups = near_duplicates(docs, shingle, percent)
     stay = groups.where("kept and doc_id is not null").select("doc_id", "text_hash").distinct()
-    mark, turn = _free("text_hash", docs), _free("turn", docs)
+    mark, turn = free_name("text_hash", docs), free_name("turn", docs)
     named = docs.withColumn(mark, F.xxhash64(F.col("text").cast("string")))
     known = named.join(stay.select(F.col("doc_id").alias("doc_id"), F.col("text_hash").alias(mark)), ["doc_id", mark], "left_semi")
     first = known.withColumn(turn, F.row_number().over(W.partitionBy("doc_id", mark).orderBy(F.lit(1)))).where(F.col(turn) == 1).drop(turn, mark)
     return first.select(docs.columns).unionByName(docs.where("doc_id is null"))
-
-
-def _free(name: str, docs: DataFrame) -> str:
-    """A column name that docs does not use."""
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name = f"_{name}"
-    return name

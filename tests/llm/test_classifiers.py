@@ -38,6 +38,68 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_with_clashing_columns_and_many_labels(spark):
+    turn = random.Random(5)
+    rows = [(i, prose(turn, lang, 30), lang) for i, lang in enumerate(list(WORDS) * 40)] + [(500 + i, prose(turn, "en", 20), f"junk{i}") for i in range(30)]
+    docs = spark.createDataFrame([(i, t, lang, 1, "c", 0.5, 7) for i, t, lang in rows], "doc_id long, text string, lang string, count int, lang_pred string, score double, n int")
+    got = language.recognised(docs, least=0.0)
+    assert got.columns == docs.columns and got.count() == len(rows)
+    # Only the commonest labels are learned; every row has a prediction all the same.
+    model = language.learn(docs, languages=4)
+    assert sorted(c for names in model.languages.values() for c in names) == sorted(WORDS)
+    assert language.identify(docs).count() == len(rows)
+
+
+def test_language_votes_equal_a_plain_version(spark):
+    """n-gram counts, duels and votes, written out per document."""
+    turn = random.Random(11)
+    texts = [prose(turn, lang, turn.randint(3, 40)) for lang in list(WORDS) * 15] + ["Ünïté ÉCOLE 12!! x", "a", "straße"]
+    langs = [lang for lang in list(WORDS) * 15] + ["fr", "en", "de"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    x = language.ngrams(raw, offsets)
+    for row, text in zip(x, texts, strict=True):
+        folded, data = [], text.encode()
+        for k, b in enumerate(data):
+            b = b + 32 if 65 <= b <= 90 or (k and data[k - 1] == 0xC3 and 0x80 <= b <= 0x9E) else b
+            b = b if 97 <= b <= 122 or b >= 128 else 32
+            if b != 32 or not folded or folded[-1] != 32 or k == 0:
+                folded.append(b)
+        count = np.zeros(language.DIMENSIONS)
+        for n in range(1, 5):
+            for k in range(len(folded) - n + 1):
+                code = int.from_bytes(bytes(folded[k : k + n]), "big")
+                code = (((code + n) * 2654435761 & 0xFFFFFFFF) ^ code >> 7) * 2246822519 & 0xFFFFFFFF
+                count[code >> 20] += 1
+        plain = np.sqrt(count)
+        assert np.allclose(row, plain / max(np.linalg.norm(plain), 1e-12))
+    model = language.Hierarchy.fit(language.Rows.of(x), langs)
+    names, scores = model.predict(x)
+
+    def duel(row, level, classes):
+        wins, total, least = [0] * len(classes), [0.0] * len(classes), [20.0] * len(classes)
+        for i, j, k in model.pairs[level]:
+            m = float(row.astype(np.float32) @ model.weights[k] + model.bias[k])
+            wins[i if m > 0 else j] += 1
+            total[i], total[j] = total[i] + m, total[j] - m
+            least[i], least[j] = min(least[i], m), min(least[j], -m)
+        best = max(range(len(classes)), key=lambda c: (wins[c], total[c]))
+        return classes[best], 1 / (1 + np.exp(-3 * least[best]))
+
+    for row, name, score in zip(x, names, scores, strict=True):
+        family, sure = duel(row, "", model.families)
+        got, inner = duel(row, family, model.languages[family])
+        assert got == name and abs(sure * inner - score) < 1e-4
+    assert np.mean([a == b for a, b in zip(names, langs, strict=True)]) > 0.9
+
+
+def test_tree_traversal_equals_a_plain_walk():
+    turn = np.random.default_rng(3)
+    x = turn.normal(size=(600, 5))
+    trees = gbt.fit(x[:400], (x[:400, 0] * x[:400, 1] > 0).astype(float), np.ones(400))
+    assert np.allclose(trees.raw(x[400:]), [plain_walk(trees, row) for row in x[400:]])
+
+
 def labelled(spark):
     turn = random.Random(9)
     rows, labels = [], []
@@ -78,3 +140,13 @@ def test_trees_learn_and_isotonic_never_falls():
     assert (np.diff(values) >= 0).all() and (np.diff(knots) >= 0).all()
     flat = gbt.fit(np.zeros((0, 3)), np.zeros(0), np.zeros(0))
     assert flat.raw(x[:5]).tolist() == [0.0] * 5
+
+
+def plain_walk(trees, row):
+    total = trees.start
+    for feature, threshold, value in zip(trees.feature, trees.threshold, trees.value, strict=True):
+        node = 0
+        while node < len(feature):
+            node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+        total += value[node - len(feature)]
+    return total

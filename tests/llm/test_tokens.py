@@ -33,6 +33,8 @@ def test_bpe_equals_the_library(spark, docs):
         ids = np.frombuffer(r.ids, "<u4").tolist()
         assert any(d == r.doc_id and ids == lib.encode_ordinary(t or "") and bytes(r.decoded) == (t or "").encode() and r.n_tokens == len(ids) for d, t in texts)
     assert bpe.encode(docs.limit(0), path, bpe.PATTERN).count() == 0
+    rows = lambda df: sorted((repr(r.asDict()) for r in df.collect()))
+    assert rows(bpe.round_trip(docs, path, bpe.PATTERN)) == rows(bpe.decode(bpe.encode(docs, path, bpe.PATTERN), path))
 
 
 @settings(max_examples=150, deadline=None)
