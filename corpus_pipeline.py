@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitloom.llm import bpe, decontaminate, language, minhash, secrets
-from fitloom.llm.common import Scratch, table
-from fitloom.llm.queries import TOKENIZERS
+from fitloom.llm.common import Scratch, free_name, table
+from fitloom.llm.queries import tokenizer_file
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark, and n_chars follows; no document goes."""
-    base, spans = "__secret_base", "__secret_spans"
+    base, spans = free_name("secret_base", docs), free_name("secret_spans", docs)
     model = secrets.train(secrets.labelled_samples(spark))
     out = secrets.redact(secrets.scan(docs, model, base_col=base, spans_col=spans), spans_col=spans)
     if "n_chars" in docs.columns:
@@ -37,8 +37,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document (little-endian, 32 bits), and a digest of what they decode to."""
-    ranks = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
-    return bpe.decode(bpe.encode(docs, ranks, bpe.PATTERN), ranks).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    ranks = tokenizer_file("byte_bpe_50k.tiktoken")
+    return bpe.round_trip(docs, ranks, bpe.PATTERN).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
