@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Words that say nothing about which product a name means.
 STOPWORDS = "the for and with watch watches style styled set sets seiko mod mods modding new premium quality finish finished fits fit replacement part parts custom compatible your build builds a of to in".split()
 
+# Words for colours.
+_COLOUR = "black|white|blue|green|red|orange|yellow|grey|gray|gold|silver|brown|bronze|cream|beige|biege|pink|purple|navy|slate"
 _WEAR = ("dial", "hands", "bezel_insert", "strap", "case")
 
 # Style tags, the words that give evidence of each, and the categories that may carry it.
@@ -19,24 +21,60 @@ STYLE_TAGS = [
     ("brown", r"\bbrown\b|\bbronze\b|\bcopper\b|\bumber\b|\bchocolate\b|\btropical\b", _WEAR), ("red", r"\bred\b|\bburgundy\b|\bmaroon\b|\bcherry\b", _WEAR), ("orange", r"\borange\b|\bamber\b", _WEAR), ("yellow", r"\byellow\b|\bmustard\b", _WEAR),
     ("rose-gold", r"\brose\s?gold\b|\bsalmon\s?gold\b", _WEAR), ("gold-tone", r"\bgold\b|\bgilt\b|\bbrass\b", _WEAR), ("silver-tone", r"\bsilver\b|\bsteel\b|\bstainless\b|\brhodium\b", _WEAR),
     ("sunburst", r"\bsunburst\b|\bsun\s?ray\b", ("dial",)), ("matte", r"\bmatte\b|\bmatt\b|\bsandblast", ("dial", "bezel_insert", "case")), ("textured", r"\btextur|\bwaffle\b|\bgrain|\bhammered\b|\blinen\b|\bwave\b", ("dial",)),
-    ("enamel", r"\benamel\b|\blacquer\b|\bglossy?\b", ("dial",)), ("polished", r"\bpolish", ("hands", "bezel_insert", "case")), ("brushed", r"\bbrushed\b", ("hands", "bezel_insert", "case")),
+    ("enamel", r"\benamel\b|\blacquer\b|\bglossy?\b", ("dial",)), ("mother-of-pearl", r"\bmother\s?(of\s?)?pearl\b|\bMOP\b", ("dial",)), ("aged-lume", r"\bpatina\b|\baged\b|\bfaded\b|\bvintage\b|\bghost\b", ("dial", "hands", "bezel_insert")),
+    ("polished", r"\bpolish", ("hands", "bezel_insert", "case")), ("brushed", r"\bbrushed\b", ("hands", "bezel_insert", "case")),
+    ("arabic-numerals", r"\barabic\b|\bnumeral", ("dial",)), ("roman-numerals", r"\broman\b", ("dial",)), ("no-branding", r"\bsterile\b|\bno\s?logo\b|\bunbranded\b|\bblank\b", ("dial",)), ("half-numeral", r"\bcalifornia\b", ("dial",)),
     ("sword-hands", r"\bsword\b", ("hands",)), ("dauphine-hands", r"\bdauphine\b", ("hands",)), ("syringe-hands", r"\bsyringe\b", ("hands",)), ("pencil-hands", r"\bpencil\b", ("hands",)), ("arrow-hands", r"\barrow\b", ("hands",)),
-    ("lumed", r"\blume(d)?\b|\bluminous\b|\bbgw\b|\bsuper\s?luminova\b|\bglow", ("dial", "hands", "bezel_insert")), ("ceramic", r"\bceramic\b", ("bezel_insert",)), ("aluminium", r"\baluminium\b|\baluminum\b", ("bezel_insert",)),
-    ("pilot", r"\bpilot\b|\bflieger\b|\baviator\b", ("dial", "hands")),
+    ("faceted-hands", r"\bsnowflake\b|\bfacet", ("hands",)), ("three-lobe-hands", r"\bmercedes\b|\bmerc\b", ("hands",)), ("skeleton-hands", r"\bskeleton\b", ("hands",)),
+    ("lumed", r"\blume(d)?\b|\bluminous\b|\bbgw\b|\bsuper\s?luminova\b|\bglow", ("dial", "hands", "bezel_insert")),
+    ("dive-bezel", r"\bdive\b|\bcount\s?(up|down)\b|\bsub\b|\bdiver\b|\btimer\b", ("bezel_insert",)), ("gmt-bezel", r"\bgmt\b|\bdual\s?time\b|\b24\s?h(our)?\b|\bworldtime", ("bezel_insert",)),
+    ("two-tone-bezel", rf"\b(?:{_COLOUR})\b\s*(?:/|-|\band\b)\s*\b(?:{_COLOUR})\b|\btwo[\s-]?(?:tone|colou?r)\b|\bpepsi\b|\bbatman\b|\bcoke\b|\broot\s?beer\b", ("bezel_insert",)),
+    ("plain-bezel", r"\bsmooth\b|\bplain\b|\bfluted\b|\byacht\b", ("bezel_insert",)), ("ceramic", r"\bceramic\b", ("bezel_insert",)), ("aluminium", r"\baluminium\b|\baluminum\b", ("bezel_insert",)),
+    ("vintage", r"\bvintage\b|\bretro\b|\bheritage\b|\bpatina\b|\bfaded\b|\baged\b", ("dial", "hands", "bezel_insert")), ("dressy", r"\bdress\b|\bdauphine\b|\broman\b|\benamel\b|\bmother\s?(of\s?)?pearl\b", ("dial", "hands")),
+    ("tool-watch", r"\bdiver?\b|\bfield\b|\bpilot\b|\bmilitary\b|\bmilspec\b|\bsterile\b|\btool\b", ("dial", "hands", "bezel_insert")), ("pilot", r"\bpilot\b|\bflieger\b|\baviator\b", ("dial", "hands")),
 ]
 
 COLOURS = ("black", "white", "cream", "blue", "green", "grey", "brown", "red", "orange", "yellow", "gold-tone", "silver-tone")
 
-# Shapes of a part by category, in order of precedence, and what is drawn where none fits.
-SHAPES = {"hands": [("hand-sword", r"\bsword\b"), ("hand-dauphine", r"\bdauphine\b"), ("hand-arrow", r"\barrow\b")], "bezel_insert": [("insert-gmt", r"\bgmt\b"), ("insert-dive", r"\bdive|\bdiver\b"), ("insert-plain", r"\bplain\b|\bsmooth\b")]}
-SHAPE_OF_TAG = {"sword-hands": "hand-sword", "dauphine-hands": "hand-dauphine", "arrow-hands": "hand-arrow", "gmt-bezel": "insert-gmt", "dive-bezel": "insert-dive", "plain-bezel": "insert-plain"}
+# Shapes of a part by category, in order of precedence, the tags that speak for one, and what is drawn where none fits.
+SHAPES = {
+    "hands": [
+        ("hand-three-lobe", r"\bmercedes\b|\bmerc\b"), ("hand-faceted", r"\bsnowflake\b|\bfacet"), ("hand-dauphine", r"\bdauphine\b"), ("hand-syringe", r"\bsyringe\b"), ("hand-arrow", r"\bbroad\s?arrow\b|\barrow\b"), ("hand-cathedral", r"\bcathedral\b"),
+        ("hand-pencil", r"\bpencil\b"), ("hand-sword", r"\bsword\b|\bdagger\b|\bflieger\b|\bplongeur\b|\blance\b"), ("hand-baton", r"\bbaton\b|\bstick\b|\bbar\s?hand"),
+    ],
+    "crown": [("crown-onion", r"\bonion\b"), ("crown-bolt", r"\bbolt\b"), ("crown-coin", r"\bcoin\b|\bfluted\b|\bribbed\b"), ("crown-knurled", r"\bknurl"), ("crown-chunky", r"\bchunky\b|\bbig\b|\boversiz"), ("crown-smooth", r"\bsmooth\b|\bflat\b|\bplain\b|\bpolished\b")],
+    "chapter_ring": [("ring-angled", r"\bangled\b|\bslope|\bincline|\bbevel"), ("ring-plain", r"\bplain\b|\bsandbl|\bbrushed\b|\bpolished\b|\bsmooth\b")],
+    "bezel_insert": [("insert-gmt", r"\bgmt\b|\bdual\s?time\b|\b24\s?h(our)?\b|\bworldtime|\bpepsi\b|\bbatman\b"), ("insert-dive", r"\bdive\b|\bdiver\b|\bcount\s?(up|down)\b|\btimer\b|\bsub\b"), ("insert-plain", r"\bsmooth\b|\bplain\b|\bfluted\b|\byacht\b|\bno\s?scale\b")],
+    "strap": [
+        ("strap-nato", r"\bnato\b|\bzulu\b|\bsingle\s?pass\b|\bseatbelt\b|\bperlon\b"), ("strap-jubilee", r"\bjubilee\b|\bbeads?\s?of\s?rice\b|\bpresident\b"), ("strap-oyster", r"\boyster\b|\bsuper\s?-?\s?engineer\b|\bengineer\b"),
+        ("strap-bracelet", r"\bbracelet\b|\bmilanese\b|\bmesh\b|\bnautilus\b"), ("strap-band", r"\bleather\b|\brubber\b|\bfkm\b|\bsilicone\b|\bnylon\b|\bcanvas\b|\bsuede\b|\bcordovan\b|\btropic\b|\bwaffle\b|\bstrap\b"),
+    ],
+}
+SHAPE_OF_TAG = {
+    "three-lobe-hands": "hand-three-lobe", "faceted-hands": "hand-faceted", "dauphine-hands": "hand-dauphine", "syringe-hands": "hand-syringe", "arrow-hands": "hand-arrow",
+    "pencil-hands": "hand-pencil", "sword-hands": "hand-sword", "gmt-bezel": "insert-gmt", "dive-bezel": "insert-dive", "plain-bezel": "insert-plain",
+}
 FALLBACK = {"hands": "hand-sword", "crown": "crown-knurled", "chapter_ring": "ring-plain", "bezel_insert": "insert-dive", "strap": "strap-band"}
 
 # Words that name other makers' goods.
-RESERVED = "rolex,omega,tudor,submariner,sub,explorer,daytona,datejust,gmt-master,sea-dweller,oyster,mercedes,pepsi,batman,hulk,coke,black bay,speedmaster,planet ocean,nautilus,royal oak,turtle,samurai,monster,sumo,captain willard,tuna,shogun,cocktail time,snowflake".split(",")
+RESERVED = [
+    "rolex", "omega", "tudor", "submariner", "sub", "explorer", "daytona", "datejust", "gmt-master", "gmt master", "yacht-master", "yacht master", "sea-dweller", "sea dweller", "milgauss", "oyster", "mercedes", "pepsi", "batman", "hulk", "kermit", "coke",
+    "black bay", "pelagos", "speedmaster", "seamaster", "planet ocean", "railmaster", "nautilus", "aquanaut", "royal oak", "fifty fathoms", "fathoms", "luminor", "radiomir", "flieger", "marinemaster", "turtle", "samurai", "monster", "sumo", "willard",
+    "captain willard", "alpinist", "spork", "tuna", "shogun", "cocktail time", "snowflake", "milspec", "divemaster", "worldtimer", "vantage", "b. wayne",
+]
+
+# Bounds of believable sizes in millimetres.
+BOUNDS = {"outer": (24, 46), "inner": (18, 40), "diameter": (4, 11), "hour": (4, 14), "minute": (7, 17), "second": (7, 18), "caseDiameter": (30, 48), "lugWidth": (14, 26), "aperture": (22, 36)}
 
-#: Bounds of believable sizes in millimetres.
-BOUNDS = {"outer": (25, 50), "inner": (20, 45), "diameter": (4, 12), "hour": (5, 15), "minute": (8, 20), "second": (8, 20)}
+# How sizes are written.
+_N = r"(\d{1,2}(?:\.\d{1,2})?)"
+SIZES = {
+    "outer": rf"(?i)(?:outer|outside)\s*(?:diameter|dia\.?)\s*[:\-–]?\s*{_N}\s*mm", "inner": rf"(?i)(?:inner|inside)\s*(?:diameter|dia\.?)\s*[:\-–]?\s*{_N}\s*mm", "diameter": rf"(?i)crown\s*(?:diameter|dia\.?|size|width)\s*[:\-–]?\s*{_N}\s*mm",
+    "hands": rf"(?i)(?:h\s*/\s*m\s*/\s*s|hour\s*/\s*minute\s*/\s*second)\s*[:\-–]?\s*{_N}\s*(?:mm)?\s*/\s*{_N}\s*(?:mm)?\s*/\s*{_N}\s*mm",
+}
+# How a request states money, a size, a date and a second zone.
+MONEY = r"(?:£|gbp\s*)(\d[\d,]*(?:\.\d{1,2})?)|(\d[\d,]*)\s*(?:pounds|quid|gbp)"
+ASKED_SIZE, NO_DATE, DATE, SECOND_ZONE = r"(\d{2}(?:\.\d)?)\s*mm", r"\bno date\b|dateless|without a date", r"\bdate\b", r"\bgmt\b|second time ?zone|dual time|two time ?zone"
 
 
 def strip_html(html: Column) -> Column:
@@ -95,11 +133,12 @@ def reserved_terms(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(F.contains(hay, F.lit(f" {re.sub('[^a-z0-9]+', ' ', t)} ")), F.lit(t)) for t in RESERVED]))
 
 
-def redact_terms(text: Column, mark: str = "***") -> Column:
-    """The text with every reserved term, as a whole word, replaced."""
-    for term in sorted(RESERVED, key=len, reverse=True):
-        text = F.regexp_replace(text, rf"(?i)\b{term.replace(' ', chr(92) + 's+')}\b", mark)
-    return text
+def redact_terms(text: Column) -> Column:
+    """The text without the reserved terms found in it, spaces closed up; a text that has none stays as it is."""
+    found, cut = reserved_terms(text), text
+    for term in RESERVED:
+        cut = F.when(F.array_contains(found, term), F.regexp_replace(cut, rf"(?i)\b{re.escape(term)}\b", "")).otherwise(cut)
+    return F.when(F.size(found) == 0, text).otherwise(F.trim(F.regexp_replace(F.regexp_replace(cut, r"\s{2,}", " "), r"\s+([,.])", "$1")))
 
 
 def _bounded(field: str, raw: Column) -> Column:
@@ -108,21 +147,26 @@ def _bounded(field: str, raw: Column) -> Column:
     return F.when(value.between(low, high), value)
 
 
-def dimensions(text: Column) -> Column:
-    """outer, inner, crown diameter and hand lengths that the text states and that hold together."""
+def dimensions(text: Column, category: Column | None = None) -> Column:
+    """outer, inner, crown diameter and hand lengths that the text states and that hold together; of its category only, if one is given."""
     flat = strip_html(text)
-    get = lambda p, k=1: F.regexp_extract(flat, p, k)
-    outer, inner = _bounded("outer", get(r"(?i)outer\s*diameter\s*:?\s*(\d{1,2}(?:\.\d{1,2})?)\s*mm")), _bounded("inner", get(r"(?i)inner\s*diameter\s*:?\s*(\d{1,2}(?:\.\d{1,2})?)\s*mm"))
+    get = lambda name, k=1: F.regexp_extract(flat, SIZES[name], k)
+    outer, inner = _bounded("outer", get("outer")), _bounded("inner", get("inner"))
     clash = F.coalesce(inner >= outer, F.lit(False))
-    hands = r"(?i)H\s*/\s*M\s*/\s*S:?\s*(\d{1,2}(?:\.\d{1,2})?)\s*mm\s*/\s*(\d{1,2}(?:\.\d{1,2})?)\s*mm\s*/\s*(\d{1,2}(?:\.\d{1,2})?)\s*mm"
-    hour, minute = _bounded("hour", get(hands, 1)), _bounded("minute", get(hands, 2))
+    hour, minute = _bounded("hour", get("hands", 1)), _bounded("minute", get("hands", 2))
     good = F.coalesce(minute > hour, F.lit(False))
+    of = lambda value, *names: value if category is None else F.when(category.isin(*names), value)
     return F.struct(
-        F.when(~clash, outer).alias("outer"), F.when(~clash, inner).alias("inner"), _bounded("diameter", get(r"(?i)crown\s*diameter\s*:?\s*(\d{1,2}(?:\.\d{1,2})?)\s*mm")).alias("diameter"),
-        F.when(good, hour).alias("hour"), F.when(good, minute).alias("minute"), F.when(good, _bounded("second", get(hands, 3))).alias("second"),
+        of(F.when(~clash, outer), "bezel_insert", "chapter_ring").alias("outer"), of(F.when(~clash, inner), "bezel_insert", "chapter_ring").alias("inner"), of(_bounded("diameter", get("diameter")), "crown").alias("diameter"),
+        of(F.when(good, hour), "hands").alias("hour"), of(F.when(good, minute), "hands").alias("minute"), of(F.when(good, _bounded("second", get("hands", 3))), "hands").alias("second"),
     )
 
 
+def case_dimensions(diameter: Column, lug: Column, aperture: Column) -> Column:
+    """Sizes of a case that lie within believable bounds, however they were stated."""
+    return F.struct(*[_bounded(name, c.cast("string")).alias(name) for name, c in (("caseDiameter", diameter), ("lugWidth", lug), ("aperture", aperture))])
+
+
 def first_mm(title: Column) -> Column:
     """The first size in millimetres of a title."""
     got = F.regexp_extract(title, r"(?i)(?<![\w.])(\d{2}(?:\.\d)?)\s*mm\b", 1)
@@ -142,7 +186,7 @@ def complication(title: Column) -> Column:
 
 def profile(title: Column) -> Column:
     t = F.lower(title)
-    return F.when(t.rlike("double.?dome|domed"), "domed").when(t.rlike(r"\bsloped?\b"), "slope").when(t.rlike(r"\bflat\b"), "flat")
+    return F.when(t.rlike("double.?dome|domed"), "domed").when(t.rlike(r"\bslope[d]?\b"), "slope").when(t.rlike(r"\bflat\b"), "flat")
 
 
 def material(title: Column) -> Column:
@@ -151,16 +195,15 @@ def material(title: Column) -> Column:
 
 
 def intent(query: Column) -> Column:
-    """Budget, size, date and second-zone wishes of a request in words."""
+    """Budget (the first amount in the text), size, date and second-zone wishes of a request in words, and the tags that it names."""
     t = F.lower(query)
-    money = F.coalesce(F.nullif(F.regexp_extract(t, r"(?:£|gbp\s*)(\d[\d,]*(?:\.\d{1,2})?)", 1), F.lit("")), F.nullif(F.regexp_extract(t, r"(\d[\d,]*)\s*(?:pounds|quid|gbp)", 1), F.lit("")))
-    amount = F.regexp_replace(money, ",", "").try_cast("double")
-    mm = F.nullif(F.regexp_extract(t, r"(\d{2}(?:\.\d)?)\s*mm", 1), F.lit("")).cast("double")
+    amount = F.regexp_replace(F.concat(F.regexp_extract(t, MONEY, 1), F.regexp_extract(t, MONEY, 2)), ",", "").try_cast("double")
+    mm = F.nullif(F.regexp_extract(t, ASKED_SIZE, 1), F.lit("")).cast("double")
     size = (mm > 20) & (mm < 60)
     return F.struct(
         F.when(amount > 0, F.round(amount * 100).cast("long")).alias("budget_minor"), F.when(size, mm - 2).alias("size_from"), F.when(size, mm + 2).alias("size_to"),
-        F.when(t.rlike(r"\bno date\b|dateless|without a date"), False).when(t.rlike(r"\bdate\b"), True).alias("requires_date"),
-        F.when(t.rlike(r"\bgmt\b|second time ?zone|dual time|two time ?zone"), True).alias("requires_gmt"),
+        F.when(t.rlike(NO_DATE), False).when(t.rlike(DATE), True).alias("requires_date"), F.when(t.rlike(SECOND_ZONE), True).alias("requires_gmt"),
+        F.array_compact(F.array(*[F.when(t.rlike(f"(?i){pattern}"), F.lit(tag)) for tag, pattern, _ in STYLE_TAGS])).alias("tags"),
     )
 
 

@@ -287,15 +287,20 @@ _ASK = "concat(p_name, CASE p_size % 5 WHEN 0 THEN ' under £' || (p_size * 10)
 @query(rf"SELECT p_partkey, CASE WHEN m > 0 THEN CAST(round(m * 100) AS BIGINT) END AS budget_minor, CASE WHEN mm > 20 AND mm < 60 THEN mm - 2 END AS size_from, CASE WHEN mm > 20 AND mm < 60 THEN mm + 2 END AS size_to, CASE WHEN regexp_matches(t, '\bno date\b|dateless|without a date') THEN false WHEN regexp_matches(t, '\bdate\b') THEN true END AS requires_date, CASE WHEN regexp_matches(t, '\bgmt\b|second time ?zone|dual time|two time ?zone') THEN true END AS requires_gmt FROM (SELECT p_partkey, t, TRY_CAST(replace(coalesce(nullif(regexp_extract(t, '(?:£|gbp\s*)(\d[\d,]*(?:\.\d{{1,2}})?)', 1), ''), nullif(regexp_extract(t, '(\d[\d,]*)\s*(?:pounds|quid|gbp)', 1), '')), ',', '') AS DOUBLE) AS m, CAST(nullif(regexp_extract(t, '(\d{{2}}(?:\.\d)?)\s*mm', 1), '') AS DOUBLE) AS mm FROM (SELECT p_partkey, lower({_ASK}) AS t FROM part) a) b")
 def parse_query_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     ask = F.concat("p_name", F.expr("case p_size % 5 when 0 then concat(' under £', p_size * 10) when 1 then concat(' for ', p_size * 7, ' pounds, no date') when 2 then concat(' ', p_size, 'mm with date') when 3 then ' GMT dual time' else ' 42.5 mm' end"))
-    return table(spark, sf_dir, "part").select("p_partkey", text.intent(ask).alias("i")).select("p_partkey", "i.*")
+    return table(spark, sf_dir, "part").select("p_partkey", text.intent(ask).alias("i")).select("p_partkey", "i.*").drop("tags")
 
 
-_DIM = "concat('<b>Outer&nbsp;Diameter</b>: ', p_size, 'mm Inner diameter: 31.5 mm Crown Diameter: ', p_size % 15, ' mm H / M / S 8.5mm / ', p_size % 20 + 1, 'mm / 12.75mm')"
+_SAID = "concat(CASE p_size % 3 WHEN 0 THEN '<b>Outer&nbsp;Diameter</b>: ' WHEN 1 THEN 'outside dia. – ' ELSE 'Outer dia' END, p_size, 'mm Inner diameter: 31.5 mm Crown ', CASE p_size % 2 WHEN 0 THEN 'Diameter: ' ELSE 'width-' END, p_size % 15, ' mm ', CASE p_size % 4 WHEN 0 THEN 'hour / minute / second' ELSE 'H/M/S:' END, ' 8.5 / ', p_size % 20 + 1, 'mm / 12.75mm')"
 
 
-@query(rf"SELECT p_partkey, CASE WHEN NOT coalesce(inn >= out, false) THEN out END AS outer_mm, CASE WHEN NOT coalesce(inn >= out, false) THEN inn END AS inner_mm, cd AS diameter, CASE WHEN m > h THEN h END AS hour, CASE WHEN m > h THEN m END AS minute FROM (SELECT p_partkey, CASE WHEN o BETWEEN 25 AND 50 THEN o END AS out, CASE WHEN i BETWEEN 20 AND 45 THEN i END AS inn, CASE WHEN c BETWEEN 4 AND 12 THEN c END AS cd, CASE WHEN h BETWEEN 5 AND 15 THEN h END AS h, CASE WHEN m BETWEEN 8 AND 20 THEN m END AS m FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS o, 31.5::DOUBLE AS i, CAST(p_size % 15 AS DOUBLE) AS c, 8.5::DOUBLE AS h, CAST(p_size % 20 + 1 AS DOUBLE) AS m FROM part) a) b")
+@query(r"""WITH t AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(""" + _SAID + r""", '<[^>]+>', ' ', 'g'), '&nbsp;|&[a-z]+;', ' ', 'gi'), '\s+', ' ', 'g')) AS x FROM part),
+n AS (SELECT p_partkey, TRY_CAST(regexp_extract(x, '(?:outer|outside)\s*(?:diameter|dia\.?)\s*[:\-–]?\s*(\d{1,2}(?:\.\d{1,2})?)\s*mm', 1, 'i') AS DOUBLE) AS o, TRY_CAST(regexp_extract(x, '(?:inner|inside)\s*(?:diameter|dia\.?)\s*[:\-–]?\s*(\d{1,2}(?:\.\d{1,2})?)\s*mm', 1, 'i') AS DOUBLE) AS i,
+  TRY_CAST(regexp_extract(x, 'crown\s*(?:diameter|dia\.?|size|width)\s*[:\-–]?\s*(\d{1,2}(?:\.\d{1,2})?)\s*mm', 1, 'i') AS DOUBLE) AS c,
+  regexp_extract(x, '(?:h\s*/\s*m\s*/\s*s|hour\s*/\s*minute\s*/\s*second)\s*[:\-–]?\s*(\d{1,2}(?:\.\d{1,2})?)\s*(?:mm)?\s*/\s*(\d{1,2}(?:\.\d{1,2})?)\s*(?:mm)?\s*/\s*(\d{1,2}(?:\.\d{1,2})?)\s*mm', ['h', 'm', 's'], 'i') AS w FROM t),
+b AS (SELECT p_partkey, CASE WHEN o BETWEEN 24 AND 46 THEN o END AS o, CASE WHEN i BETWEEN 18 AND 40 THEN i END AS i, CASE WHEN c BETWEEN 4 AND 11 THEN c END AS c, CASE WHEN TRY_CAST(w.h AS DOUBLE) BETWEEN 4 AND 14 THEN CAST(w.h AS DOUBLE) END AS h, CASE WHEN TRY_CAST(w.m AS DOUBLE) BETWEEN 7 AND 17 THEN CAST(w.m AS DOUBLE) END AS m FROM n)
+SELECT p_partkey, CASE WHEN NOT coalesce(i >= o, false) THEN o END AS outer_mm, CASE WHEN NOT coalesce(i >= o, false) THEN i END AS inner_mm, c AS diameter, CASE WHEN m > h THEN h END AS hour, CASE WHEN m > h THEN m END AS minute FROM b""")
 def parse_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.expr("concat('<b>Outer&nbsp;Diameter</b>: ', p_size, 'mm Inner diameter: 31.5 mm Crown Diameter: ', p_size % 15, ' mm H / M / S 8.5mm / ', p_size % 20 + 1, 'mm / 12.75mm')")
+    said = F.expr(_SAID)
     d = text.dimensions(said)
     return table(spark, sf_dir, "part").select("p_partkey", d.alias("d")).select("p_partkey", F.col("d.outer").alias("outer_mm"), F.col("d.inner").alias("inner_mm"), "d.diameter", "d.hour", "d.minute")
 

@@ -25,12 +25,12 @@ def test_product_url(spark, raw, want):
 
 def test_text(spark):
     assert {"skx007", "srpd", "sumo"} <= set(one(spark, text.keywords(F.col("n")), n="NMK960 Sumo SKX007/SRPD Case"))
-    got = one(spark, text.dimensions(F.col("t")), t="Inner Diameter: 31.7mm Outer Diameter: 38mm H / M / S 8.5mm / 12.75mm / 12.75mm")
-    assert (got.outer, got.inner, got.hour, got.minute, got.second) == (38.0, 31.7, 8.5, 12.75, 12.75)
+    got = one(spark, text.dimensions(F.col("t")), t="Inside dia. 30.5mm &amp; outside diameter - 37mm Hour / Minute / Second: 8 / 12.5 mm / 13mm")
+    assert (got.outer, got.inner, got.hour, got.minute, got.second) == (37.0, 30.5, 8.0, 12.5, 13.0)
     assert one(spark, text.dimensions(F.col("t")), t="outer diameter 31.8mm inner diameter 38mm crown diameter 47mm")[:] == (None,) * 6
     asked = one(spark, text.intent(F.col("q")), q="Under £400, a 42mm diver, no date please")
     assert (asked.budget_minor, asked.size_from, asked.size_to, asked.requires_date) == (40000, 40.0, 44.0, False)
-    assert one(spark, text.intent(F.col("q")), q="under 300 pounds").budget_minor == 30000
+    assert one(spark, text.intent(F.col("q")), q="1,250 quid, or £900").budget_minor == 125000
     assert one(spark, text.minor_units(F.col("p")), p="53.00") == 5300 and one(spark, text.minor_units(F.col("p")), p="1,200.00") is None
     assert one(spark, text.caliber(F.col("t")), t="Seiko NH35A movement") == "NH35" and one(spark, text.first_mm(F.col("t")), t="Case for 28.5mm Dial") == 28.5
     assert one(spark, text.known_tags(F.col("t")), t=[" Black", "invented", "black"]) == ["black"] and one(spark, text.english_list(F.col("t")), t=["a", "b", "c"]) == "a, b and c"
