@@ -120,12 +120,20 @@ def known_tags(candidates: Column) -> Column:
     return F.array_intersect(clean, F.array(*[F.lit(t) for t, _, _ in STYLE_TAGS]))
 
 
-def shape(text: Column, tags: Column, category: Column) -> Column:
-    """A tag beats the text, the text the fallback of its category."""
+def matched_shape(text: Column, tags: Column, category: Column) -> Column:
+    """The shape that tags speak for, else the one that the text does; null where neither does."""
     by_tag = [F.when((category == c) & F.array_contains(tags, t), F.lit(s)) for c, shapes in SHAPES.items() for s, _ in shapes for t in SHAPE_OF_TAG if SHAPE_OF_TAG[t] == s]
     by_text = [F.when((category == c) & text.rlike(f"(?i){p}"), F.lit(s)) for c, shapes in SHAPES.items() for s, p in shapes]
-    last = [F.when(category == c, F.lit(s)) for c, s in FALLBACK.items()]
-    return F.coalesce(*by_tag, *by_text, *last)
+    return F.coalesce(*by_tag, *by_text)
+
+
+def shape(text: Column, tags: Column, category: Column) -> Column:
+    """A tag beats the text, the text the fallback of its category."""
+    return F.coalesce(matched_shape(text, tags, category), fallback(category))
+
+
+def fallback(category: Column) -> Column:
+    return F.coalesce(*[F.when(category == c, F.lit(s)) for c, s in FALLBACK.items()])
 
 
 def reserved_terms(text: Column) -> Column:
