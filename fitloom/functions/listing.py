@@ -113,8 +113,8 @@ def slot_of(title: Column) -> Column:
     """The one slot that a title names; null if it names none or several."""
     t = F.regexp_replace(F.lower(title), r"\s+", " ")
     named = F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(s)) for s, p in SLOT_WORDS]))
-    named = F.when(F.array_contains(named, "bezelInsert"), F.array_remove(named, "bezel")).otherwise(named)
-    return F.when(F.size(named) == 1, F.element_at(named, 1))
+    single = lambda n: F.when(F.size(n) == 1, F.element_at(n, 1))
+    return T.once(T.once(named, lambda n: F.when(F.array_contains(n, "bezelInsert"), F.array_remove(n, "bezel")).otherwise(n)), single)
 
 
 def title_size(title: Column, field: str) -> Column:
@@ -133,23 +133,28 @@ def family_for(slot: Column, text: Column, has_feet: Column, movements: Column,
     models = F.array_distinct(F.array_compact(F.transform(F.split(text, r"[\s,/|&+()]+"), case_model)))
     suffix = F.coalesce(*[F.when(slot == s, F.lit(x)) for s, x in SUFFIX.items()])
     nh, vk = (((F.size(movements) > 0) & F.forall(movements, lambda m: m.startswith(p))) for p in ("NH", "VK"))
-    shaped = F.when(F.size(models) == 1, F.concat_ws("-", F.element_at(models, 1), suffix)).when((slot == "strap") & (F.size(models) == 0) & text.rlike(r"\bstrap\b"), "generic-strap")
+    by_model = lambda m: F.when(F.size(m) == 1, F.concat_ws("-", F.element_at(m, 1), suffix)).when((slot == "strap") & (F.size(m) == 0) & text.rlike(r"\bstrap\b"), "generic-strap")
     found = (
-        F.when(suffix.isNotNull(), shaped).when(slot == "movement", F.when(nh, "nh3x-movement").when(vk, "vk6x-movement"))
+        F.when(slot.isin(*SUFFIX), T.once(models, by_model)).when(slot == "movement", F.when(nh, "nh3x-movement").when(vk, "vk6x-movement"))
         .when(slot == "dial", F.when(nh & (~F.coalesce(has_feet, F.lit(True))), "nh3x-dial-feetless").when(nh, "nh3x-dial-standard").when(vk, "vk6x-dial")).when(slot == "hands", F.when(nh, "nh3x-hands-standard").when(vk, "vk6x-hands"))
     )
-    return F.coalesce(F.when(slot.isNotNull() & out_of_scope(text, category).isNull() & found.isin(*known), found), F.lit("unknown"))
+    good = F.when(slot.isNotNull() & out_of_scope(text, category).isNull(), found)
+    return T.once(good, lambda f: F.when(F.coalesce(f.isin(*known), F.lit(False)), f).otherwise("unknown"))
 
 
 def facts(title: Column, known: list[str]) -> Column:
     """What a title states: slot, family, sizes, calibers, crown, feet and windows, profile and material."""
     t = F.regexp_replace(F.lower(title), r"\s+", " ")
-    slot, moves = slot_of(title), calibers(title)
     feet = F.when(t.rlike(r"\bfeetless\b|\bno (?:dial )?feet\b|\bwithout feet\b"), False).when(t.rlike(r"\bwith (?:dial )?feet\b|\bfeet at\b"), True)
     said = r"(?i)(?<![\w.])(\d(?:\.\d)?)\s*(?:o'?clock|h)\s+crown\b|\bcrown\s+(?:at|@)\s*(\d(?:\.\d)?)\b"
     crown = F.coalesce(movement_crown(title), _text(F.concat(F.regexp_extract(title, said, 1), F.regexp_extract(title, said, 2))))
     windows = T.complication(title)
-    return F.struct(
-        slot.alias("slot"), family_for(slot, t, feet, moves, known).alias("family"), *[title_size(title, f).alias(f) for f in TITLE_SIZES], F.array_join(moves, ",").alias("calibers"), F.when(F.size(moves) == 1, F.element_at(moves, 1)).alias("caliber"),
-        crown.alias("crown"), feet.alias("has_feet"), windows["has_date"].alias("has_date"), windows["has_day"].alias("has_day"), T.profile(title).alias("profile"), T.material(title).alias("material"),
-    )
+
+    def all_of(r: Column) -> Column:
+        return F.struct(
+            r["slot"].alias("slot"), family_for(r["slot"], r["t"], r["feet"], r["moves"], known).alias("family"), *[title_size(title, f).alias(f) for f in TITLE_SIZES], F.array_join(r["moves"], ",").alias("calibers"),
+            F.when(F.size(r["moves"]) == 1, F.element_at(r["moves"], 1)).alias("caliber"), crown.alias("crown"), r["feet"].alias("has_feet"), windows["has_date"].alias("has_date"), windows["has_day"].alias("has_day"),
+            T.profile(title).alias("profile"), T.material(title).alias("material"),
+        )
+
+    return T.once(F.struct(slot_of(title).alias("slot"), t.alias("t"), feet.alias("feet"), calibers(title).alias("moves")), all_of)

@@ -120,11 +120,24 @@ def known_tags(candidates: Column) -> Column:
     return F.array_intersect(clean, F.array(*[F.lit(t) for t, _, _ in STYLE_TAGS]))
 
 
+def dropped_tags(candidates: Column) -> Column:
+    """Those of the candidates that the vocabulary lacks, cleaned, once each; empty ones are none."""
+    clean = F.array_distinct(F.transform(candidates, lambda t: F.lower(F.trim(t))))
+    return F.filter(F.array_except(clean, F.array(*[F.lit(t) for t, _, _ in STYLE_TAGS])), lambda t: t != "")
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with value worked out once however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def matched_shape(text: Column, tags: Column, category: Column) -> Column:
     """The shape that tags speak for, else the one that the text does; null where neither does."""
-    by_tag = [F.when((category == c) & F.array_contains(tags, t), F.lit(s)) for c, shapes in SHAPES.items() for s, _ in shapes for t in SHAPE_OF_TAG if SHAPE_OF_TAG[t] == s]
+    orders = F.coalesce(*[F.when(category == c, F.array(*[F.lit(s) for s, _ in shapes])) for c, shapes in SHAPES.items()])
+    of_tag = F.create_map(*[F.lit(x) for pair in SHAPE_OF_TAG.items() for x in pair])
+    by_tag = F.get(F.array_intersect(orders, F.transform(tags, lambda t: of_tag[t])), 0)
     by_text = [F.when((category == c) & text.rlike(f"(?i){p}"), F.lit(s)) for c, shapes in SHAPES.items() for s, p in shapes]
-    return F.coalesce(*by_tag, *by_text)
+    return F.coalesce(by_tag, *by_text)
 
 
 def shape(text: Column, tags: Column, category: Column) -> Column:

@@ -83,8 +83,8 @@ e AS (SELECT *, {_SCOPE} AS scope, CASE slot WHEN 'case' THEN 'case' WHEN 'bezel
  TRY_CAST(coalesce(nullif(regexp_extract(title, '\bdial\s+(?:size|diameter):?\s*(\d{2}(?:\.\d)?)\s*mm\b', 1, 'i'), ''), nullif(regexp_extract(title, '(?:^|[^\w.])(\d{2}(?:\.\d)?)\s*mm\s+dial\b', 1, 'i'), '')) AS DOUBLE) AS dd, TRY_CAST(coalesce(nullif(regexp_extract(title, '(?:^|[^\w.])(\d{2})\s*mm\s+(?:[a-z]+\s+){0,2}(?:lugs?|strap|band|bracelet)\b', 1, 'i'), ''), nullif(regexp_extract(title, '\blug\s+width:?\s*(\d{2})\s*mm\b', 1, 'i'), '')) AS DOUBLE) AS lw FROM e) f""")
 def listing_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot, family, sizes and movement facts that a listing's title states."""
-    got = titles(spark, sf_dir).select("part_id", listing.facts(F.col("title"), _families()).alias("f"))
-    return got.select("part_id", "f.slot", "f.family", "f.caliber", "f.has_feet", "f.crown", F.col("f.caseDiameterMm").alias("case_mm"), F.col("f.diameterMm").alias("dial_mm"), F.col("f.lugWidthMm").alias("lug_mm"))
+    got = titles(spark, sf_dir).select("part_id", F.inline(F.array(listing.facts(F.col("title"), _families()))))
+    return got.select("part_id", "slot", "family", "caliber", "has_feet", "crown", F.col("caseDiameterMm").alias("case_mm"), F.col("diameterMm").alias("dial_mm"), F.col("lugWidthMm").alias("lug_mm"))
 
 
 # ---- vocabularies over texts in which each entry occurs -------------------------------------
@@ -124,8 +124,9 @@ def _shape_sql() -> str:
 def shape_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The drawn shape of each part: its tags before its text, its text before the fallback, which is noted."""
     t, category = titles(spark, sf_dir).where(F.col("category").isin(*text.FALLBACK)), F.col("category")
-    tagged = t.select("part_id", "category", "title", text.style_tags(F.col("title"), category).alias("tags"))
-    matched = tagged.select("part_id", "category", text.matched_shape(F.col("title"), F.col("tags"), category).alias("m"))
+    # A generator of one row keeps the long expressions from being copied into each that reads them.
+    tagged = t.select("part_id", "category", "title", F.explode(F.array(text.style_tags(F.col("title"), category))).alias("tags"))
+    matched = tagged.select("part_id", "category", F.explode(F.array(text.matched_shape(F.col("title"), F.col("tags"), category))).alias("m"))
     return matched.select("part_id", "category", F.coalesce("m", text.fallback(category)).alias("shape"), F.col("m").isNull().alias("fallback"))
 
 

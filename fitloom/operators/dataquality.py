@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Believable prices in minor units by slot.
@@ -12,6 +12,16 @@ PRICE_RANGE = {"movement": (2_000, 20_000), "case": (1_000, 60_000), "dial": (50
 MARKERS = (("small", "skx007"), ("large", "skx013"), ("red", "srpe"), ("old", "ssk-gmt"))
 
 
+# Words in a name, the families that they speak for, and whether only parts that follow a case are meant.
+NAME_MARKERS = ((r"(?i)skx007|srpd", "skx007-", True), (r"(?i)skx013", "skx013-", True), (r"(?i)\bnh35\b", "nh3x-", False), (r"(?i)\bnh36\b", "nh3x-", False))
+
+
+def name_family_conflict(name: Column, family: Column, category: Column) -> Column:
+    """The families that a part's name speaks for while it stands in another; null where they agree."""
+    shaped = category.isin("case", "crown", "bezel", "bezel_insert", "strap", "crystal", "chapter_ring")
+    return F.coalesce(*[F.when((shaped if of_case else F.lit(True)) & name.rlike(p) & ~family.startswith(prefix), F.lit(prefix)) for p, prefix, of_case in NAME_MARKERS])
+
+
 def unknown_family(parts: DataFrame, families: DataFrame) -> DataFrame:
     return parts.join(families, "family", "left_anti")
 
