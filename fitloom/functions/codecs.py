@@ -22,13 +22,27 @@ def has_bit(mask: Column, i: Column) -> Column:
     return F.coalesce(F.call_function("shiftright", byte, (i % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
 
 
-def dictionary(rows: DataFrame) -> DataFrame:
-    """(id, value, code): values numbered by the least id that carries them.
+def numbered(rows: DataFrame, bucket: Column, *order: str, name: str = "k") -> DataFrame:
+    """rows numbered from 1 in one order over all, without gathering them in one task.
 
-    Only distinct values are numbered; they reach one task, as a dictionary must.
+    `bucket` must not fall as the order rises and take a bounded number of
+    values: rows are numbered within their bucket, and buckets' counts, of which there
+    are few, are summed up before them.
     """
+    dealt = rows.withColumn("_bucket", bucket)
+    counts = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = counts.select("_bucket", (F.sum("_n").over(W.orderBy("_bucket")) - F.col("_n")).alias("_before"))
+    inside = dealt.withColumn("_inside", F.row_number().over(W.partitionBy("_bucket").orderBy(*order)))
+    return inside.join(F.broadcast(before), "_bucket").withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_bucket", "_before", "_inside")
+
+
+def dictionary(rows: DataFrame, buckets: int = 4096) -> DataFrame:
+    """(id, value, code): values numbered by the least id that carries them, by ranges of ids."""
     first = rows.groupBy("value").agg(F.min("id").alias("first"))
-    codes = first.select("value", (F.row_number().over(W.orderBy("first")) - 1).cast("long").alias("code"))
+    bounds = rows.agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"))
+    ranged = first.join(F.broadcast(bounds), F.col("first").between(F.col("_lo"), F.col("_hi")))
+    width = F.floor((F.col("first") - F.col("_lo")) / ((F.col("_hi") - F.col("_lo") + 1) / buckets)).cast("long")
+    codes = numbered(ranged, width, "first", name="code").select("value", (F.col("code") - 1).alias("code"))
     return rows.join(codes, "value").select("id", "value", "code")
 
 
@@ -39,7 +53,9 @@ def canonical(values: Column) -> Column:
 
 def manifest(geometries: DataFrame, parts: DataFrame, views: list[str]) -> DataFrame:
     """Every geometry (platform) with every part key (slot, family) in every view, and a digest as job_id."""
-    all_ = geometries.withColumn("k", F.lit(1)).join(parts.withColumn("k", F.lit(1)), "k").select("platform", "slot", "family", F.explode(F.array(*map(F.lit, views))).alias("view"))
+    keys = geometries.agg(F.collect_set("platform").alias("_all"))  # a platform a case model: some dozens, whatever the catalog's size
+    spread = parts.join(F.broadcast(keys), F.size("_all") > 0).select("slot", "family", F.explode("_all").alias("platform"))
+    all_ = spread.select("platform", "slot", "family", F.explode(F.array(*map(F.lit, views))).alias("view"))
     return all_.withColumn("job_id", F.sha2(F.concat_ws("/", "platform", "slot", "family", "view"), 256))
 
 

@@ -156,10 +156,9 @@ def reserved_terms(text: Column) -> Column:
 
 def redact_terms(text: Column) -> Column:
     """The text without the reserved terms found in it, spaces closed up; a text that has none stays as it is."""
-    found, cut = reserved_terms(text), text
-    for term in RESERVED:
-        cut = F.when(F.array_contains(found, term), F.regexp_replace(cut, rf"(?i)\b{re.escape(term)}\b", "")).otherwise(cut)
-    return F.when(F.size(found) == 0, text).otherwise(F.trim(F.regexp_replace(F.regexp_replace(cut, r"\s{2,}", " "), r"\s+([,.])", "$1")))
+    without = lambda found: F.aggregate(found, text, lambda acc, t: F.regexp_replace(acc, F.concat(F.lit(r"(?i)\b\Q"), t, F.lit(r"\E\b")), F.lit("")))
+    closed = lambda found: F.trim(F.regexp_replace(F.regexp_replace(without(found), r"\s{2,}", " "), r"\s+([,.])", "$1"))
+    return once(reserved_terms(text), lambda found: F.when(F.size(found) == 0, text).otherwise(closed(found)))
 
 
 def _bounded(field: str, raw: Column) -> Column:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import operator
-from functools import lru_cache, reduce
+from functools import reduce
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitloom.operators.offers import part_offers
@@ -81,7 +82,7 @@ def findings_of(rule: Rule) -> Column:
 
 def findings(wide: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(build_id, rule_key, severity, raw_severity, tier, slots, message, fix): a row for each finding."""
-    return wide.select("build_id", F.explode(_all_findings(rules, id(wide.sparkSession))).alias("f")).select("build_id", "f.*")
+    return wide.select("build_id", F.explode(_all_findings(rules, wide.sparkSession)).alias("f")).select("build_id", "f.*")
 
 
 def status(found: DataFrame, wide: DataFrame) -> DataFrame:
@@ -97,8 +98,21 @@ def _weak(rule: Rule, slots: list[str]) -> Column:
     return F.expr(" or ".join(f"coalesce({_source_is_weak(rule, s)}, false)" for s in slots) or "false")
 
 
-@lru_cache(maxsize=64)
-def _count_columns(rules: tuple[Rule, ...], session: int) -> tuple[Column, ...]:
+def _kept(build):
+    """build(rules), kept as long as its session lives: columns are objects of that session's JVM."""
+    held: WeakKeyDictionary = WeakKeyDictionary()
+
+    def get(rules: tuple[Rule, ...], session: SparkSession):
+        own = held.setdefault(session, {})
+        if rules not in own:
+            own[rules] = build(rules)
+        return own[rules]
+
+    return get
+
+
+@_kept
+def _count_columns(rules: tuple[Rule, ...]) -> tuple[Column, ...]:
     """Counts of errors, warnings and notes; kept, since building them takes some thousand calls to the JVM."""
     counts = {"error": [], "warning": [], "info": []}
     yes = lambda c: F.when(c, 1).otherwise(0)
@@ -119,20 +133,20 @@ def _count_columns(rules: tuple[Rule, ...], session: int) -> tuple[Column, ...]:
     return tuple(reduce(operator.add, terms).cast("long").alias(f"n_{level}") for level, terms in counts.items())
 
 
-@lru_cache(maxsize=64)
-def _all_findings(rules: tuple[Rule, ...], session: int) -> Column:
+@_kept
+def _all_findings(rules: tuple[Rule, ...]) -> Column:
     return F.flatten(F.array(*[findings_of(r) for r in rules]))
 
 
 def evaluate(wide: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """As `status`, but in one pass over the wide rows: findings are counted by scalar expressions and nothing is shuffled."""
-    out = wide.select("build_id", *_count_columns(rules, id(wide.sparkSession)))
+    out = wide.select("build_id", *_count_columns(rules, wide.sparkSession))
     return out.withColumn("status", F.when(F.col("n_error") > 0, "blocked").when(F.col("n_warning") > 0, "warnings").otherwise("ok"))
 
 
 def counted(wide: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """wide with n_error, n_warning and n_info of each row."""
-    return wide.select("*", *_count_columns(rules, id(wide.sparkSession)))
+    return wide.select("*", *_count_columns(rules, wide.sparkSession))
 
 
 def required_additions(found: DataFrame, wide: DataFrame) -> DataFrame:

@@ -35,8 +35,8 @@ def insert_absent(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFra
 
 
 def update_where(table: DataFrame, changes: DataFrame, keys: list[str], guard: Column, columns: list[str]) -> DataFrame:
-    """Columns of rows that meet the guard, replaced by the change of their key; a key has one change."""
-    new = changes.select(*keys, F.struct(*columns).alias("_new"))
+    """Columns of rows that meet the guard, replaced by the change of their key; of several changes of a key the least one."""
+    new = changes.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("_new"))
     joined = table.join(new, keys, "left")
     hit = guard & F.col("_new").isNotNull()
     return joined.select(*[F.when(hit, F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in table.columns])
@@ -58,12 +58,21 @@ def apply_merges(parts: DataFrame, listings: DataFrame, merges: DataFrame) -> tu
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside the old version, then swap; a reader sees one version or the other."""
+    """Write beside the old version, set the old one aside, and only then swap.
+
+    A crash leaves the old version at path or beside it as path.old, never neither;
+    the next call puts it back first.
+    """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.next")
+    at, new, old = (jvm.org.apache.hadoop.fs.Path(f"{path}{end}") for end in ("", ".next", ".old"))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(old) and not fs.exists(at):
+        fs.rename(old, at)
     df.write.mode("overwrite").parquet(f"{path}.next")
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"could not move {new} to {old}")
+    if fs.exists(at) and not fs.rename(at, old):
+        raise OSError(f"could not set {at} aside")
+    if not fs.rename(new, at):
+        raise OSError(f"could not move {new} to {at}; the old version is at {old}")
+    fs.delete(old, True)

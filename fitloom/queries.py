@@ -722,7 +722,9 @@ def stratified_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spot_check_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the parts for review, drawn by a digest and so the same every time; a sampling operator."""
     parts = table(spark, sf_dir, "part").select("p_partkey", F.md5(F.col("p_partkey").cast("string")).alias("draw"))
-    return parts.orderBy("draw").limit(int(-(-parts.count() // 10)))
+    total = parts.agg(F.count("*").alias("_total"))
+    ranked = codecs.numbered(parts, F.substring("draw", 1, 3), "draw", "p_partkey")
+    return ranked.join(F.broadcast(total), F.col("k") <= F.ceil(F.col("_total") * 0.1)).select("p_partkey", "draw")
 
 
 @query("SELECT o_orderstatus AS state, count(*) AS n, count(*) FILTER (WHERE c_custkey IS NULL) AS orphans FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0 GROUP BY ROLLUP (o_orderstatus)")
