@@ -139,7 +139,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, bands:
     pairs = members.where("node <> hub").where(_fits(F.col("n"), F.col("hub_n"), percent)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = scratch.keep(docs.join(wanted, "doc_id", "left_semi").mapInArrow(released(_sets(shingle)), "node long, shingles binary"), "sets")
+    sets = scratch.keep(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(released(_sets(shingle)), "node long, shingles binary"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
@@ -188,20 +188,21 @@ def _between(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: in
     nodes = scratch.keep(named.join(mixed, "group"), "groups")
     listed = sets.join(nodes.select("node").distinct(), "node", "left_semi").mapInArrow(_listed, "node long, n long, shingle long").join(nodes, "node")
     listed = scratch.keep(listed.select("group", "size", "node", "n", "component", "shingle"), "listed")
-    often = listed.groupBy("group", "shingle").agg(F.count("*").alias("often"))
+    often = listed.groupBy("group", "shingle").agg(F.count("*").alias("often"), F.first("size").alias("of"))
     # A shingle of one node alone: rare, and in no other's prefix, so it takes a place but is not joined.
-    counted = listed.join(often, ["group", "shingle"])
+    counted = listed.join(often.drop("of"), ["group", "shingle"])
     held = F.col("often") * 2 > F.col("size")
     own = counted.groupBy("group", "node", "component").agg(
         F.max("n").alias("n"), F.array_sort(F.collect_list(F.when(~held & (F.col("often") > 1), F.struct("often", "shingle")))).alias("extra"), F.count_if(F.col("often") == 1).alias("alone"), F.collect_list(F.when(held, F.col("shingle"))).alias("kept")
     )
-    center = often.join(mixed, "group").where(held).groupBy("group").agg(F.array_sort(F.collect_list("shingle")).alias("center"))
+    # Only majority shingles meet by group (at most twice a text's own number); tables let AQE split a large group in the joins.
+    center = scratch.keep(often.where("often * 2 > of").groupBy("group").agg(F.array_sort(F.collect_list("shingle")).alias("center")), "centers")
     told = own.join(center, "group", "left").withColumn("center", F.coalesce("center", F.array().cast("array<long>"))).withColumn("missing", F.array_sort(F.array_except("center", "kept")))
     told = told.withColumn("d", (F.size("extra") + F.col("alone") + F.size("missing")).cast("long")).withColumn("far", F.lit(full) * F.col("d") - F.lit(gap) * F.col("n"))
     elements = F.concat(F.transform("extra", lambda e: F.struct(F.lit(1).alias("sign"), e["shingle"].alias("shingle"))), F.transform("missing", lambda e: F.struct(F.lit(-1).alias("sign"), e.alias("shingle"))))
     told = scratch.keep(told.select("group", "node", "component", "n", "d", "far", "alone", F.size("center").cast("long").alias("c"), elements.alias("elements")), "told")
 
-    least = told.groupBy("group").agg(F.min(F.struct("far", "node", "component")).alias("m"))
+    least = scratch.keep(told.groupBy("group").agg(F.min(F.struct("far", "node", "component")).alias("m")), "least")
     near = told.join(least, "group").withColumn("outer", F.col("far") + F.col("m.far") > 0)
     sure = near.where(~F.col("outer") & (F.col("component") != F.col("m.component"))).select(F.col("m.node").alias("a"), F.col("node").alias("b"))
     # What A is at least for any partner of a fitting size.

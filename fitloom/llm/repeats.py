@@ -203,13 +203,15 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     # A row is known by its id and a hash of its text; rows alike in both share their runs.
     rows = small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(F.col(text_col).cast("string"), F.col(id_col).isNull()).alias("mark"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     parsed = scratch.keep(rows.mapInArrow(_parse(length, part), "doc long, mark long, core long, whole long, start long, n long"), "phrases")
+    # A table of its own, so that both sides of the join are shuffled for it and AQE can split a core that very many texts hold.
     cores = parsed.groupBy("core").agg(F.count("*").alias("seen"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("seen > 1").select("core", (F.col("a") == F.col("b")).alias("alike"))
+    cores = scratch.keep(cores, "cores")
     alive = scratch.keep(parsed.join(cores, "core"), "alive")
     scratch.drop(parsed)
     differ = alive.where(~F.col("alike"))
     wholes = scratch.keep(differ.groupBy("core", "whole").agg(F.count("*").alias("seen"), F.min(F.struct("doc", "mark", "start", "n")).alias("one")), "wholes")
     repeated = alive.where("alike").select("doc", "mark", "start", "n").unionByName(differ.join(wholes.where("seen > 1").select("core", "whole"), ["core", "whole"], "left_semi").select("doc", "mark", "start", "n"))
-    single = wholes.groupBy("core").agg(F.min("seen").alias("least")).where("least = 1").select("core")
+    single = scratch.keep(wholes.groupBy("core").agg(F.min("seen").alias("least")).where("least = 1").select("core"), "single")
     compared = wholes.join(single, "core", "left_semi").select("one.doc", "one.mark", F.struct(F.col("one.start").alias("start"), F.col("one.n").alias("n"), "core").alias("p")).groupBy("doc", "mark").agg(F.collect_list("p").alias("ps"))
     windows = rows.join(compared, ["doc", "mark"]).select("doc", "mark", "text", "ps").mapInArrow(_windows(length, part), "doc long, mark long, core long, key long, start long")
     windows = scratch.keep(windows, "windows")
