@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: how a position is written.
 PATTERN = r"^(\d{1,2})(?::(\d{2})|(\.\d+))?$"
 
 

@@ -17,14 +17,14 @@ def one(spark, column, **values):
 
 
 @pytest.mark.parametrize(("raw", "want"), [
-    ("https://www.namokimods.com/products/watch-hands-mm1000-black-finish?variant=1", "namokimods.com/products/watch-hands-mm1000-black-finish"), ("NamokiMods.com/collections/all/products/Watch-Hands#top", "namokimods.com/products/watch-hands"),
-    ("https://namokimods.com/collections/all", None), ("namokimods.com", None), ("not a link at all", None), ("", None), ("javascript:alert(1)", None)])
+    ("https://www.Parts.example/products/blued-pencil-hands-22?variant=9", "parts.example/products/blued-pencil-hands-22"), ("Parts.Example/collections/new/products/Lume-Dial#reviews", "parts.example/products/lume-dial"),
+    ("https://parts.example/collections/new", None), ("parts.example", None), ("just some words", None), ("", None), ("javascript:alert(1)", None)])
 def test_product_url(spark, raw, want):
     assert one(spark, text.product_url(F.col("u")), u=raw) == want
 
 
 def test_text(spark):
-    assert {"skx007", "srpd", "sumo"} <= set(one(spark, text.keywords(F.col("n")), n="NMK960 Sumo SKX007/SRPD Case"))
+    assert {"skx013", "srpe", "turtle"} <= set(one(spark, text.keywords(F.col("n")), n="The AB12 Turtle SKX013/SRPE Case"))
     got = one(spark, text.dimensions(F.col("t")), t="Inside dia. 30.5mm &amp; outside diameter - 37mm Hour / Minute / Second: 8 / 12.5 mm / 13mm")
     assert (got.outer, got.inner, got.hour, got.minute, got.second) == (37.0, 30.5, 8.0, 12.5, 13.0)
     assert one(spark, text.dimensions(F.col("t")), t="outer diameter 31.8mm inner diameter 38mm crown diameter 47mm")[:] == (None,) * 6
