@@ -63,3 +63,12 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()), key=str)
     assert got == sorted([(5, 5, 3, False), (3, 5, 3, True), (3, 2, 3, True), (None, 5, None, True), (None, 0, None, True), (9, 1, 9, True)], key=str)
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_whole_rows_that_repeat_split_no_component(spark):
+    """Every row twice, some thrice: the same components as of each row once."""
+    texts = corpus(3)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + rows + rows[::3], "doc_id long, text string").repartition(3)
+    got = sorted({(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, 4).collect()})
+    assert got == brute(texts, 4, 80)
