@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitloom.llm import bpe, decontaminate, language, quality, repeats, secrets, tokenfile, topk, toxicity
+from fitloom.llm import bpe, counts, decontaminate, language, quality, repeats, secrets, tokenfile, topk, toxicity
 from fitloom.llm.common import Scratch, table
 from fitloom.llm.minhash import near_duplicates
 
@@ -69,6 +69,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "runs")
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -80,6 +84,7 @@ QUERIES = {
     "op8_token_id_output": op8_token_id_output,
     "op9_byte_bpe_round_trip": op9_byte_bpe_round_trip,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op13_token_counts": op13_token_counts,
     "secret_base_spans": secret_base_spans,
 }
 
