@@ -1,7 +1,7 @@
 """Token counts by the whole-token shortcut.
 
 Which vocabulary strings come out of the merges as one token is proved once, by
-replaying the merges over the vocabulary itself.  A pre-token that is such a
+replaying the merges of the vocabulary's own strings.  A pre-token that is such a
 string then counts one, without merging; only the rest is merged.
 """
 
@@ -48,9 +48,21 @@ class ListedMerges(MergeReplay):
         return np.add.reduceat((symbol >= 0).astype(np.int64), first), symbol[first]
 
     def proved(self) -> list[bytes]:
-        """The tokens that encode alone as themselves."""
-        count, symbol = self.symbols(self.tokens)
-        return [t for t, good in zip(self.tokens, (count == 1) & (symbol == np.arange(len(self.tokens))), strict=True) if good]
+        """The tokens that encode alone as themselves, by their own merges one at a time (tokens are short)."""
+        made = {divmod(k, self.size): r for k, r in zip(self.keys.tolist(), self.ranks.tolist(), strict=True)}
+        good = []
+        for number, token in enumerate(self.tokens):
+            symbols = list(token)
+            while len(symbols) > 1:
+                pairs = [made.get(p, self.size) for p in zip(symbols, symbols[1:], strict=False)]
+                least = min(pairs)
+                if least == self.size:
+                    break
+                at = pairs.index(least)
+                symbols[at : at + 2] = [least]
+            if symbols == [number]:
+                good.append(token)
+        return good
 
 
 def _spelling() -> dict[str, int]:
