@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitloom.llm import bpe, counts, decontaminate, language, quality, repeats, secrets, tokenfile, topk, toxicity
+from fitloom.llm import bpe, conversations, counts, decontaminate, language, quality, repeats, secrets, tokenfile, topk, toxicity
 from fitloom.llm.common import Scratch, table
 from fitloom.llm.minhash import near_duplicates
 
@@ -69,6 +69,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "runs")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -84,6 +88,7 @@ QUERIES = {
     "op8_token_id_output": op8_token_id_output,
     "op9_byte_bpe_round_trip": op9_byte_bpe_round_trip,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_token_counts": op13_token_counts,
     "secret_base_spans": secret_base_spans,
 }
@@ -103,7 +108,62 @@ def _base_sql() -> str:
 SELECT d.doc_id, coalesce(string_agg(kind || ':' || (stop - len(m))::BIGINT || ':' || stop::BIGINT, ',' ORDER BY stop - len(m), o) FILTER (WHERE good), '') AS base FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id"""
 
 
+#: crc32 of the UTF-8 bytes of column k, one table entry a byte; the table follows from the reversed polynomial.
+_CRC_TABLE = """crc_table AS (SELECT list(c ORDER BY b) AS tab FROM (
+  SELECT b, list_reduce(list_prepend(b::BIGINT, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) t(b)))"""
+
+
+def _crc(k: str) -> str:
+    bytes_ = f"list_transform(range(octet_length(encode({k}))), lambda i: ('0x' || substr(hex(encode({k})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_REPAIR_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+keyed AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+cut AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc('k')} % 20 AS c FROM keyed, crc_table),
+rows_after AS (
+  SELECT conv_id, turn, CASE WHEN c = 4 THEN 'user' ELSE role END AS role, CASE c WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE c WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM cut)),
+numbered AS (
+  SELECT *, coalesce(conv_id, -1) AS cid, row_number() OVER w AS i, left(role, 1) AS ini,
+    lag(left(role, 1)) OVER w AS before, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS is_blank, NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS is_cut
+  FROM rows_after WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text))),
+judged AS (SELECT *, CASE WHEN is_blank THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN is_cut THEN 'truncated' ELSE '' END AS fault FROM numbered),
+nexts(q, ini, q2) AS (VALUES ('e', 's', 's'), ('e', 'u', 'u'), ('s', 'u', 'u'), ('a', 'u', 'u'), ('u', 'a', 'a')),
+inserts(p, q, k) AS (VALUES ('e', 'e', 0), ('e', 'u', 1), ('e', 'a', 2), ('s', 's', 0), ('s', 'u', 1), ('s', 'a', 2), ('u', 'u', 0), ('u', 'a', 1), ('a', 'a', 0), ('a', 'u', 1)),
+moves AS (
+  SELECT q, 'D' AS letter, q AS q2, NULL AS ini, 4 AS price FROM (VALUES ('e'), ('s'), ('u'), ('a')) t(q)
+  UNION ALL SELECT q, 'K', q2, ini, 0 FROM nexts UNION ALL SELECT q, 'R', q2, NULL, 3 FROM nexts WHERE ini <> 's'),
+dp(cid, i, state, best) AS (
+  SELECT cid, 0::BIGINT, 'e', {{'cost': 0::BIGINT, 'audit': ''}} FROM (SELECT DISTINCT coalesce(conv_id, -1) AS cid FROM conversations)
+  UNION ALL
+  SELECT cid, i, state, min(best) FROM (
+    SELECT d.cid, j.i, m.q2 AS state, {{'cost': (d.best.cost + 3 * n.k + m.price + CASE WHEN m.letter <> 'D' AND j.fault = 'truncated' THEN 3 ELSE 0 END)::BIGINT, 'audit': d.best.audit || repeat('I', n.k) || m.letter}} AS best
+    FROM dp d JOIN judged j ON j.cid = d.cid AND j.i = d.i + 1 JOIN inserts n ON n.p = d.state JOIN moves m ON m.q = n.q
+    WHERE m.letter = 'D' OR (j.fault NOT IN ('blank', 'duplicate') AND (m.letter = 'R' OR m.ini = j.ini))) GROUP BY cid, i, state),
+lengths AS (SELECT cid, max(i) AS n FROM dp GROUP BY cid),
+done AS (
+  SELECT d.cid, min({{'cost': d.best.cost + 3 * n.k, 'audit': d.best.audit || repeat('I', n.k)}}) AS best
+  FROM dp d JOIN lengths l ON l.cid = d.cid AND l.n = d.i JOIN inserts n ON n.p = d.state AND n.q IN ('e', 'a') GROUP BY d.cid),
+letters AS (
+  SELECT cid, unnest(string_split(best.audit, '')) AS letter, generate_subscripts(string_split(best.audit, ''), 1) AS pos FROM done WHERE best.audit <> ''),
+placed AS (SELECT *, sum(CASE WHEN letter <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY cid ORDER BY pos) AS i, row_number() OVER (PARTITION BY cid, letter = 'D' ORDER BY pos) AS o FROM letters),
+said AS (
+  SELECT p.cid, p.pos, p.letter, p.o, CASE WHEN p.letter = 'I' THEN '' ELSE j.text END AS text, j.role,
+    max(CASE WHEN p.o = 1 AND p.letter = 'K' AND j.ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.cid) AS shift
+  FROM placed p LEFT JOIN judged j ON j.cid = p.cid AND j.i = p.i AND p.letter <> 'I' WHERE p.letter <> 'D'),
+repaired AS (SELECT cid, string_agg(CASE WHEN letter = 'K' THEN role WHEN (o - shift) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY pos) AS text FROM said GROUP BY cid),
+counts AS (
+  SELECT cid, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY cid)
+SELECT nullif(d.cid, -1) AS conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, best.cost::BIGINT AS cost, best.audit AS audit, sha256(coalesce(r.text, '')) AS repaired_sha256
+FROM done d LEFT JOIN counts c USING (cid) LEFT JOIN repaired r USING (cid)"""
+
+
 ORACLE = {
+    "op12_conversation_repair": _REPAIR_SQL,
     "op1_minhash_near_dedup": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
