@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitloom.llm import bpe, conversations, counts, decontaminate, language, quality, repeats, secrets, tokenfile, topk, toxicity
+from fitloom.llm import bpe, conversations, counts, decontaminate, language, quality, repeats, secrets, tokenfile, topk, toxicity, variants
 from fitloom.llm.common import Scratch, table
 from fitloom.llm.minhash import near_duplicates
 
@@ -69,6 +69,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "runs")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"), slip=199)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(table(spark, sf_dir, "conversations"))
 
@@ -88,6 +92,7 @@ QUERIES = {
     "op8_token_id_output": op8_token_id_output,
     "op9_byte_bpe_round_trip": op9_byte_bpe_round_trip,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_token_counts": op13_token_counts,
     "secret_base_spans": secret_base_spans,
@@ -162,7 +167,31 @@ SELECT nullif(d.cid, -1) AS conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce
 FROM done d LEFT JOIN counts c USING (cid) LEFT JOIN repaired r USING (cid)"""
 
 
+_VARIANTS_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS r FROM documents) WHERE length(r) >= 6 GROUP BY ALL),
+keyed AS (SELECT *, coalesce(doc_id::VARCHAR, '') || ':' || w AS k FROM runs),
+summed AS (SELECT w, c, {_crc('k')} AS h FROM keyed, crc_table),
+said AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, c FROM summed),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM said WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS most FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, b.n_near, CASE WHEN b.most >= 5 * w.n THEN b.most END AS form_n, CASE WHEN b.most >= 5 * w.n THEN (SELECT min(x.other) FROM near x WHERE x.word = w.word AND x.other_n = b.most) END AS form
+  FROM words w LEFT JOIN best b USING (word)),
+walk(word, here, steps) AS (SELECT word, word, 0 FROM words UNION ALL SELECT walk.word, f.form, steps + 1 FROM walk JOIN forms f ON f.word = walk.here WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(here, steps) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, coalesce(n_near, 0)::BIGINT AS n_near, form_n::BIGINT AS form_n FROM forms JOIN roots USING (word)"""
+
+
 ORACLE = {
+    "op11_spelling_variants": _VARIANTS_SQL,
     "op12_conversation_repair": _REPAIR_SQL,
     "op1_minhash_near_dedup": r"""
 WITH RECURSIVE words AS (
