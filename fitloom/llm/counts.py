@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitloom.llm.bpe import REMEMBERED, TWIN, UNUSUAL, MergeReplay
+from fitloom.llm.bpe import TWIN, UNUSUAL, MergeReplay
 from fitloom.llm.common import byte_view, chunks, released, small_batches
 
-#: Text whose rest is merged together.
-BLOCK_BYTES = 1 << 20
+#: Text whose rest is merged together, and pre-tokens that a worker remembers; it forgets all beyond that, which costs time only.
+BLOCK_BYTES, REMEMBERED = 4 << 20, 400_000
 _WORKER: dict[int, Counter] = {}
 
 
