@@ -23,6 +23,8 @@ LEVELS = (2, 8, 32)
 WAVE = 8_192
 #: Candidates, taken by a hash of the id, whose scores give every query its first threshold.
 FIRST = 2_048
+#: Room for rounding in a bound and in a threshold taken as a float, as a part of the norms' product.
+ROUNDING = 1e-9
 #: Queries and candidates of one matrix of bounds.
 BLOCK_Q, BLOCK_C = 512, 4_096
 
@@ -45,7 +47,7 @@ class Summary:
     """Segment statistics of a set of vectors at every level, laid out so that bounds are matrix products."""
 
     def __init__(self, x: np.ndarray):
-        self.level = []
+        self.level, self.norm = [], np.sqrt((x * x).sum(1))
         n, d = x.shape
         for segments in LEVELS:
             edges = np.unique(np.linspace(0, d, min(segments, d) + 1).astype(int)) if d else np.array([0])
@@ -54,8 +56,8 @@ class Summary:
                 self.level.append(np.zeros((n, 0)))
                 continue
             sums = np.add.reduceat(x, edges[:-1], axis=1)
-            squares = np.add.reduceat(x * x, edges[:-1], axis=1)
-            dev = np.sqrt(np.maximum(squares - sums * sums / size, 0))
+            around = x - np.repeat(sums / size, size, axis=1)
+            dev = np.sqrt(np.add.reduceat(around * around, edges[:-1], axis=1))
             self.level.append(np.hstack([sums / np.sqrt(size), dev]))
 
 
@@ -67,7 +69,7 @@ class Best:
         self.scores = [np.zeros(0, np.int64)] * len(ids)
         self.found = [np.zeros(0, np.int64)] * len(ids)
         #: Scores below this can't be among the k highest.
-        self.least = np.full(len(ids), -np.inf) if floor is None else floor.astype(float).copy()
+        self.least = np.full(len(ids), np.iinfo(np.int64).min) if floor is None else floor.copy()
 
     def offer(self, ids: np.ndarray, c: np.ndarray) -> None:
         for a in range(0, len(ids), BLOCK_C):
@@ -79,9 +81,11 @@ class Best:
     def _block(self, rows: slice, ids: np.ndarray, c: np.ndarray, summary: Summary) -> None:
         q, least = self.q[rows], self.least[rows]
         columns = np.arange(len(ids))
+        room = ROUNDING * summary.norm  # the summands of a bound are no larger than the norms' product, whatever its sign
+        needed = least[:, None].astype(float) - 1
         for mine, other in zip(self.summary.level, summary.level, strict=True):
             bound = mine[rows] @ other[columns].T
-            alive = bound * (1 + 1e-9) + 1 >= least[:, None]  # room for rounding in the bound
+            alive = bound + self.summary.norm[rows][:, None] * room[columns] >= needed
             columns = columns[alive.any(0)]
             if not len(columns):
                 return
@@ -97,7 +101,7 @@ class Best:
         order = np.lexsort((ids, -score))[: self.k]
         self.scores[i], self.found[i] = score[order], ids[order]
         if len(order) == self.k:
-            self.least[i] = max(self.least[i], float(self.scores[i][-1]))
+            self.least[i] = max(self.least[i], self.scores[i][-1])
 
 
 def _matrices(ids: pa.Array, vectors: pa.Array):

@@ -42,6 +42,38 @@ def test_bounds_never_lie_below_scores():
             last = bound
 
 
+def frames(spark, vectors):
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").coalesce(2)
+
+
+@pytest.mark.parametrize("case", ["negative", "constant", "mixed", "large", "ties"])
+def test_hard_scores_equal_brute_force(spark, monkeypatch, case):
+    monkeypatch.setattr(topk, "FIRST", 40)
+    monkeypatch.setattr(topk, "BLOCK_C", 16)
+    turn = np.random.default_rng(11)
+    n, d = 240, 64
+    x = {
+        "negative": lambda: np.abs(turn.normal(20, 3, (n, d))) * np.where(np.arange(n) % 100 == 0, 1, -1)[:, None],
+        "constant": lambda: np.where(np.arange(n) % 100 == 0, 100.0, -(100 + np.arange(n) / 1024))[:, None] * np.ones(d),
+        "mixed": lambda: turn.normal(size=(n, d)) * turn.choice([1e-3, 1, 1e3], (n, 1)),
+        "large": lambda: turn.normal(size=(n, d)) * 1e5 + turn.choice([-1e5, 0, 1e5], (n, 1)),
+        "ties": lambda: turn.integers(-2, 3, (n, d)) * np.repeat(turn.choice([0.0, 1.0], (n // 12, 1)), 12, axis=0),
+    }[case]()
+    got = sorted(map(tuple, topk.top_k(frames(spark, x)).select("query_id", "rank", "vec_id", "score").collect()))
+    whole = [[int(v) for v in np.floor(1024 * row)] for row in x]
+    want = []
+    for q in range(0, n, 100):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[c])), c) for c in range(n) if c != q)[:10]
+        want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scores)]
+    assert got == want
+
+
+def test_tight_negative_bounds_keep_the_tenth(spark):
+    rows = [(0, [100.0] * 64)] + [(i, [-(100 + i / 1024)] * 64) for i in range(1, 41)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in topk.top_k(frame).orderBy("rank").collect()] == list(range(1, 11))
+
+
 def test_huge_components_stay_exact():
     q, c = np.array([[2.0**40, 1.0]]), np.array([[2.0**20, 3.0], [2.0**40, 0.0]])
     assert topk._exact(q, c).tolist() == [[2**60 + 3, 2**63 - 1]]
