@@ -8,14 +8,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitloom.llm.common import byte_view, chunks, give_back, released, small_batches
 from fitloom.llm.labelled import remainder
 
-#: Hashed n-gram dimensions; labelled rows of each language to learn from, and languages to learn, at most.
-DIMENSIONS, FIT_ROWS, FIT_LANGUAGES = 4096, 500, 64
+#: Hashed n-gram dimensions, and labelled rows of each language to learn from, at most.
+DIMENSIONS, FIT_ROWS = 4096, 500
 #: Documents whose counts are held at once.
 BLOCK = 256
 
@@ -112,22 +112,22 @@ class Hierarchy:
     pairs: dict[str, list[tuple[int, int, int]]]  # level ('' or a family): class, class, machine
 
     @classmethod
-    def fit(cls, x: Rows, languages: list[str]) -> Hierarchy:
+    def fit(cls, x: Rows, languages: list[str], fit_all=None) -> Hierarchy:
+        """fit_all(x, duels) gives (weights, bias) of each duel, which is rows and their sides; by default one after the other."""
         of = np.array([family_of(c) for c in languages], object)
         lang = np.array(languages, object)
         families = sorted(set(of))
         members = {f: sorted(set(lang[of == f])) for f in families}
-        weights, bias, pairs = [], [], {}
+        duels, pairs = [], {}
         for level, names, target in [("", families, of), *((f, members[f], lang) for f in families)]:
             pairs[level] = []
             for i, a in enumerate(names):
                 for j in range(i + 1, len(names)):
                     here = np.flatnonzero((target == a) | (target == names[j]))
-                    w, b = fit_svm(x, here, np.where(target[here] == a, 1.0, -1.0))
-                    pairs[level].append((i, j, len(weights)))
-                    weights.append(w)
-                    bias.append(b)
-        return cls(families, members, np.array(weights, np.float32).reshape(len(weights), DIMENSIONS), np.array(bias, np.float32), pairs)
+                    pairs[level].append((i, j, len(duels)))
+                    duels.append((here, np.where(target[here] == a, 1.0, -1.0)))
+        found = (fit_all or (lambda x, duels: [fit_svm(x, *d) for d in duels]))(x, duels)
+        return cls(families, members, np.array([w for w, _ in found], np.float32).reshape(len(found), DIMENSIONS), np.array([b for _, b in found], np.float32), pairs)
 
     def _decide(self, margins: np.ndarray, level: str, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Class of most wins (then of the largest margins), and how sure its closest duel is."""
@@ -207,17 +207,38 @@ def _predict(model):
     return run
 
 
-def learn(docs: DataFrame, modulus: int = 3, held: int = 1, bound: int = FIT_ROWS, languages: int = FIT_LANGUAGES):
+def _fit_in_tasks(spark: SparkSession):
+    """Machines fitted by Spark, a duel to a task; the sample goes to the tasks as it is."""
+
+    def fit_all(x: Rows, duels: list) -> list[tuple[np.ndarray, float]]:
+        held = spark.sparkContext.broadcast((x, duels))
+
+        def run(batches):
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    w, b = fit_svm(held.value[0], *held.value[1][k])
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([w.astype("<f4").tobytes()]), pa.array([b])], names=["duel", "weights", "bias"])
+
+        if not duels:
+            return []
+        got = spark.range(0, len(duels), 1, min(len(duels), 1000)).mapInArrow(released(run), "duel long, weights binary, bias double").toArrow().sort_by("duel")
+        held.unpersist()
+        return [(np.frombuffer(w, "<f4"), b) for w, b in zip(got["weights"].to_pylist(), got["bias"].to_pylist(), strict=True)]
+
+    return fit_all
+
+
+def learn(docs: DataFrame, modulus: int = 3, held: int = 1, bound: int = FIT_ROWS):
     """A Hierarchy from text and non-null lang of documents whose crc32(doc_id) mod `modulus` is not `held`.
 
     About `bound` labelled rows of each language at most, picked by a hash of the
-    id, and the `languages` commonest values of lang (the smallest of equals) are
-    learned from, so that a few ten thousand sparse rows reach the driver however many
-    labels there are.  Returns None where there is no labelled row.
+    id, are learned from; every value of lang is learned.  The driver holds these
+    sparse rows and the machines' weights, 16 KB each; tasks fit the machines.  Returns None where there is no
+    labelled row.
     """
     plain = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = plain.where((remainder("doc_id", modulus) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
     chosen = rows.join(F.broadcast(counts), "lang").where(draw < F.lit(float(bound)) / F.col("n")).select("doc_id", "text", "lang")
     got = chosen.mapInArrow(_vectors, "doc_id long, lang string, at array<smallint>, value array<float>").toArrow()
@@ -226,7 +247,7 @@ def learn(docs: DataFrame, modulus: int = 3, held: int = 1, bound: int = FIT_ROW
     got = got.sort_by([("doc_id", "ascending"), ("lang", "ascending")]).combine_chunks()  # the same model whatever order the rows come in
     at, value = got["at"].combine_chunks(), got["value"].combine_chunks()
     x = Rows(np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(at), np.int64))]), np.asarray(at.flatten(), np.int64), np.asarray(value.flatten(), float))
-    model = Hierarchy.fit(x, got["lang"].to_pylist())
+    model = Hierarchy.fit(x, got["lang"].to_pylist(), _fit_in_tasks(docs.sparkSession))
     del got, at, value, x
     give_back()
     return model

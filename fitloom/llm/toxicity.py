@@ -19,8 +19,6 @@ from fitloom.llm.quality import to_matrix, training_rows
 
 #: Labelled rows of each class that the lexicon and the trees are fitted on, at most.
 LEXICON_ROWS, FIT_ROWS = 4_000, 8_000
-#: Entries of the lexicon, at most: those of the highest association.
-LEXICON_SIZE = 3_000
 #: Words around a second-person word that count as near.
 NEAR = 6
 
@@ -139,11 +137,11 @@ def _terms(batches):
             yield pa.RecordBatch.from_arrays([pa.array(labels[a + pairs[0].astype(np.int64)]), pa.array(pairs[1].view(np.int64))], names=["y", "term"])
 
 
-def learn_lexicon(docs: DataFrame, sample: DataFrame, label: str, size: int = LEXICON_SIZE) -> tuple[np.ndarray, np.ndarray]:
+def learn_lexicon(docs: DataFrame, sample: DataFrame, label: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of words and beginnings that go with label 1, and their weights.
 
     Counts documents by term and label in Spark over the sampled rows; the
-    driver gets the `size` terms of the highest log-likelihood ratio at most.
+    driver gets all terms whose log-likelihood ratio shows that they go with label 1, a part of the sample's own.
     """
     texts = docs.join(F.broadcast(sample), "doc_id").select("text", F.col(label).cast("double").alias("y"))
     totals = sample.agg(F.coalesce(F.sum(F.col(label).cast("double")), F.lit(0.0)), F.count("*")).first()
@@ -155,7 +153,7 @@ def learn_lexicon(docs: DataFrame, sample: DataFrame, label: str, size: int = LE
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     ratio = 2 * (part(a, (a + b) * p) + part(b, (a + b) * (1 - p)))
     weight = F.log((a + 0.5) / pos) - F.log((b + 0.5) / neg)
-    found = terms.select("term", weight.alias("w"), ratio.alias("g")).where("w > 1.5 and g > 8").orderBy(F.desc("g"), "term").limit(size).collect()
+    found = terms.select("term", weight.alias("w"), ratio.alias("g")).where("w > 1.5 and g > 8").collect()
     keys = np.array([r.term for r in found], np.int64).view(U64)
     order = np.argsort(keys)
     return keys[order], np.array([r.w for r in found])[order]

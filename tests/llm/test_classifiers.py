@@ -44,12 +44,22 @@ def test_language_with_clashing_columns_and_many_labels(spark):
     docs = spark.createDataFrame([(i, t, lang, 1, "c", 0.5, 7) for i, t, lang in rows], "doc_id long, text string, lang string, count int, lang_pred string, score double, n int")
     got = language.recognised(docs, least=0.0)
     assert got.columns == docs.columns and got.count() == len(rows)
-    # Only the commonest labels are learned; every row has a prediction all the same.
-    model = language.learn(docs, languages=4)
-    assert sorted(c for names in model.languages.values() for c in names) == sorted(WORDS)
     assert language.identify(docs).count() == len(rows)
 
 
+def test_rarest_of_seventy_languages_is_predicted(spark):
+    turn = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:02d}": ["".join(turn.choice(letters) for _ in range(5)) for _ in range(12)] for k in range(70)}
+    rows = [(lang, " ".join(turn.choice(ws) for _ in range(25))) for lang, ws in words.items() for _ in range(3 if lang == "l69" else 8)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language.learn(docs, modulus=1, held=1)
+    assert sorted(c for names in model.languages.values() for c in names) == sorted(words)
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, modulus=1, held=1).collect()}
+    rare = [i for i, (lang, _) in enumerate(rows) if lang == "l69"]
+    assert all(got[i] == "l69" for i in rare)
+
+
 def test_language_votes_equal_a_plain_version(spark):
     """n-gram counts, duels and votes, written out per document."""
     turn = random.Random(11)
