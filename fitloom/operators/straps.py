@@ -87,12 +87,24 @@ def fitting(builds: DataFrame, straps: DataFrame, pairs: DataFrame) -> DataFrame
     builds: wide rows without a strap; straps: (fit_class, p_strap), one row each.  Rules that
     read no strap are judged once a build, the others once a pair.
     """
-    bad = lambda found: found.where((F.col("severity") == "error") | ((F.col("severity") == "warning") & ~F.col("rule_key").isin(*CATALOG_WIDE))).select("build_id").distinct()
     base = tuple(r for r in RULES if r.key not in STRAP_RULES or r.key == "family-exception")
-    builds = builds.join(bad(evaluate.findings(builds, base)), "build_id", "left_anti")
-    tried = pairs.join(builds.drop("p_strap"), "build_id").join(straps, "fit_class").withColumn("own_id", F.col("build_id")).withColumn("build_id", F.struct("own_id", "fit_class"))
-    refused = bad(evaluate.findings(tried, tuple(r for r in RULES if r.key in STRAP_RULES)))
-    return tried.join(refused, "build_id", "left_anti").select(F.col("own_id").alias("build_id"), "fit_class")
+    builds = _passing(builds.drop("p_strap").withColumn("p_strap", F.lit(None).cast(straps.schema["p_strap"].dataType)), base).drop("p_strap")
+    tried = pairs.join(builds, "build_id").join(straps, "fit_class")
+    return _passing(tried, tuple(r for r in RULES if r.key in STRAP_RULES)).select("build_id", "fit_class")
+
+
+def _passing(wide: DataFrame, rules: tuple) -> DataFrame:
+    """Rows without an error by rules and without a warning by those that are not catalog-wide; counted in place, nothing is shuffled.
+
+    A generator of one row keeps the long counts from being copied into the filters that read them.
+    """
+    once = lambda df: df.select(F.inline(F.array(F.struct("*"))))
+    strict, lenient = (tuple(r for r in rules if (r.key in CATALOG_WIDE) == wide_) for wide_ in (False, True))
+    if strict:
+        wide = once(evaluate.counted(wide, strict)).where("n_error = 0 AND n_warning = 0").drop("n_error", "n_warning", "n_info")
+    if lenient:
+        wide = once(evaluate.counted(wide, lenient)).where("n_error = 0").drop("n_error", "n_warning", "n_info")
+    return wide
 
 
 def _fold(batches):
