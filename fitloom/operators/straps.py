@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 
 from fitloom.operators import evaluate
 from fitloom.operators.rules import RULES
+from fitloom.plans.mapping import SLOTS
 
 # Kinds of strap that each look calls for, best first, and the material of its bands.
 KINDS = {
@@ -89,7 +90,9 @@ def fitting(builds: DataFrame, straps: DataFrame, pairs: DataFrame) -> DataFrame
     """
     base = tuple(r for r in RULES if r.key not in STRAP_RULES or r.key == "family-exception")
     builds = _passing(builds.drop("p_strap").withColumn("p_strap", F.lit(None).cast(straps.schema["p_strap"].dataType)), base).drop("p_strap")
-    tried = pairs.join(builds, "build_id").join(straps, "fit_class")
+    # The strap's rules read the strap and the case alone; the other parts' exceptions have been judged.
+    case = builds.select("build_id", "p_case", *[F.lit(None).cast(builds.schema[f"p_{s}"].dataType).alias(f"p_{s}") for s in SLOTS if s not in ("case", "strap")])
+    tried = pairs.join(case, "build_id").join(straps, "fit_class")
     return _passing(tried, tuple(r for r in RULES if r.key in STRAP_RULES)).select("build_id", "fit_class")
 
 
