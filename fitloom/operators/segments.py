@@ -2,19 +2,22 @@
 
 The flood crosses pixels near the backdrop that hang together with the border; near
 pixels that it can't reach are enclosed.  Both are regions of one labelling, which
-joins runs of equal rows.  A picture is bounded, so numpy takes it whole in Arrow
-batches; the verdict over its components is column expressions.
+joins runs of equal rows.  A picture is bounded, so numpy takes it whole, with others of
+its size, in Arrow batches; the verdict over its components is column expressions.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Tolerances of the backdrop and of the flood, least areas of a component (of the picture) and of a hole (pixels).
 PROBE, FLOOD, NOISE, HOLE = 18, 10, 0.0015, 12
+#: Pixels of the pictures that are labelled together.
+STACK = 1 << 18
 # Shares of the largest box that make a subject, of the frame that make a backdrop, and of agreement that make it seamless.
 SUBJECT, HAND_SUBJECT, SIDE, SPAN, AGREEMENT = 0.3, 0.18, 0.1, 0.98, 0.9
 # Aspects and fills of discs, central holes of rings, slenderness and tails of hands.
@@ -28,15 +31,17 @@ _STRUCT = "struct<" + ", ".join([*[f"{f}: bigint" for f in FIELDS], *[f"{f}: dou
 SCHEMA = f"id long, width long, height long, agreement double, outside long, enclosed long, subject long, components array<{_STRUCT}>"
 
 
-def backdrop(img: np.ndarray, tolerance: int = PROBE) -> tuple[np.ndarray, float]:
-    """The border colour that most of the border agrees with, and how much does; the first of equals, along rows and then columns."""
-    h, w = img.shape[:2]
+def backdrops(imgs: np.ndarray, tolerance: int = PROBE) -> tuple[np.ndarray, np.ndarray]:
+    """Of each picture of a stack the border colour that most of the border agrees with, and how much does; the first of equals, along rows and then columns."""
+    n, h, w, channels = imgs.shape
     step = max(1, min(w, h) // 100)
-    border = np.concatenate([np.stack([img[0, ::step], img[-1, ::step]], 1).reshape(-1, img.shape[2]), np.stack([img[::step, 0], img[::step, -1]], 1).reshape(-1, img.shape[2])])
-    kinds, first, counts = np.unique(border, axis=0, return_index=True, return_counts=True)
-    agree = ((np.abs(kinds[:, None] - kinds[None]).max(2) <= tolerance) * counts).sum(1)
-    best = min(range(len(kinds)), key=lambda k: (-agree[k], first[k]))
-    return kinds[best], float(agree[best] / len(border))
+    sides = (imgs[:, 0, ::step], imgs[:, -1, ::step]), (imgs[:, ::step, 0], imgs[:, ::step, -1])
+    border = np.concatenate([np.stack(pair, 2).reshape(n, -1, channels) for pair in sides], 1)
+    agree = np.zeros(border.shape[:2], np.int64)
+    for k in range(border.shape[1]):
+        agree += np.abs(border - border[:, k : k + 1]).max(2) <= tolerance
+    best = agree.argmax(1)
+    return border[np.arange(n), best], agree[np.arange(n), best] / border.shape[1]
 
 
 def regions(mask: np.ndarray) -> np.ndarray:
@@ -54,7 +59,7 @@ def regions(mask: np.ndarray) -> np.ndarray:
     run = np.repeat(np.arange(len(row)), stop - start)
     out[mask] = run
     both = mask[1:] & mask[:-1]
-    links = np.unique(np.stack([out[1:][both], out[:-1][both]], 1), axis=0) if both.any() else np.zeros((0, 2), np.int64)
+    links = np.stack(np.divmod(np.unique(out[1:][both] * len(row) + out[:-1][both]), len(row)), 1)  # pairs as single numbers sort fast
     root = np.arange(len(row))
     while len(links):
         a, b = root[links[:, 0]], root[links[:, 1]]
@@ -69,11 +74,12 @@ def regions(mask: np.ndarray) -> np.ndarray:
 
 
 def _boxes(label: np.ndarray, n: int) -> dict[str, np.ndarray]:
-    y, x = np.nonzero(label >= 0)
-    k = label[y, x]
+    """Areas, centres and boxes of labels 0 to n - 1 of a stack (pictures, height, width)."""
+    _, y, x = np.nonzero(label >= 0)
+    k = label[label >= 0]
     area = np.bincount(k, minlength=n)
     out = {"area": area, "cx": np.bincount(k, x, n) / np.maximum(area, 1), "cy": np.bincount(k, y, n) / np.maximum(area, 1)}
-    for name, v, pick, start in (("min_x", x, np.minimum, label.shape[1]), ("min_y", y, np.minimum, label.shape[0]), ("max_x", x, np.maximum, -1), ("max_y", y, np.maximum, -1)):
+    for name, v, pick, start in (("min_x", x, np.minimum, label.shape[2]), ("min_y", y, np.minimum, label.shape[1]), ("max_x", x, np.maximum, -1), ("max_y", y, np.maximum, -1)):
         out[name] = np.full(n, start, np.int64)
         pick.at(out[name], k, v)
     return out
@@ -81,11 +87,12 @@ def _boxes(label: np.ndarray, n: int) -> dict[str, np.ndarray]:
 
 def _touching(holes: np.ndarray, label: np.ndarray) -> dict[int, int]:
     """Owner of each hole: the component that most sides of its pixels touch; of equals the larger component."""
-    pairs = []
-    for a, b in ((np.s_[1:, :], np.s_[:-1, :]), (np.s_[:-1, :], np.s_[1:, :]), (np.s_[:, 1:], np.s_[:, :-1]), (np.s_[:, :-1], np.s_[:, 1:])):
+    n, pairs = int(label.max()) + 1 or 1, []
+    for a, b in ((np.s_[:, 1:], np.s_[:, :-1]), (np.s_[:, :-1], np.s_[:, 1:]), (np.s_[:, :, 1:], np.s_[:, :, :-1]), (np.s_[:, :, :-1], np.s_[:, :, 1:])):
         meet = (holes[a] >= 0) & (label[b] >= 0)
-        pairs.append(np.stack([holes[a][meet], label[b][meet]], 1))
-    found, counts = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+        pairs.append(holes[a][meet] * n + label[b][meet])
+    codes, counts = np.unique(np.concatenate(pairs), return_counts=True)
+    found = np.stack(np.divmod(codes, n), 1)
     owner: dict[int, int] = {}
     for k in np.lexsort((found[:, 1], -counts)):
         owner.setdefault(int(found[k, 0]), int(found[k, 1]))
@@ -116,47 +123,74 @@ def hand(x: np.ndarray, y: np.ndarray, cx: float, cy: float, holes: list[dict])
     return {"theta": float(theta), "length": max(far), "thickness": float(thickness), "tail_ratio": (len(t) - before) / before if before else 1.0, "pivot_x": float(pivot[0]), "pivot_y": float(pivot[1]), "tip_x": float(tip[0]), "tip_y": float(tip[1]), "pivot_from_hole": bool(good)}
 
 
-def analyse(img: np.ndarray) -> tuple:
-    """(agreement, pixels outside, enclosed and of the subject, components: the largest first) of a picture (height, width, channels)."""
-    h, w = img.shape[:2]
-    colour, agreement = backdrop(img)
-    near = np.abs(img - colour).max(2) <= FLOOD
-    back = regions(near)
-    edge = np.unique(np.concatenate([back[0], back[-1], back[:, 0], back[:, -1]]))
-    outside = near & np.isin(back, edge[edge >= 0])
+def _stacked(mask: np.ndarray) -> np.ndarray:
+    """`regions` of each picture of a stack, numbered through all: pictures stand beneath each other with an empty row between."""
+    n, h, w = mask.shape
+    return regions(np.pad(mask, ((0, 0), (0, 1), (0, 0))).reshape(n * (h + 1), w)).reshape(n, h + 1, w)[:, :h]
+
+
+def analyse_all(imgs: np.ndarray) -> list[tuple]:
+    """`analyse` of each picture of a stack (pictures, height, width, channels), labelled and measured together."""
+    n, h, w = imgs.shape[:3]
+    colour, agreement = backdrops(imgs)
+    near = np.abs(imgs - colour[:, None, None]).max(3) <= FLOOD
+    back = _stacked(near)
+    on_edge = np.zeros(int(back.max()) + 2, bool)
+    for side in (back[:, 0], back[:, -1], back[:, :, 0], back[:, :, -1]):
+        on_edge[side] = True
+    on_edge[-1] = False  # also where the label is -1
+    outside = on_edge[back]
     enclosed = near & ~outside
-    raw = regions(~near)
-    sizes = np.bincount(raw[raw >= 0])
-    order = [k for k in np.argsort(-sizes, kind="stable") if sizes[k] >= np.floor(NOISE * w * h + 0.5)]
+    raw = _stacked(~near)
+    flat = raw[raw >= 0]
+    sizes = np.bincount(flat)
+    picture = np.zeros(len(sizes), np.int64)
+    picture[flat] = np.nonzero(raw >= 0)[0]
+    order = np.lexsort((-sizes, picture))  # stable, so that equal areas keep the order of their first pixels
+    order = order[sizes[order] >= np.floor(NOISE * w * h + 0.5)]
     place = np.full(len(sizes) + 1, -1)
     place[order] = np.arange(len(order))
-    label = np.where(raw >= 0, place[raw], -1)
-    holes = regions(enclosed)
+    label = place[raw]
+    holes = _stacked(enclosed)
     owned: list[list[dict]] = [[] for _ in order]
     if (holes >= 0).any():
         box, owner = _boxes(holes, int(holes.max()) + 1), _touching(holes, label)
         for k in np.argsort(-box["area"], kind="stable"):
-            if box["area"][k] >= HOLE and k in owner:
+            if box["area"][k] >= HOLE and int(k) in owner:
                 bw, bh = int(box["max_x"][k] - box["min_x"][k]) + 1, int(box["max_y"][k] - box["min_y"][k]) + 1
-                owned[owner[k]].append({"area": int(box["area"][k]), "cx": float(box["cx"][k]), "cy": float(box["cy"][k]), "radius": float(np.sqrt(box["area"][k] / np.pi)), "aspect": bw / bh, "fill": float(box["area"][k] / (bw * bh))})
-    box, components = _boxes(label, len(order)), []
-    for k in range(len(order)):
-        y, x = np.nonzero(label == k)
-        one = {f: int(box[f][k]) for f in FIELDS[:5]} | {"n_holes": len(owned[k]), "cx": float(box["cx"][k]), "cy": float(box["cy"][k]), "hole_radius": owned[k][0]["radius"] if owned[k] else 0.0}
-        components.append(one | hand(x, y, one["cx"], one["cy"], owned[k]))
-    return agreement, int(outside.sum()), int(enclosed.sum()), int((~near).sum()), components
+                owned[owner[int(k)]].append({"area": int(box["area"][k]), "cx": float(box["cx"][k]), "cy": float(box["cy"][k]), "radius": float(np.sqrt(box["area"][k] / np.pi)), "aspect": bw / bh, "fill": float(box["area"][k] / (bw * bh))})
+    box, components = _boxes(label, len(order)), [[] for _ in range(n)]
+    _, y, x = np.nonzero(label >= 0)
+    by = np.argsort(label[label >= 0], kind="stable")
+    y, x, ends = y[by], x[by], np.cumsum(box["area"])
+    columns = {f: box[f].tolist() for f in [*FIELDS[:5], "cx", "cy"]}
+    for k, (start, end) in enumerate(zip((ends - box["area"]).tolist(), ends.tolist(), strict=True)):
+        one = {f: v[k] for f, v in columns.items()} | {"n_holes": len(owned[k]), "hole_radius": owned[k][0]["radius"] if owned[k] else 0.0}
+        components[picture[order[k]]].append(one | hand(x[start:end], y[start:end], one["cx"], one["cy"], owned[k]))
+    pixels = lambda mask: mask.sum((1, 2)).tolist()
+    return list(zip(agreement.tolist(), pixels(outside), pixels(enclosed), pixels(~near), components, strict=True))
+
+
+def analyse(img: np.ndarray) -> tuple:
+    """(agreement, pixels outside, enclosed and of the subject, components: the largest first) of a picture (height, width, channels)."""
+    return analyse_all(img[None])[0]
 
 
 def _run(batches):
     for batch in batches:
         ids, width, height, pixels = (batch.column(k) for k in range(4))
-        rows = []
-        for w, h, p in zip(width.to_pylist(), height.to_pylist(), pixels, strict=True):
-            flat = np.frombuffer(p.as_py() or b"", np.uint8)
-            if not w or not h or not len(flat) or len(flat) % (w * h):
-                rows.append((0.0, 0, 0, 0, []))  # nothing that can be decoded
-            else:
-                rows.append(analyse(flat.reshape(h, w, -1)[:, :, :3].astype(np.int64)))
+        rows: list[tuple] = [(0.0, 0, 0, 0, [])] * len(ids)  # nothing that can be decoded stays so
+        alike: dict[tuple, list[int]] = {}
+        for k, (w, h, size) in enumerate(zip(width.to_pylist(), height.to_pylist(), pc.binary_length(pixels).to_pylist(), strict=True)):
+            if w and h and size and not size % (w * h):
+                alike.setdefault((h, w, size // (w * h)), []).append(k)
+        for (h, w, channels), places in alike.items():
+            step = max(1, STACK // (h * w))
+            for start in range(0, len(places), step):
+                own = places[start : start + step]
+                imgs = np.stack([np.frombuffer(pixels[k].as_buffer(), np.uint8).reshape(h, w, channels)[:, :, :3] for k in own]).astype(np.int16)
+                for k, found in zip(own, analyse_all(imgs), strict=True):
+                    rows[k] = found
         columns = zip(*rows, strict=True) if rows else [[]] * 5
         types = [pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(COMPONENT)]
         yield pa.RecordBatch.from_arrays([ids, width, height, *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["id", "width", "height", "agreement", "outside", "enclosed", "subject", "components"])

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fitloom import picture_queries
 from fitloom.operators import segments
 
 
@@ -111,3 +112,22 @@ def test_verdicts_and_odd_rows(spark):
     both = spark.createDataFrame([(1, 80, 80, bytearray(rgba.tobytes())), (2, 80, 80, bytearray(picture("disc").tobytes()))], "id long, width int, height int, pixels binary")
     a, b = [tuple(r)[1:] for r in segments.segmented(both).orderBy("id").collect()]
     assert a == b
+
+
+def test_stacks_equal_single_pictures_and_drawing_equals_its_sql(spark):
+    """Pictures are labelled together and drawn by arrays; before, each was drawn by an expression of 2,304 steps in one task."""
+    turn = np.random.default_rng(5)
+    stack = (turn.integers(0, 3, (40, 17, 23, 3)) * 9 + 220).astype(np.int16)
+    assert segments.analyse_all(stack) == [segments.analyse(p) for p in stack]
+    rows = [(k, s) for k in [*range(0, 1400, 3), -7, -50] for s in (1 + k % 50, 8)] + [(3, None), (4, None), (5, None)]
+    parts = spark.createDataFrame(rows, "id long, size long")
+    drawn = f"transform(transform(sequence(0L, 2303L), i -> named_struct('x', i % 48, 'y', i div 48)), p -> cast({picture_queries.grey('p.x', 'p.y', 'id', 'size')} as int))"
+    want = {(r.id, r.size): r.g for r in parts.select("id", "size", F.expr(drawn).alias("g")).collect()}
+    made = picture_queries.draw(np.array([r[0] for r in rows]), np.array([r[1] or 0 for r in rows]), np.array([r[1] is not None for r in rows]))
+    assert all(want[r] == p.reshape(-1).tolist() for r, p in zip(rows, made, strict=True))
+
+
+def test_a_small_table_is_spread(spark, tmp_path):
+    spark.range(300).select(F.col("id").alias("p_partkey"), (F.col("id") % 50 + 1).alias("p_size")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    found = picture_queries.pictures(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() >= 4 and found.select(F.spark_partition_id()).distinct().count() >= 4
