@@ -66,7 +66,7 @@ def pixel_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT p_partkey, round(d, 6) AS distance, round(CASE WHEN abs(c - d) >= 0.8e0 THEN least(c, d) ELSE least(c, d) - pow(0.8e0 - abs(c - d), 2) / 3.2e0 END, 6) AS outline, round(3 * w * w - 2 * w * w * w, 6) AS shoulder FROM g""")
 def outline_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed distances of a point a part to an outline: a corner piece, the same joined with a disc, and a soft shoulder."""
-    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 10.0).alias("s"), (F.col("p_partkey") % 53 / 10.0 - 0.53).alias("x"), (F.floor(F.col("p_partkey") / 53) % 41 / 10.0 - 0.47).alias("y"))
+    p = mapping.spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", (F.col("p_size") / 10.0).alias("s"), (F.col("p_partkey") % 53 / 10.0 - 0.53).alias("x"), (F.floor(F.col("p_partkey") / 53) % 41 / 10.0 - 0.47).alias("y"))
     corners = F.array(*[F.struct((F.col("s") * a).alias("x"), (F.col("s") * b).alias("y")) for a, b in ((0.0, 0.0), (4.0, 0.0), (4.0, 1.0), (1.0, 1.0), (1.0, 3.0), (0.0, 3.0))])
     d = p.select("p_partkey", "x", (F.hypot("x", "y") - 1.5).alias("c"), drawing.polygon_distance(F.col("x"), F.col("y"), corners).alias("d"))
     return d.select("p_partkey", F.round("d", 6).alias("distance"), F.round(drawing.smooth_min(F.col("c"), F.col("d"), 0.8), 6).alias("outline"), F.round(drawing.smoothstep(1.0, 3.0, F.col("x")), 6).alias("shoulder"))

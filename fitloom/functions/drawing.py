@@ -103,21 +103,22 @@ def smooth_min(a: Column, b: Column, k: float) -> Column:
 def polygon_distance(x: Column, y: Column, corners: Column) -> Column:
     """Distance of a point to a closed polygon, an array of (x, y) structs; negative inside.
 
-    Null without corners.  Each edge is folded into the least squared distance and the parity of crossings.
+    Null without corners.  Corners are paired into edges once, and each edge is folded into the least squared distance and the parity of crossings.
     """
 
-    def fold(acc, i):
-        a, b = corners[i], corners[(i + 1) % F.size(corners)]
-        ex, ey, wx, wy = b["x"] - a["x"], b["y"] - a["y"], x - a["x"], y - a["y"]
+    def fold(acc, e):
+        ex, ey, wx, wy = e["ex"], e["ey"], x - e["ax"], y - e["ay"]
         length = ex * ex + ey * ey
         t = F.when(length > 0, _unit((wx * ex + wy * ey) / length)).otherwise(0.0)
         dx, dy = wx - ex * t, wy - ey * t
-        crosses = ((a["y"] > y) != (b["y"] > y)) & (wx < ex * wy / F.nullif(ey, F.lit(0.0)))
+        crosses = ((e["ay"] > y) != (e["by"] > y)) & (wx < ex * wy / F.nullif(ey, F.lit(0.0)))
         return F.struct(F.least(acc["d"], dx * dx + dy * dy).alias("d"), (acc["inside"] != F.coalesce(crosses, F.lit(False))).alias("inside"))
 
+    follow = F.concat(F.slice(corners, 2, F.size(corners)), F.slice(corners, 1, 1))
+    edges = F.zip_with(corners, follow, lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["y"].alias("by"), (b["x"] - a["x"]).alias("ex"), (b["y"] - a["y"]).alias("ey")))
     zero = F.struct(F.lit(float("inf")).alias("d"), F.lit(False).alias("inside"))
     done = lambda acc: F.when(acc["inside"], -F.sqrt(acc["d"])).otherwise(F.sqrt(acc["d"]))
-    return F.when(F.size(corners) > 0, F.aggregate(F.sequence(F.lit(0), F.size(corners) - 1), zero, fold, done))
+    return F.when(F.size(corners) > 0, F.aggregate(edges, zero, fold, done))
 
 
 def ring_status(integrated: Column, required: Column) -> Column:

@@ -65,3 +65,10 @@ def test_titles_before_families(spark):
     assert (got[7].caliber, got[7].has_day, got[7].has_date, got[7].date_position, got[7].height_mm, got[7].crown_position) == ("NH36", True, True, "6", 5.32, "4")
     assert (got[8].caliber, got[8].has_day, got[8].height_mm) == ("NH70", None, None)
     assert set(got[9][1:]) == {None}
+
+
+def test_polygon_corners_are_paired_once(spark):
+    """Before, each step of the fold built the whole array of corners again, some dozens of times."""
+    rows = spark.createDataFrame([], "x double, y double, rim array<struct<x:double,y:double>>")
+    plan = rows.select(drawing.polygon_distance(F.col("x"), F.col("y"), F.col("rim")).alias("d"))._jdf.queryExecution().analyzed().toString()
+    assert plan[: plan.index("LogicalRDD")].count("rim#") <= 10
