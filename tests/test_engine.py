@@ -1,3 +1,4 @@
+import random
 import subprocess
 import sys
 from pathlib import Path
@@ -94,3 +95,19 @@ def test_imports_without_the_training_data_operators():
     code = "import sys; sys.modules['fitloom.llm'] = sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'build_status' in e.queries() and not any(q.startswith('op1') for q in e.queries())"
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, timeout=120, cwd=Path(__file__).resolve().parent.parent)
     assert done.returncode == 0, done.stderr.decode()
+
+
+def test_nearest_equals_all_pairs(spark):
+    """Blocks of right rows give each left row its best; before, all pairs were sorted in a task."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["x", "y", None]), None if rng.random() < 0.05 else rng.choice([0, 7, rng.getrandbits(63)])) for i in range(160)]
+    frame = spark.createDataFrame(rows, "a long, category string, h long").repartition(3)
+    far = lambda p, q: bin(p ^ q).count("1")
+    for limit, most in ((1, 64), (4, 30)):
+        got = sorted(tuple(r) for r in matching.nearest(frame.where("a % 5 = 0"), frame.withColumnRenamed("a", "b"), limit, most, block=7).collect())
+        want = []
+        for a, c, h in rows:
+            if a % 5 == 0 and c is not None and h is not None:
+                near = sorted((far(h, g), b) for b, d, g in rows if d == c and g is not None and b != a and far(h, g) <= most)
+                want += [(a, b, d) for d, b in near[:limit]]
+        assert got == sorted(want)
