@@ -1,14 +1,16 @@
 """One strap for each build of an ordered list: greedy, with penalties for parts and kinds that the list has used.
 
-The state that passes from build to build is small: how many straps of each class
-are taken, and how often each kind.  Straps of a class score alike for any build and pass or fail its
-rules alike, so a class is a queue from which the first free strap comes; its first
-straps, as many as the longest list has builds, are all that can be picked.
+The state that passes from build to build is small: which straps are taken, and how often each
+kind.  Straps of a class pass or fail a build's rules alike, and those of equal looks score alike, so
+builds that pass with the same straps share a queue of straps for each looks.  A build
+of a list of n takes one of the first n of a kind by score and key, since at most n - 1 are taken:
+these, and no pairs of builds and straps, are what is dealt to the lists.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fitloom.operators import evaluate
-from fitloom.operators.rules import RULES
+from fitloom.operators.rules import INFO, RULES
 from fitloom.plans.mapping import SLOTS
 
 # Kinds of strap that each look calls for, best first, and the material of its bands.
@@ -82,15 +84,22 @@ def score(rank: Column, s: Column) -> Column:
     return (size - rank) * RANK + yes(F.col("kind") == "strap-band", band) + colour + yes(metal, steel) + own
 
 
+def refusing() -> tuple:
+    """Rules that can refuse a build: with findings that are more than notes."""
+    return tuple(r for r in RULES if r.key == "family-exception" or any(not isinstance(f.severity, str) or f.severity != INFO for f in r.findings()))
+
+
+def passing(builds: DataFrame) -> DataFrame:
+    """Wide rows that pass before they have a strap: rules that read none are judged once a build."""
+    return _passing(builds, tuple(r for r in refusing() if r.key not in STRAP_RULES or r.key == "family-exception"))
+
+
 def fitting(builds: DataFrame, straps: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those (build_id, fit_class) of pairs whose build passes with such a strap: no error, and no warning but catalog-wide ones.
 
-    builds: wide rows without a strap; straps: (fit_class, p_strap), one row each.  Rules that
-    read no strap are judged once a build, the others once a pair.
+    builds: wide rows that pass without a strap; straps: (fit_class, p_strap), one row each.
+    The strap's rules read the strap and the case alone; the other parts' exceptions have been judged.
     """
-    base = tuple(r for r in RULES if r.key not in STRAP_RULES or r.key == "family-exception")
-    builds = _passing(builds.drop("p_strap").withColumn("p_strap", F.lit(None).cast(straps.schema["p_strap"].dataType)), base).drop("p_strap")
-    # The strap's rules read the strap and the case alone; the other parts' exceptions have been judged.
     case = builds.select("build_id", "p_case", *[F.lit(None).cast(builds.schema[f"p_{s}"].dataType).alias(f"p_{s}") for s in SLOTS if s not in ("case", "strap")])
     tried = pairs.join(case, "build_id").join(straps, "fit_class")
     return _passing(tried, tuple(r for r in RULES if r.key in STRAP_RULES)).select("build_id", "fit_class")
@@ -111,34 +120,34 @@ def _passing(wide: DataFrame, rules: tuple) -> DataFrame:
 
 
 def _fold(batches):
-    """Lists arrive one after the other, each in order; only the state of the current one is held."""
-    now, taken, kinds = object(), Counter(), Counter()
-    for batch in batches:
-        out = []
-        for r in batch.to_pylist():
-            if r["collection"] != now:
-                now, taken, kinds = r["collection"], Counter(), Counter()
-            best = None
-            for c in r["candidates"] or []:
-                free = taken[c["key"]] < len(c["ids"])
-                part = c["ids"][taken[c["key"]] if free else 0]
-                found = (-(c["score"] - (0 if free else USED_PART) - USED_KIND * kinds[c["kind"]]), part, c["kind"], c["key"], free)
-                best = found if best is None or found[:2] < best[:2] else best
-            if best is not None:
-                taken[best[3]] += best[4]
-                kinds[best[2]] += 1
-            out.append((r["collection"], r["position"], r["build_id"], r["look"], *((best[1], best[2], -best[0]) if best else (None, None, None))))
-        names = ["collection", "position", "build_id", "look", "part_id", "kind", "score"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)], names=names)
+    """Lists arrive one after the other, each in order, a row for each kind that a build asks for; only the state of the current list is held."""
+    names = ["collection", "position", "build_id", "look", "part_id", "kind", "score"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)], names=names)
+    now, taken, kinds, out = object(), set(), Counter(), []
+    rows = (r for batch in batches for r in batch.to_pylist())
+    for (collection, position, build, look), asked in groupby(rows, lambda r: (r["collection"], r["position"], r["build_id"], r["look"])):
+        if collection != now:
+            now, taken, kinds = collection, set(), Counter()
+        found = [(c["cost"] + USED_PART * (c["part_id"] in taken) + USED_KIND * kinds[r["kind"]], c["part_id"], r["kind"]) for r in asked for c in r["best"] or []]
+        cost, part, kind = min(found, default=(None, None, None))
+        if part is not None:
+            taken.add(part)
+            kinds[kind] += 1
+        out.append((collection, position, build, look, part, kind, None if part is None else -cost))
+        if len(out) == 4096:
+            yield made(out)
+            out = []
+    yield made(out)
 
 
 def pick_straps(builds: DataFrame, straps: DataFrame, fits) -> DataFrame:
     """(collection, position, build_id, look, part_id, kind, score) of every build; no part where none passes.
 
-    builds: collection, position, build_id, slug, tags, case_name, a list's builds at distinct positions; straps:
-    part_id, name, kind, tags, fit_class; fits(pairs): those (build_id, fit_class) of pairs that pass.  Builds
-    meet classes of straps by kind, never straps; lists are dealt to tasks by their key
+    builds: collection, position, build_id, slug, tags, case_name, a list's builds at distinct positions, and if given fits_like,
+    equal for builds that pass with the same straps and null for those that pass with none; straps:
+    part_id, name, kind, tags, fit_class; fits(pairs): those (build_id, fit_class) of pairs that pass,
+    asked for one build of each fits_like.  Lists are dealt to tasks by their key
     and read in order as a stream, since each pick rests on those before it.
     Cases: a build without tags, name or case gets the fallbacks; ties go to the smaller
     part_id; a list longer than all its straps takes used ones again at their penalty;
@@ -151,14 +160,20 @@ def pick_straps(builds: DataFrame, straps: DataFrame, fits) -> DataFrame:
     tags = F.coalesce("tags", F.array().cast("array<string>"))
     told = builds.select(
         F.col("collection").cast("long").alias("collection"), F.col("position").cast("long").alias("position"), F.col("build_id").cast("long").alias("build_id"), look(F.coalesce("slug", F.lit("")), tags).alias("look"),
-        F.array_intersect(tags, F.array(*map(F.lit, COLOURS))).alias("colours"), case.rlike(DARK).alias("dark"), platform.otherwise("SKX007").alias("platform"),
+        F.array_intersect(tags, F.array(*map(F.lit, COLOURS))).alias("colours"), case.rlike(DARK).alias("dark"), platform.otherwise("SKX007").alias("platform"), F.col("fits_like" if "fits_like" in builds.columns else "build_id").alias("alike"),
     )
     longest = told.groupBy("collection").count().agg(F.max("count")).first()[0] or 0
     ranked = F.create_map(*[x for k, v in KINDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    asked = told.select("*", F.posexplode(ranked[F.col("look")]).alias("rank", "kind"))
-    found = asked.join(classes(straps.select("part_id", F.coalesce("name", F.lit("")).alias("name"), "kind", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "fit_class"), longest), "kind")
-    passed = found.join(fits(found.select("build_id", "fit_class").distinct()), ["build_id", "fit_class"], "left_semi")
-    one = F.struct("kind", score(F.col("rank"), F.col("looks")).cast("long").alias("score"), F.to_json(F.struct("kind", "fit_class", "looks")).alias("key"), "ids")
-    offers = passed.groupBy("build_id").agg(F.collect_list(one).alias("candidates"))
-    ordered = told.join(offers, "build_id", "left").select("collection", "position", "build_id", "look", "candidates").repartition("collection").sortWithinPartitions("collection", "position")
+    asked = told.withColumn("n", F.count("*").over(W.partitionBy("collection"))).select("*", F.posexplode(ranked[F.col("look")]).alias("rank", "kind"))
+    known = classes(straps.select("part_id", F.coalesce("name", F.lit("")).alias("name"), "kind", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "fit_class"), longest)
+    tried = told.where("alike IS NOT NULL").groupBy("alike").agg(F.min("build_id").alias("build_id")).join(known.select("fit_class").distinct())
+    passed = tried.join(fits(tried.select("build_id", "fit_class")), ["build_id", "fit_class"], "left_semi")
+    queues = passed.join(known, "fit_class").groupBy("alike", "kind", "looks").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, longest).alias("ids"))
+    shelf = queues.groupBy("alike", "kind").agg(F.collect_list(F.struct("looks", "ids")).alias("queues"))
+    # Of the queues by score and first strap no more than n can hold one of the first n straps.
+    scored = F.transform("queues", lambda q: F.struct((-score(F.col("rank"), q["looks"])).cast("long").alias("cost"), q["ids"].alias("ids")))
+    first = F.slice(F.sort_array(scored), F.lit(1), F.col("n").cast("int"))
+    best = F.slice(F.sort_array(F.flatten(F.transform(first, lambda q: F.transform(q["ids"], lambda i: F.struct(q["cost"].alias("cost"), i.alias("part_id")))))), F.lit(1), F.col("n").cast("int"))
+    offered = asked.join(shelf, ["alike", "kind"], "left").select("collection", "position", "build_id", "look", "kind", best.alias("best"))
+    ordered = offered.repartition("collection").sortWithinPartitions("collection", "position", "build_id")
     return ordered.mapInArrow(_fold, "collection long, position long, build_id long, look string, part_id long, kind string, score long")

@@ -24,6 +24,16 @@ KINDS = ["strap-band", "strap-nato", "strap-oyster", "strap-jubilee", "strap-bra
 TOLD_SQL = f"SELECT part_id, slot, {choice('j * 3 + part_id % 10', TAGS)} AS tags, CASE WHEN slot = 'case' THEN {choice('j', CASES)} END AS case_name, {choice('j', NAMES)} AS strap_name, {choice('j * 5 + size', KINDS)} AS kind, {choice('j + size', STRAP_TAGS)} AS strap_tags FROM ({mapping.CATALOG_SQL}) c"
 SLUG_SQL = choice("collection * 7 + position", SLUGS)
 
+
+def look_slots(spark: SparkSession, sf_dir: str, catalog: DataFrame) -> DataFrame:
+    """Rows of LOOK_SLOT_SQL; the least part of a slot needs no distinct lines."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    told = lines.select(F.col("l_suppkey").alias("collection"), F.year(F.col("l_shipdate").cast("date")).cast("long").alias("position"), F.col("l_partkey").alias("part_id"))
+    parts = catalog.where("slot IN ('case', 'movement', 'hands')").select("part_id", "slot")
+    least = told.join(parts, "part_id").groupBy("collection", "position", "slot").agg(F.min("part_id").alias("part_id"))
+    return least.select((F.col("collection") * 10000 + F.col("position")).alias("build_id"), "collection", "position", "slot", "part_id")
+
+
 _CASE = "list_has_any(tags, ['{0}'])"
 _PAIR = 10_000_000
 _HEAD, _FOUND = oracle.findings_sql(
@@ -60,17 +70,25 @@ fold(collection, i, used, kinds, pick) AS (
 SELECT n.collection, n.position, n.build_id, n.look, f.pick.part_id AS part_id, f.pick.kind AS kind, -f.pick.s AS score FROM fold f JOIN numbered n USING (collection, i)""")
 def strap_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A strap for each build of each vendor's list, in the order of years, by all rules and with reuse penalties."""
-    slots, told = mapping.view(spark, sf_dir, LOOK_SLOT_SQL), mapping.view(spark, sf_dir, TOLD_SQL).select(F.inline(F.array(F.struct("*"))))
+    catalog, listings, exceptions = mapping.catalog(spark, sf_dir), mapping.listings(spark, sf_dir), mapping.exceptions(spark, sf_dir)
+    slots, told = look_slots(spark, sf_dir, catalog), mapping.view(spark, sf_dir, TOLD_SQL).select(F.inline(F.array(F.struct("*"))))
     words = lambda c: F.filter(F.split(c, ","), lambda t: t != "")
     builds = (
         slots.join(told.select("part_id", "tags", "case_name"), "part_id").groupBy("build_id", "collection", "position").agg(F.array_distinct(F.flatten(F.collect_set(words("tags")))).alias("tags"), F.max("case_name").alias("case_name"))
         .withColumn("slug", F.expr(SLUG_SQL))
     )
-    catalog, listings, exceptions = mapping.catalog(spark, sf_dir), mapping.listings(spark, sf_dir), mapping.exceptions(spark, sf_dir)
+    read = evaluate.fields_read(straps.refusing())
+    severities = lambda p: F.sort_array(F.transform(p["own_exceptions"], lambda e: e["severity"])).alias("exceptions")
     own = catalog.where("slot = 'strap'").select(F.col("part_id").alias("build_id"), "slot", "part_id")
-    single = evaluate.wide_builds(own, catalog, listings, exceptions).select(F.col("build_id").alias("part_id"), "p_strap")
-    single = single.withColumn("fit_class", F.to_json(F.struct(*[F.col("p_strap")[c].alias(c) for c in ("family", "lug_width_mm", "vendor_scope", "spec_source", "own_exceptions")])))
+    single = evaluate.wide_builds(own, catalog, listings, exceptions, {"strap": read["strap"]}).select(F.col("build_id").alias("part_id"), "p_strap")
+    strap = F.col("p_strap")
+    single = single.withColumn("fit_class", F.to_json(F.struct(*[strap[c].alias(c) for c in ("family", "lug_width_mm", "vendor_scope", "spec_source")], severities(strap))))
     known = told.where("slot = 'strap'").select("part_id", F.col("strap_name").alias("name"), "kind", words("strap_tags").alias("tags")).join(single.select("part_id", "fit_class"), "part_id")
     samples = single.groupBy("fit_class").agg(F.min_by("p_strap", "part_id").alias("p_strap"))
-    base = evaluate.wide_builds(slots.select("build_id", "slot", "part_id"), catalog, listings, exceptions)
-    return straps.pick_straps(builds, known, lambda pairs: straps.fitting(base, samples, pairs))
+    base = straps.passing(evaluate.wide_builds(slots.select("build_id", "slot", "part_id"), catalog, listings, exceptions, read))
+    # Cases are alike for straps by what the strap's rules read of them; of who sells them, those vendors that some strap keeps to.
+    scopes = F.broadcast(single.agg(F.collect_set("p_strap.vendor_scope").alias("scopes")))
+    case, sold = F.col("p_case"), F.coalesce(F.col("p_case.vendors"), F.array().cast("array<bigint>"))
+    like = F.to_json(F.struct(case.isNotNull().alias("case"), *[case[c].alias(c) for c in ("family", "lug_width_mm", "spec_source")], severities(case), (F.size(sold) > 0).alias("sold"), F.sort_array(F.array_intersect(sold, "scopes")).alias("vendors")))
+    alike = base.join(scopes).select("build_id", like.alias("fits_like"))
+    return straps.pick_straps(builds.join(alike, "build_id", "left"), known, lambda pairs: straps.fitting(base, samples, pairs))

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from fitloom.operators import straps
@@ -64,3 +65,33 @@ def test_picks_equal_a_plain_fold(spark):
     assert sorted(map(tuple, straps.pick_straps(frame, few, fits).collect())) == plain(builds, [b for b in bands if b[0] in kept], refused)
     assert all(r.part_id is None for r in straps.pick_straps(frame, known.limit(0), fits).collect())
     assert straps.pick_straps(frame.limit(0), known, fits).count() == 0
+
+
+def test_builds_alike_are_judged_once(spark):
+    """Rules are asked for one build of each class of cases, and a list gets no more straps of a kind than it has builds; before, every build met every class of straps."""
+    turn = random.Random(4)
+    builds = [(c, p, c * 100 + p, turn.choice(["x-dress", "field-y", "", "vintage"]), turn.choice([None, ["green"], ["red", "pilot"]]), turn.choice([None, "SKX013 Black", "Turtle"])) for c in range(5) for p in range(1 + 3 * c)]
+    bands = [(i, turn.choice(["Leather", "Tropic Rubber SKX007", "Rubber Turtle", "Bracelet"]), turn.choice(KINDS), turn.choice([None, ["black"], ["green"], ["silver-tone"]]), f"f{i % 7}") for i in range(300)]
+    group = {b[2]: turn.choice(["a", "b", "c", None]) for b in builds}
+    bad = {("a", "f1"), ("a", "f2"), ("b", "f0"), ("b", "f3"), *(("c", f"f{k}") for k in range(6))}
+    refused = {(b, f"f{k}") for b, g in group.items() for k in range(7) if g is None or (g, f"f{k}") in bad}
+    frame = spark.createDataFrame([(*b, group[b[2]]) for b in builds], "collection long, position long, build_id long, slug string, tags array<string>, case_name string, fits_like string").repartition(3)
+    known = spark.createDataFrame(bands, "part_id long, name string, kind string, tags array<string>, fit_class string").repartition(3)
+    no, asked = spark.createDataFrame(sorted(refused), "build_id long, fit_class string"), []
+    fits = lambda pairs: asked.append(pairs) or pairs.join(no, ["build_id", "fit_class"], "left_anti")
+    assert sorted(map(tuple, straps.pick_straps(frame, known, fits).collect())) == plain(builds, bands, refused)
+    assert asked[0].count() == 3 * 7
+
+
+def test_the_query_equals_its_sql(spark):
+    """Cases of one class pass alike: the picks at the smallest size, by the query's own SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__ as entry
+
+    where, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{where}/{t}.parquet'")
+    names = ["collection", "position", "build_id", "look", "part_id", "kind", "score"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({entry.oracle_sql()['strap_picks']})").fetchall()
+    got = [tuple(r) for r in entry.queries()["strap_picks"](spark, where).select(*names).collect()]
+    assert got and sorted(got) == sorted(want)
