@@ -98,3 +98,29 @@ def test_fields_that_are_read_are_enough(spark):
     narrow = evaluate.wide_builds(frame, catalog, listings, noted, evaluate.fields_read(tuple(r for r in RULES if r.key == "bezel-case-fit")))
     assert narrow.schema["p_case"].dataType.names == ["family", "spec_source"] and "price_minor" not in narrow._jdf.queryExecution().optimizedPlan().toString()
     full.unpersist()
+
+
+def test_only_vendors_that_straps_keep_to_travel(spark):
+    """Of forty vendors of a case its rows carry the least and those of some strap's scope; before, all forty went through the builds' shuffle."""
+    part = lambda i, **known: (known["slot"], *[({"spec_source": "vendor-stated", "name": "part", "part_id": i} | known).get(f) for f in PART_FIELDS])
+    parts = [part(1, **CASE), part(2, **CASE), *[part(10 + k, **STRAP, vendor_scope=v) for k, v in enumerate((7, 50, None))]]
+    catalog = spark.createDataFrame(parts, "slot string, " + ", ".join(f"{f} {KIND.get(f, 'boolean')}" for f in PART_FIELDS))
+    listings = spark.range(2, 42).select(F.lit(1).cast("long").alias("part_id"), F.col("id").alias("vendor_id"), F.lit(1000).cast("long").alias("price_minor"), F.lit(True).alias("in_stock"))
+    slots = spark.createDataFrame([(c * 10 + k, s, p) for c in (1, 2) for k in range(3) for s, p in (("case", c), ("strap", 10 + k))], "build_id long, slot string, part_id long")
+    scope = tuple(r for r in RULES if r.key == "bracelet-vendor-scope")
+    some = evaluate.wide_builds(slots, catalog, listings, None, evaluate.fields_read(scope))
+    assert {r.build_id: r.p_case.vendors for r in some.collect()} == {10: [2, 7], 11: [2, 7], 12: [2, 7], 20: None, 21: None, 22: None}
+    full = evaluate.wide_builds(slots, catalog, listings)
+    found = [sorted((r.build_id, r.raw_severity) for r in evaluate.findings(w, scope).collect()) for w in (full, some)]
+    assert found[0] == found[1] == [(11, "error"), (20, "warning"), (21, "warning")]
+
+
+def test_builds_of_some_slots(spark):
+    """A build is shuffled as one row of the slots that are read, and the least part of each stands; before, each of its parts was a row."""
+    from fitloom.plans import mapping
+
+    where = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, mapping.view(spark, where, mapping.BUILD_SLOT_SQL).select("build_id", "slot", "part_id").collect()))
+    rows = lambda df: sorted(map(tuple, df.select("build_id", "slot", "part_id").collect()))
+    assert rows(mapping.build_slots(spark, where)) == want
+    assert rows(mapping.build_slots(spark, where, ("case", "bezel"))) == [r for r in want if r[1] in ("case", "bezel")]
