@@ -124,3 +124,14 @@ def test_builds_of_some_slots(spark):
     rows = lambda df: sorted(map(tuple, df.select("build_id", "slot", "part_id").collect()))
     assert rows(mapping.build_slots(spark, where)) == want
     assert rows(mapping.build_slots(spark, where, ("case", "bezel"))) == [r for r in want if r[1] in ("case", "bezel")]
+
+
+def test_builds_of_plain_fields_are_not_sorted(spark):
+    """Fields of fixed width are gathered by hash, with unknown parts and empty slots as ever; before, a task sorted all rows of its builds."""
+    parts = [(p, s, f) for p, s, f in ((1, "dial", True), (2, "dial", None), (3, "case", None))]
+    catalog = spark.createDataFrame([(s, *[{"part_id": p, "has_feet": h}.get(f) for f in PART_FIELDS]) for p, s, h in parts], "slot string, " + ", ".join(f"{f} {KIND.get(f, 'boolean')}" for f in PART_FIELDS))
+    slots = spark.createDataFrame([(1, "dial", 1), (1, "case", 3), (2, "dial", 2), (3, "dial", 3), (3, "case", 9), (4, "case", 3)], "build_id long, slot string, part_id long")
+    wide = evaluate.wide_builds(slots, catalog, None, None, {"dial": ("part_id", "has_feet"), "case": ("part_id",)})
+    got = {r.build_id: (r.p_dial and tuple(r.p_dial), r.p_case and tuple(r.p_case)) for r in wide.collect()}
+    assert got == {1: ((1, True), (3,)), 2: ((2, None), None), 3: (None, None), 4: (None, (3,))}
+    assert "SortAggregate" not in wide._jdf.queryExecution().executedPlan().toString()
