@@ -13,6 +13,7 @@ import base64
 import heapq
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from fitloom.llm.common import byte_view, chunks, released, small_batches
 
-#: Pieces that a worker remembers; it forgets all beyond that, which costs time only.
-REMEMBERED = 150_000
+#: Pieces that a worker remembers; beyond that it forgets those that one block alone had, which costs time only.
+REMEMBERED = 300_000
 #: The pattern of the public rank files, and one that splits texts of plain
 #: characters alike but runs faster; texts with any other character take the first.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -50,14 +51,31 @@ class MergeReplay:
         get, size = self.rank.get, len(tokens)
         pairs = [(x * size + y, r) for r, t in enumerate(tokens) for k in range(1, len(t)) if (x := get(t[:k])) is not None and (y := get(t[k:])) is not None]
         keys, ranks = np.array([k for k, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int32)
-        order = np.argsort(keys)
-        self.size, self.keys, self.ranks = size, keys[order], ranks[order]
-
-    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Rank of the token that each pair makes, -1 where it makes none."""
-        key = a.astype(np.int64) * self.size + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], -1)
+        self._index(size, keys, ranks)
+
+    def _index(self, size: int, keys: np.ndarray, ranks: np.ndarray) -> None:
+        """Lay the pairs (first * size + second) out by their first symbol and by their second one."""
+        first, second = keys // size, keys % size
+        self.size, self.sides = size, []
+        for one, other in ((first, second), (second, first)):
+            order = np.lexsort((other, one))
+            bounds = np.searchsorted(one[order], np.arange(size + 1))
+            self.sides.append((bounds.tolist(), other[order].astype(np.int32), ranks[order]))
+        # Pairs of two bytes, which every piece begins as, are read off a square.
+        self.place = np.full(size, -1, np.int32)
+        self.place[self.single] = np.arange(256, dtype=np.int32)
+        self.square = np.full(1 << 16, -1, np.int32)
+        bytes_ = (self.place[first] >= 0) & (self.place[second] >= 0)
+        self.square[self.place[first[bytes_]] << 8 | self.place[second[bytes_]]] = ranks[bytes_]
+
+    def _ranks(self, symbol: int, side: int, others: np.ndarray) -> np.ndarray:
+        """Rank of the token that symbol makes with each of the others after it (side 0) or before it (side 1), -1 where it makes none."""
+        bounds, other, ranks = self.sides[side]
+        a, b = bounds[symbol], bounds[symbol + 1]
+        if a == b:
+            return np.full(len(others), -1, np.int32)
+        at = np.minimum(np.searchsorted(other[a:b], others), b - a - 1) + a
+        return np.where(other[at] == others, ranks[at], np.int32(-1))
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         """Ids (little-endian, 32 bits) of each piece: repeatedly its pair of lowest rank, leftmost first."""
@@ -85,7 +103,8 @@ class MergeReplay:
         prev[np.concatenate([[0], ends[:-1]])] = -1
         pair = np.full(n, -1, np.int32)  # rank of the pair that starts at each position
         at = np.flatnonzero(next_ >= 0)
-        pair[at] = self._ranks(symbol[at], symbol[at + 1])
+        byte = self.place[symbol]
+        pair[at] = self.square[byte[at] << 8 | byte[at + 1]]
         index: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
 
@@ -123,9 +142,8 @@ class MergeReplay:
             mate = next_[p]
             after, before = next_[mate], prev[p]
             chained = np.concatenate([[False], before[1:] == mate[:-1]])  # the symbol before is merged just now, too
-            made = np.full(len(p), rank, np.int32)
-            right = np.where(after >= 0, self._ranks(made, symbol[after]), -1)
-            left = np.where(before >= 0, self._ranks(np.where(chained, rank, symbol[before]), made), -1)
+            right = np.where(after >= 0, self._ranks(rank, 0, symbol[after]), -1)
+            left = np.where(before >= 0, self._ranks(rank, 1, np.where(chained, np.int32(rank), symbol[before])), -1)
             low = ((right >= 0) & (right < rank)) | ((left >= 0) & (left < rank))
             if low.any():  # there a pair of lower rank comes next: later places of that piece wait
                 own = owner[p]
@@ -137,18 +155,20 @@ class MergeReplay:
                 if wait.any():
                     index[rank] = [p[wait]]
                     heapq.heappush(heap, rank)
-                    p, mate, after, before, chained, made = (x[~wait] for x in (p, mate, after, before, chained, made))
+                    p, mate, after, before, chained, right, left = (x[~wait] for x in (p, mate, after, before, chained, right, left))
             symbol[p] = rank
             symbol[mate] = -1
             pair[mate] = -1
             next_[p] = after
             has = after >= 0
             prev[after[has]] = p[has]
-            pair[p] = -1
-            pair[p[has]] = self._ranks(made[has], symbol[after[has]])
+            # The symbol after a place is as it was, unless it is merged just now, too: then the place makes what the next one has to its left.
+            followed = np.flatnonzero(chained)
+            right[followed - 1] = left[followed]
+            pair[p] = right
             outer = (before >= 0) & ~chained
             q = before[outer]
-            pair[q] = self._ranks(symbol[q], made[outer])
+            pair[q] = left[outer]
             note(np.concatenate([p, q]))
 
 
@@ -156,8 +176,8 @@ def _encode(blob, pattern: str):
     def run(batches):
         key = zlib.crc32(blob.value)
         if key not in _WORKER:
-            _WORKER[key] = MergeReplay(read_ranks(blob.value)), {}
-        replay, known = _WORKER[key]
+            _WORKER[key] = MergeReplay(read_ranks(blob.value)), {}, set()
+        replay, known, again = _WORKER[key]
         exact = regex.compile(pattern).findall
         fast = TWIN.findall if pattern == PATTERN else exact
         for batch in batches:
@@ -165,10 +185,15 @@ def _encode(blob, pattern: str):
             ids, counts = [], []
             for a, b in chunks(offsets, BLOCK_BYTES):
                 texts = [(exact if UNUSUAL(t) else fast)(t) for t in batch.column(1).slice(a, b - a).fill_null("").to_pylist()]
-                seen = {p for pieces in texts for p in pieces}
-                if len(known) + len(seen) > REMEMBERED:
+                seen = set(chain.from_iterable(texts))
+                held = seen & known.keys()
+                again |= held
+                if len(known) + len(seen) - len(held) > REMEMBERED:
+                    kept = {p: known[p] for p in again} if 2 * len(again) <= REMEMBERED else {}
                     known.clear()
-                missing = [p for p in seen if p not in known]
+                    known.update(kept)
+                    again.clear()
+                missing = list(seen - known.keys())
                 known.update(zip(missing, replay.encode([p.encode() for p in missing]), strict=True))
                 joined = [b"".join(map(known.__getitem__, pieces)) for pieces in texts]
                 ids += joined

@@ -33,11 +33,9 @@ class ListedMerges(MergeReplay):
         self.rank = {t: i for i, t in enumerate(made)}
         if len(self.rank) != len(made):
             raise ValueError("two merges make one token: their pairs can't be told from their place in the list")
-        self.size, self.single = len(made), np.arange(256, dtype=np.int32)
-        keys = np.array([self.rank[a] * self.size + self.rank[b] for a, b in merges], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.ranks = keys[order], (order + 256).astype(np.int32)
-        self.tokens = made
+        self.single, self.tokens = np.arange(256, dtype=np.int32), made
+        keys = np.array([self.rank[a] * len(made) + self.rank[b] for a, b in merges], np.int64)
+        self._index(len(made), keys, np.arange(256, len(made), dtype=np.int32))
 
     def symbols(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(tokens of each non-empty piece, first symbol of each): merges alone, whatever the vocabulary holds."""
@@ -49,7 +47,8 @@ class ListedMerges(MergeReplay):
 
     def proved(self) -> list[bytes]:
         """The tokens that encode alone as themselves, by their own merges one at a time (tokens are short)."""
-        made = {divmod(k, self.size): r for k, r in zip(self.keys.tolist(), self.ranks.tolist(), strict=True)}
+        bounds, second, ranks = self.sides[0]
+        made = {(a, b): r for a, b, r in zip(np.repeat(np.arange(self.size), np.diff(bounds)).tolist(), second.tolist(), ranks.tolist(), strict=True)}
         good = []
         for number, token in enumerate(self.tokens):
             symbols = list(token)

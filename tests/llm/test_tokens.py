@@ -72,6 +72,28 @@ def test_merge_replay_with_ranks_out_of_order(texts, order):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain(t.encode()) for t in texts]
 
 
+def test_pieces_that_come_again_are_merged_once(monkeypatch):
+    """A full memory forgets the pieces of one block alone; those of several blocks stay, and no id changes."""
+    import pyarrow as pa
+    import tiktoken
+
+    blob = open(tokenizer_file("byte_bpe_50k.tiktoken"), "rb").read()
+    lib = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks={t: i for i, t in enumerate(bpe.read_ranks(blob))}, special_tokens={})
+    again = [f" zq{c}xvw" for c in "abcdefgh"]
+    texts = ["".join(again) + "".join(f" qx{chr(97 + k)}{chr(97 + j)}zv" for j in range(20)) for k in range(20)]
+    merged, plain = [], bpe.MergeReplay.encode
+    monkeypatch.setattr(bpe.MergeReplay, "encode", lambda self, pieces: merged.extend(pieces) or plain(self, pieces))
+    monkeypatch.setattr(bpe, "_WORKER", {})
+    monkeypatch.setattr(bpe, "REMEMBERED", 80)
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 1)  # a block a text
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    (got,) = bpe._encode(type("Blob", (), {"value": blob}), bpe.PATTERN)([batch])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got.column(2).to_pylist()] == [lib.encode_ordinary(t) for t in texts]
+    assert all(merged.count(p.encode()) == 1 for p in again) and len(merged) == 8 + 400
+    ((_, known, _),) = bpe._WORKER.values()
+    assert len(known) <= 80
+
+
 _REPLAY = {}
 
 
