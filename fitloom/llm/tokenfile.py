@@ -152,10 +152,13 @@ class WordTable:
         self.merges = Tokenizer(models.BPE(vocab=rules["model"]["vocab"], merges=pairs, cache_capacity=0, end_of_word_suffix=rules["model"]["end_of_word_suffix"]))
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        self.spell = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain) if b >= 128}
+        self.spell = np.arange(256, dtype="<u4")
+        for k, b in enumerate(b for b in range(256) if b not in plain):
+            self.spell[b] = 256 + k if b >= 128 else b
         self.last = np.array([(self.whole.id_to_token(i) or "").endswith("</w>") for i in range(self.whole.get_vocab_size())])
         # Of each byte: 1 an ASCII letter, 2 any but white space, 4 a sign where a run of letters ends, 8 one after which a run begins.
-        signs = [b for b in range(33, 127) if not chr(b).isalpha() and not any(chr(b) in t["content"] for t in json.loads(blob).get("added_tokens", []))]
+        special = {c for t in rules.get("added_tokens", []) for c in t["content"]}
+        signs = [b for b in range(33, 127) if not chr(b).isalpha() and chr(b) not in special]
         self.kind = np.where(SPACE, 0, 2).astype(np.uint8)
         self.kind[[b for b in range(128) if chr(b).isalpha()]] |= 1
         self.kind[signs] |= 4
@@ -173,7 +176,7 @@ class WordTable:
             upto = np.cumsum(size)
             joined = low[np.minimum(np.repeat(start[runs] - upto + size, size) + np.arange(int(upto[-1])), len(low) - 1)]
             joined[upto - 1] = 32
-            got = np.array(self.merges.encode_batch_fast([joined.tobytes().decode("latin-1").translate(self.spell)], add_special_tokens=False)[0].ids, self.dtype)
+            got = np.array(self.merges.encode_batch_fast([np.take(self.spell, joined).tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, self.dtype)
             ends = np.flatnonzero(self.last[got]) + 1
             if len(ends) != len(runs):
                 raise AssertionError("the tokenizer did not keep words apart")

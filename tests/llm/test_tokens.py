@@ -128,6 +128,19 @@ def test_a_shard_is_read_by_select(monkeypatch):
     assert sum(calls) == len(ids) + len(ids) - 2 and max(calls) <= tokenfile.EliasFano.SAMPLE  # no boundary comes from elsewhere
 
 
+def test_a_word_table_reads_its_rules_once(monkeypatch):
+    """A worker's start costs one reading of the vocabulary file, and every Latin letter of two bytes is spelled as the library spells it."""
+    from tokenizers import Tokenizer
+
+    blob, read, plain = open(tokenizer_file("word_bpe_49k.json"), "rb").read(), [], tokenfile.json.loads
+    monkeypatch.setattr(tokenfile.json, "loads", lambda text: read.append(len(text)) or plain(text))
+    table = tokenfile.WordTable(blob, "<u2")
+    assert len(read) == 1
+    text = " ".join("xq" + chr(c) + "w" for c in range(0xC0, 0x100)) + " plain words"
+    got = table.encode(np.frombuffer(text.encode(), np.uint8))[0]
+    assert got.tolist() == Tokenizer.from_str(blob.decode()).encode(text, add_special_tokens=False).ids
+
+
 WORDS = ["the", "Word,", "naïve", "ÀÉ", "don't", "x" * 50, "<|endoftext|>", "<|ENDOFTEXT|>", "a<|startoftext|>b", "42", "foo,bar;", "e\u0301.", "ΑΣ", "İ.", "…,", "×÷", "漢字", "K", "s", "''re", "**bold**", "x's", "'twas", "a1b2", "£5", "\u00a0", "\x1c", "straße!", "ÿ?", "A.B.C."]
 
 
