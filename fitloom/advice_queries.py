@@ -37,7 +37,7 @@ def _once(df: DataFrame) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each request twice: as the keyword parser reads it, and as a model's answer does after the filter of tags."""
-    rows = spark.sql(REQUEST_SQL.replace("FROM customer", "FROM {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    rows = spark.sql(REQUEST_SQL.replace("FROM customer", "FROM {customer}"), customer=mapping.spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"), "c_custkey"))
     rows = _once(rows)
     must = F.struct(_list("must_tags").alias("tags"), F.col("must_budget").cast("long").alias("budget_minor"), F.col("must_date").alias("requires_date"), F.col("must_gmt").alias("requires_gmt"), F.col("must_mm").alias("size_mm"))
     fields = ("tags", "budget_minor", "requires_date", "requires_gmt", "size_from", "size_to")
@@ -51,13 +51,22 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _suggested(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
     catalog, listings, exceptions = mapping.catalog(spark, sf_dir), mapping.listings(spark, sf_dir), mapping.exceptions(spark, sf_dir)
-    tags = _once(titles(spark, sf_dir).select("part_id", text.style_tags(F.col("title"), F.col("category")).alias("tags")))
     usable = F.col("slot").isin("dial", "hands", "bezelInsert") | ((F.col("slot") == "case") & F.col("family").startswith("skx")) | ((F.col("slot") == "movement") & (F.col("family") == "nh3x-movement"))
     other = F.coalesce(F.col("gmt"), F.lit(False)) | F.coalesce(F.col("has_subdials"), F.lit(False))
     shop = _once(catalog).where(usable).select("part_id", "slot", (F.col("size") % 3 != 0).alias("previewable"), other.alias("other_movement"), "gmt", "has_date")
     prices = listings.groupBy("part_id").agg(F.min("price_minor").alias("price_minor"))
-    judge = lambda slots: evaluate.evaluate(evaluate.wide_builds(slots, catalog, listings, exceptions))
-    return advice.tag_suggestions(shop.join(prices, "part_id").join(tags, "part_id"), asked.select("wish_id", "intent.*"), judge)
+    # A packed file of parts looks small enough to be sent to all from the driver, though its rows with their texts are not: all sides meet by key.
+    named = titles(spark, sf_dir).select("part_id", "title", "category").hint("merge")
+    priced = shop.join(prices.hint("merge"), "part_id").join(named, "part_id")
+    tagged = _once(priced.withColumn("tags", text.style_tags(F.col("title"), F.col("category"))).drop("title", "category"))
+
+    def judge(slots: DataFrame) -> DataFrame:
+        """Of the catalog and the listings, only the builds' own parts are read."""
+        own = slots.select("part_id").distinct()
+        only = lambda df: df.join(own, "part_id", "left_semi")
+        return evaluate.evaluate(evaluate.wide_builds(slots, only(catalog), mapping.listings(spark, sf_dir, own), only(exceptions)))
+
+    return advice.tag_suggestions(tagged, asked.select("wish_id", "intent.*"), judge)
 
 
 _VOCABULARY = "[" + ", ".join(f"'{t}'" for t, _, _ in text.STYLE_TAGS) + "]"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fitloom.functions import text
 from fitloom.operators import recommend
+from fitloom.sources.scratch import Scratch
 
 #: Slots whose parts are ranked by tags; movements are chosen by what they do.
 STYLED = ("case", "dial", "hands", "bezelInsert")
@@ -22,7 +23,7 @@ def _best(df: DataFrame, keys: list[str], n: int, *order: Column | str) -> DataF
     return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
 
 
-def tag_pools(parts: DataFrame, asked: DataFrame, depth: int = recommend.DEPTH) -> DataFrame:
+def tag_pools(parts: DataFrame, asked: DataFrame, depth: int = recommend.DEPTH, scratch: Scratch | None = None) -> DataFrame:
     """(wish_id, slot, place, part_id, price_minor, matched): the best `depth` parts of each core slot for each request.
 
     parts: (part_id, slot, tags, price_minor, previewable, other_movement, gmt, has_date).
@@ -35,35 +36,43 @@ def tag_pools(parts: DataFrame, asked: DataFrame, depth: int = recommend.DEPTH)
     equal tags are ranked once; both meet through an index from tag to part.  Where fewer than `depth`
     parts share a tag, all of those are in the index, so the first 2 * depth - 1 of the slot hold every other part needed.
     Cases: no tags (null or empty) rank by picture and price; a part without price or slot takes no part; repeated tags count once.
+    Those kept lie in a table in spark.checkpoint.dir: `depth` rows at most of each slot, set of tags, zone and date.
     """
+    scratch = scratch or Scratch(parts.sparkSession, "advice")
     clean = lambda c: F.array_compact(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))))
-    priced = parts.where("price_minor is not null").withColumn("tags", clean(F.col("tags")))
     zone = F.coalesce(F.col("requires_gmt"), F.lit(False))
     wishes = asked.select("wish_id", clean(F.col("tags")).alias("tags"), zone.alias("zone"), "requires_date")
     order = (F.desc("previewable"), F.col("price_minor"), F.col("part_id"))
 
+    dated, moving = F.coalesce(F.col("has_date"), F.lit(False)), F.col("slot") == "movement"
+    at = lambda z, d: F.struct(F.lit(z).alias("zone"), F.lit(d).alias("date"))
+    does = F.array_compact(F.array(*[
+        F.when(F.lit(not z) | F.coalesce(F.col("gmt"), F.lit(False)), F.when(met, at(z, d))) for z in (True, False) for d, met in (("", F.lit(True)), ("true", dated), ("false", ~dated))
+    ]))
     other = F.col("slot").isin("dial", "hands") & F.coalesce(F.col("other_movement"), F.lit(False))
-    shelved = priced.where(F.col("slot").isin(*STYLED)).withColumn("previewable", F.coalesce("previewable", F.lit(False))).withColumn("zone", F.explode(F.when(other, F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))))
-    shelf = _best(shelved.withColumn("kind", F.array_join(F.array_sort("tags"), ",")), ["zone", "slot", "kind"], depth, *order).select("zone", "slot", "part_id", "tags", "price_minor", "previewable")
+    offered = F.when(moving, does).when(other, F.array(at(True, ""))).otherwise(F.array(at(True, ""), at(False, "")))
+    priced = parts.where("price_minor is not null").where(F.col("slot").isin("movement", *STYLED)).withColumn("tags", clean(F.col("tags")))
+    kind = F.when(~moving, F.array_join(F.array_sort("tags"), ","))
+    shelved = priced.select("slot", "part_id", "tags", "price_minor", (F.coalesce("previewable", F.lit(False)) & ~moving).alias("previewable"), kind.alias("kind"), F.inline(offered))
+    # The parts are read here alone: all that follows stands on the few that this table keeps, with their tags.
+    shelf = scratch.keep(_best(shelved, ["zone", "date", "slot", "kind"], depth, *order).drop("kind"), "shelf")
+
+    styled = shelf.where(~moving).drop("date")
     looks = wishes.select("zone", F.array_sort("tags").alias("look")).distinct()
-    index = shelf.withColumn("tag", F.explode("tags")).drop("tags")
-    hits = looks.withColumn("tag", F.explode("look")).join(index, ["zone", "tag"]).groupBy("zone", "look", "slot", "part_id", "price_minor", "previewable").agg(F.count("*").alias("n"))
-    rest = _best(shelf.drop("tags"), ["zone", "slot"], 2 * depth - 1, *order)
-    fill = looks.join(rest, "zone").join(hits.select("zone", "look", "slot", "part_id"), ["zone", "look", "slot", "part_id"], "left_anti").withColumn("n", F.lit(0).cast("long"))
+    columns = ("zone", "look", "slot", "part_id", "price_minor", "previewable", F.col("tags").alias("own"))
+    hits = looks.withColumn("tag", F.explode("look")).join(styled.withColumn("tag", F.explode("tags")), ["zone", "tag"]).select(*columns, F.lit(1).alias("n"))
+    rest = _best(styled, ["zone", "slot"], 2 * depth - 1, *order)
+    fill = looks.join(F.broadcast(rest), "zone").select(*columns, F.lit(0).alias("n"))
+    met = hits.unionByName(fill).groupBy("zone", "look", "slot", "part_id", "price_minor", "previewable").agg(F.sum("n").alias("n"), F.any_value("own").alias("own"))
     place = F.row_number().over(W.partitionBy("zone", "look", "slot").orderBy(F.desc("n"), *order)) - 1
-    ranked = hits.unionByName(fill).withColumn("place", place).where(F.col("place") < depth).select("zone", "look", "slot", "place", "part_id", "price_minor")
-    styled = wishes.withColumn("look", F.array_sort("tags")).join(ranked, ["zone", "look"]).join(priced.select("part_id", F.col("tags").alias("own")), "part_id")
-    styled = styled.select("wish_id", "slot", "place", "part_id", "price_minor", F.array_intersect("own", "tags").alias("matched"))
+    ranked = met.withColumn("place", place).where(F.col("place") < depth).select("zone", "look", "slot", "place", "part_id", "price_minor", "own")
+    styled = wishes.withColumn("look", F.array_sort("tags")).join(ranked, ["zone", "look"])
 
     date = F.coalesce(F.col("requires_date").cast("string"), F.lit(""))
-    does = F.array_compact(F.array(*[
-        F.when(F.lit(not z) | F.coalesce(F.col("gmt"), F.lit(False)), F.when(met, F.struct(F.lit(z).alias("zone"), F.lit(d).alias("date"))))
-        for z in (True, False) for d, met in (("", F.lit(True)), ("true", F.coalesce(F.col("has_date"), F.lit(False))), ("false", ~F.coalesce(F.col("has_date"), F.lit(False))))
-    ]))
-    moving = priced.where("slot = 'movement'").select("slot", "part_id", "price_minor", F.explode(does).alias("d")).select("d.zone", "d.date", "slot", "part_id", "price_minor")
-    moving = moving.withColumn("place", F.row_number().over(W.partitionBy("zone", "date").orderBy("price_minor", "part_id")) - 1).where(F.col("place") < depth)
-    moved = wishes.withColumn("date", date).join(moving, ["zone", "date"]).join(priced.select("part_id", F.col("tags").alias("own")), "part_id")
-    return styled.unionByName(moved.select("wish_id", "slot", "place", "part_id", "price_minor", F.array_intersect("own", "tags").alias("matched")))
+    moved = shelf.where(moving).withColumn("place", F.row_number().over(W.partitionBy("zone", "date").orderBy("price_minor", "part_id")) - 1).withColumnRenamed("tags", "own")
+    moved = wishes.withColumn("date", date).join(F.broadcast(moved), ["zone", "date"])
+    columns = ("wish_id", "slot", "place", "part_id", "price_minor", F.array_intersect("own", "tags").alias("matched"))
+    return styled.select(*columns).unionByName(moved.select(*columns))
 
 
 def tag_suggestions(parts: DataFrame, asked: DataFrame, judge: Callable[[DataFrame], DataFrame], wanted: int = recommend.WANTED, depth: int = recommend.DEPTH) -> DataFrame:
@@ -72,23 +81,28 @@ def tag_suggestions(parts: DataFrame, asked: DataFrame, judge: Callable[[DataFra
     The n-th best of each slot together, for each n; tuples met before, above the budget or blocked drop out.  judge takes
     (build_id, slot, part_id) and gives build_id, n_error and n_warning.  Matched tags stand by slot and part, missed ones as
     they were asked.  Requests that ask the same are answered once.  asked needs budget_minor besides the columns of `tag_pools`.
+
+    Classes of requests, their pools, builds and suggestions are tables in spark.checkpoint.dir: each is read more than once by what
+    follows, so as one plan the parts would be ranked dozens of times over, and the driver would not hold the plan.
     """
+    scratch = Scratch(parts.sparkSession, "advice")
     terms = ["tags", "requires_date", "requires_gmt", "budget_minor"]
     key = F.sha2(F.to_json(F.struct(*terms), {"ignoreNullFields": "false"}), 256)
     told = asked.withColumn("_class", key)
-    classes = told.groupBy("_class").agg(*[F.any_value(c).alias(c) for c in terms]).withColumnRenamed("_class", "wish_id")
-    steps = recommend.walk(tag_pools(parts, classes, depth), classes, depth)
+    classes = scratch.keep(told.groupBy("_class").agg(*[F.any_value(c).alias(c) for c in terms]).withColumnRenamed("_class", "wish_id"), "classes")
+    steps = recommend.walk(scratch.keep(tag_pools(parts, classes, depth, scratch), "pools"), classes, depth)
     number = F.element_at(F.create_map(*[F.lit(x) for i, s in enumerate(recommend.CORE) for x in (s, i)]), F.col("slot"))
     builds = steps.groupBy("wish_id", "depth").agg(F.array_sort(F.collect_list(F.struct(number.alias("number"), "slot", "part_id", "price_minor", "matched"))).alias("p"))
-    builds = builds.withColumn("build_id", F.concat_ws("/", "wish_id", F.col("depth").cast("string")))
+    builds = scratch.keep(builds.withColumn("build_id", F.concat_ws("/", "wish_id", F.col("depth").cast("string"))), "builds")
     judged = judge(builds.select("build_id", F.explode("p").alias("p")).select("build_id", "p.slot", "p.part_id")).select("build_id", "n_error", "n_warning").where("n_error = 0")
     chosen = _best(builds.join(judged, "build_id"), ["wish_id"], wanted, "depth").withColumn("suggestion", F.row_number().over(W.partitionBy("wish_id").orderBy("depth")))
     found = chosen.select(
         F.col("wish_id").alias("_class"), "suggestion", F.transform("p", lambda x: x["part_id"]).alias("parts"), F.aggregate("p", F.lit(0).cast("long"), lambda t, x: t + x["price_minor"]).alias("total_minor"),
         "n_error", "n_warning", F.array_distinct(F.flatten(F.transform("p", lambda x: x["matched"]))).alias("matched"),
     )
-    whole = F.coalesce(F.col("tags"), F.array().cast("array<string>"))
-    return told.select("wish_id", "_class", whole.alias("tags")).join(found, "_class").withColumn("missed", F.array_except("tags", "matched")).drop("_class", "tags")
+    whole = classes.select(F.col("wish_id").alias("_class"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+    found = scratch.keep(found.join(whole, "_class").withColumn("missed", F.array_except("tags", "matched")).drop("tags"), "found")
+    return told.select("wish_id", "_class").join(found, "_class").drop("_class")
 
 
 def describe_candidate(matched: Column, missed: Column) -> Column:
