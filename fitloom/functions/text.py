@@ -151,7 +151,7 @@ def fallback(category: Column) -> Column:
 
 def reserved_terms(text: Column) -> Column:
     hay = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" "))
-    return F.array_compact(F.array(*[F.when(F.contains(hay, F.lit(f" {re.sub('[^a-z0-9]+', ' ', t)} ")), F.lit(t)) for t in RESERVED]))
+    return once(hay, lambda h: F.array_compact(F.array(*[F.when(F.contains(h, F.lit(f" {re.sub('[^a-z0-9]+', ' ', t)} ")), F.lit(t)) for t in RESERVED])))
 
 
 def redact_terms(text: Column) -> Column:

@@ -89,3 +89,14 @@ def test_plans_stay_small(spark):
     lines = got._jdf.queryExecution().executedPlan().toString().splitlines()
     assert len(lines) < 20 and sum("Range" in line for line in lines) == 1
     assert got.where("wish_id = 49").count() == 3
+
+
+def test_requests_are_not_broadcast(spark):
+    """Before, requests met their suggestions twice, and where Spark guessed them small all of them went through the driver."""
+    must = "struct<tags:array<string>,budget_minor:bigint,requires_date:boolean,requires_gmt:boolean,size_mm:double>"
+    asked = spark.createDataFrame([(1, "model", (None, 10, None, None, None), None, (None, None, None, None, None, None), None), (2, "model", None, None, None, None)], f"wish_id long, mode string, must {must}, nice array<string>, intent struct<tags:array<string>,budget_minor:bigint,requires_date:boolean,requires_gmt:boolean,size_from:double,size_to:double>, dropped array<string>")
+    said = spark.createDataFrame([(1, 1, 9, 0, [], []), (1, 2, 11, 0, [], []), (1, 3, None, 0, [], []), (2, 1, 11, 0, [], [])], "wish_id long, suggestion int, total_minor long, n_error long, matched array<string>, missed array<string>")
+    got = advice.evaluate_requests(asked, said)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and "SortMergeJoin" in plan
+    assert {r.wish_id: (r.n_builds, r.over_budget) for r in got.collect()} == {1: (3, 1), 2: (1, 0)}
