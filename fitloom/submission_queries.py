@@ -14,11 +14,17 @@ from fitloom.queries import query
 COLOURS = ["black", "black,blue", "", "green"]
 _HEX = "concat(md5(concat(p_type, CAST(p_size AS VARCHAR(9)))), md5(concat(CAST(p_size AS VARCHAR(9)), p_type)))"
 _CUT = "CASE WHEN p_partkey % 4 = 0 THEN 20 ELSE 4 END"
+_RESOLVED = "floor(p_partkey / 10) % 9 <> 4"
+_COLOURS = choice("p_size * 7 + CASE WHEN p_partkey % 5 = 0 THEN p_partkey ELSE 0 END", COLOURS)
+_PICTURE = f"CASE WHEN p_partkey % 13 <> 0 THEN concat(substr(md5(CAST(p_partkey AS VARCHAR(19))), 1, {_CUT}), substr({_HEX}, {_CUT} + 1)) END"
+_CLAIMS = """SELECT l_orderkey * 2 AS claim, CAST(l_linenumber AS BIGINT) AS position, l_partkey AS k FROM lineitem
+  UNION ALL SELECT p_size * 12 + CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'STANDARD' THEN 3 WHEN 'PROMO' THEN 5 WHEN 'SMALL' THEN 7 WHEN 'MEDIUM' THEN 9 ELSE 11 END, p_partkey, p_partkey FROM part"""
 #: A claim is an order, or all parts of one look; of some parts the link leads nowhere, and some have no picture.
-LINK_SQL = f"""SELECT claim, position, CASE WHEN floor(p_partkey / 10) % 9 <> 4 THEN p_partkey END AS part_id, p_type AS category, p_brand AS vendor, {choice('p_size * 7 + CASE WHEN p_partkey % 5 = 0 THEN p_partkey ELSE 0 END', COLOURS)} AS colours,
-  CASE WHEN p_partkey % 13 <> 0 THEN concat(substr(md5(CAST(p_partkey AS VARCHAR(19))), 1, {_CUT}), substr({_HEX}, {_CUT} + 1)) END AS picture
-FROM (SELECT l_orderkey * 2 AS claim, CAST(l_linenumber AS BIGINT) AS position, l_partkey AS k FROM lineitem
-  UNION ALL SELECT p_size * 12 + CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'STANDARD' THEN 3 WHEN 'PROMO' THEN 5 WHEN 'SMALL' THEN 7 WHEN 'MEDIUM' THEN 9 ELSE 11 END, p_partkey, p_partkey FROM part) l JOIN part ON p_partkey = k"""
+LINK_SQL = f"""SELECT claim, position, CASE WHEN {_RESOLVED} THEN p_partkey END AS part_id, p_type AS category, p_brand AS vendor, {_COLOURS} AS colours,
+  {_PICTURE} AS picture
+FROM ({_CLAIMS}) l JOIN part ON p_partkey = k"""
+#: What a link leads to, a row a part and not a link.
+PART_SQL = f"SELECT p_partkey AS part_id, {_RESOLVED} AS resolved, p_type AS category, p_brand AS vendor, {_COLOURS} AS colours, {_PICTURE} AS picture FROM part"
 _BITS = " + ".join(f"bit_count(xor(('0x' || substr(x.picture, {8 * i + 1}, 8))::BIGINT, ('0x' || substr(y.picture, {8 * i + 1}, 8))::BIGINT))::INTEGER" for i in range(8))
 
 
@@ -31,5 +37,7 @@ c AS (SELECT claim, max(CASE WHEN x.colours = '' OR y.colours = '' THEN 1 WHEN x
 SELECT r.*, distance, ['agree', 'unknown', 'differ'][worst + 1] AS colour, CASE WHEN refused IS NULL THEN CASE WHEN distance <= {CLOSE} THEN 'both' ELSE 'user-link' END END AS source FROM r LEFT JOIN d USING (claim) LEFT JOIN c USING (claim)""")
 def match_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims by order and by look: the gate that refuses one, the largest distance of its images, and its colours together."""
-    links = mapping.view(spark, sf_dir, LINK_SQL)
-    return submissions.submit(links.withColumn("colours", F.filter(F.split("colours", ","), lambda c: c != "")).withColumn("bits", hash_words(F.col("picture"))))
+    links = mapping.view(spark, sf_dir, _CLAIMS).withColumnRenamed("k", "part_id")
+    parts = mapping.view(spark, sf_dir, PART_SQL).select(F.inline(F.array(F.struct("*"))))
+    parts = parts.withColumn("colours", F.filter(F.split("colours", ","), lambda c: c != "")).withColumn("bits", hash_words(F.col("picture"))).drop("picture")
+    return submissions.submit(links, parts)
